@@ -145,6 +145,19 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _possible(percent: int):
+    """(a, b) of the pairs that the distance of their bins doesn't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, v = ([batch.column(f"{what}_{x}") for x in "ab"] for what in ("n", "bins"))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, BINS).astype(np.int64) for c in v)
+            ok = pa.array(np.abs(x - y).sum(1) <= most_apart(n[0].to_numpy(), n[1].to_numpy(), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
 def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of different components whose L1 distance doesn't rule out a link. Recursive: two
     pivots, the nearer one's region, and the window of points that may link across the border. A pair comes
@@ -238,14 +251,17 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat:
     seats = materialize(seats.select("key", "node", "pivot"), "jaccard-seats")
     to_node = members.select("doc_id", "node").distinct()
     balls = seats.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    balls = materialize(balls, "jaccard-balls")
     wanted = materialize(seats.select("node").distinct(), "jaccard-wanted")
+    facts = described.select(F.col("doc_id").alias("node"), "n", "bins").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    facts = materialize(facts, "jaccard-facts")
+    sides = [facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab"]
+    balls = balls.join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(percent), "a long, b long")
+    balls = materialize(balls, "jaccard-balls")
     texts = materialize(docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").join(members.where("doc_id = node").select("doc_id", "node").distinct(), "doc_id").select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
     links = materialize(join_pairs(balls, texts, k, percent), "jaccard-links")
     comp = components(links)
     seated = seats.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = seated.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("key")
-    facts = described.join(to_node.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "bins").dropDuplicates(["node"])
     open_regions = seated.join(split, "key").select("key", "node", "comp").join(facts, "node").select("key", "node", "comp", "n", "bins")
     more = open_regions.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions(percent), "a long, b long").distinct()
     more = materialize(more.join(balls, ["a", "b"], "left_anti"), "jaccard-more")

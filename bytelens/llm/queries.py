@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bytelens.llm import decontaminate, jaccard_join, mixing, token_counts
+from bytelens.llm import decontaminate, jaccard_join, license_scan, media, mixing, pii, quality, suffix_dedup, token_counts
+from bytelens.llm.sharding import Dataset, digest as sharded_digest
+from bytelens.runtime import fresh_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +34,45 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.transform("matches", lambda m: m["template"])), ",").alias("templates"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("best"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), keep_columns=["doc_id"])
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents"), pii.labelled_table(spark)))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = Dataset(spark, fresh_path(spark, "op9-dataset"))
+    ds.append(_read(spark, sf_dir, "documents"))
+    ds.compact(everything=True)
+    return sharded_digest(ds)
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_pii": op7_pii,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_sharding": op9_sharding,
+    "op10_media_columns": op10_media_columns,
 }
 
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -57,4 +93,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0)
        sha256(coalesce(it.xs, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """,
+    "op9_sharding": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
