@@ -32,8 +32,9 @@ LOWERS = ((_B >= 97) & (_B <= 122)) | (_B >= 128)
 DIGIT = (_B >= 48) & (_B <= 57)
 SYMBOL = np.isin(_B, list(b"#$%&*+/<=>@[\\]^_`{|}~!"))
 
-#: Name, statistic, bad from, good up to: a labeller votes bad at or above the one, good at or below the other.
-LABELLERS = (
+#: Name, statistic, bad from, usual up to. Each of these labellers votes bad from its bound up or abstains; two more
+#: vote good: "plain" where all statistics of characters are usual, "varied" where those of repetition are.
+FAULTS = (
     ("symbols", 0, 0.05, 0.01),
     ("capitals", 1, 0.35, 0.08),
     ("digits", 2, 0.20, 0.06),
@@ -42,6 +43,10 @@ LABELLERS = (
     ("marked words", 5, 0.25, 0.06),
     ("bare symbols", 6, 0.08, 0.02),
 )
+PLAIN, VARIED = (0, 1, 2, 5, 6), (3, 4)
+LABELLERS = (*(f[0] for f in FAULTS), "plain", "varied")
+#: A fault's labeller fires on at least FIRES of bad documents and at most FALSE of good ones.
+FIRES, FALSE = 0.02, 0.002
 #: Words a text needs before labellers of word statistics vote.
 LEAST_WORDS = 20
 
@@ -50,7 +55,7 @@ def statistics(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
     """The labellers' statistics of each row, and its number of words."""
     buf, n_rows = w.buf, len(w.bounds) - 1
     row, n = w.row, np.diff(w.bounds)
-    out = np.zeros((n_rows, len(LABELLERS)))
+    out = np.zeros((n_rows, len(FAULTS)))
     length = w.end - w.start
     nonblank = np.maximum(np.bincount(row, length, n_rows), 1)
 
@@ -77,9 +82,12 @@ def statistics(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def votes(stats: np.ndarray, n: np.ndarray) -> np.ndarray:
     """1 good, 2 bad, 0 abstains; a column for each labeller."""
-    v = np.zeros(stats.shape, np.int64)
-    for k, (_, c, bad, good) in enumerate(LABELLERS):
-        v[:, k] = np.where(stats[:, c] >= bad, 2, np.where(stats[:, c] <= good, 1, 0))
+    v = np.zeros((len(n), len(LABELLERS)), np.int64)
+    usual = np.zeros(stats.shape, bool)
+    for k, (_, c, bad, good) in enumerate(FAULTS):
+        v[:, k] = np.where(stats[:, c] >= bad, 2, 0)
+        usual[:, c] = stats[:, c] <= good
+    v[:, -2], v[:, -1] = usual[:, PLAIN].all(1), usual[:, VARIED].all(1)
     v[n < LEAST_WORDS] = 0
     return v
 
@@ -117,7 +125,7 @@ def fit_votes(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, floa
     """Posterior of good for each pattern, P(vote | class) and the prior, by EM; an abstention is
     an outcome like a vote."""
     m = len(LABELLERS)
-    codes = np.array(sorted(counts), np.int64)
+    codes = np.array(sorted(k for k in counts if k), np.int64)  # where no labeller speaks, the prior stands
     c = np.array([counts[k] for k in codes.tolist()], float)
     v = codes[:, None] // 3 ** np.arange(m) % 3
     post = np.where((v == 2).any(1), 0.2, 0.9)  # labellers see different faults: any of them counts at first
@@ -126,6 +134,11 @@ def fit_votes(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, floa
         prior = min(max((good.sum() + 1) / (c.sum() + 2), 0.05), 0.99)
         p = np.array([[[w[v[:, k] == x].sum() for x in range(3)] for k in range(m)] for w in (good, bad)]) + 0.5
         p /= p.sum(2, keepdims=True)
+        # labellers are better than chance; else EM could explain a rare fault as a kind of good document
+        for k in range(len(FAULTS)):
+            for y, bad_vote in ((0, min(p[0, k, 2], FALSE)), (1, max(p[1, k, 2], FIRES))):
+                p[y, k, :2] *= (1 - bad_vote) / max(1e-12, p[y, k, :2].sum())
+                p[y, k, 2] = bad_vote
         ll = np.stack([np.log(p[y][np.arange(m), v]).sum(1) for y in (0, 1)])
         post = 1 / (1 + np.exp(np.clip(ll[1] - ll[0] + np.log((1 - prior) / prior), -50, 50)))
     if not len(codes):
