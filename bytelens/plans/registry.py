@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from bytelens.plans import catalog_queries, flow_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**flow_queries.QUERIES, **catalog_queries.QUERIES}
+SQL: dict[str, str] = {**flow_queries.SQL, **catalog_queries.SQL}
