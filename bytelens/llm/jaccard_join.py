@@ -10,9 +10,10 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    the first D + 1 non-empty sub-spaces of the smaller document at least one has both in the same region.
    (Whole documents as first-level pivots don't separate texts: unrelated ones are all at distance 1 from
    each other, so every window would hold every document. Sub-sets are pivots that do.)
-3. In each region the first document is the pivot of a ball: its distance to the others is computed from
-   the whole sets, linear in the region's size, and links inside the ball join components at once.
-4. Regions that still hold several components are joined recursively: two pivots make Voronoi regions,
+3. The first document of a region is its pivot; the regions of one pivot make its cell. The pivot's distance
+   to the others of its cell is computed from the whole sets, linear in the cell's size, and links inside
+   that ball join components at once.
+4. Cells that still hold several components are joined recursively: two pivots make Voronoi regions,
    the triangle inequality gives the window of documents replicated into both, down to small leaves. The
    metric there is the L1 distance of shingle counts in BINS bins, a lower bound of the symmetric
    difference, so no link is lost; the pairs that are left are verified on the whole sets.
@@ -193,7 +194,7 @@ def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) ->
 
 
 def _regions(percent: int):
-    """Candidate pairs of regions, from rows (key, node, comp, n, bins) sorted by key."""
+    """Candidate pairs of cells, from rows (key, node, comp, n, bins) sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -243,27 +244,28 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat:
         return jaccard_components(docs, k=k, percent=percent, flat=True)
     # a node stands for all rows with one set; it is named by the smallest doc_id among them
     named = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
-    members = materialize(described.where("n > 0").select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", "node", "n"), "jaccard-nodes")
     in_regions = described.where(F.size("keys") > 0).select("doc_id", "h1", F.explode("keys").alias("key"))
     # all copies of a set lie in the same regions, so the first doc_id of a region is its node's name
     firsts = in_regions.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key", "pivot")
     seats = in_regions.select("key", "h1").join(firsts, "key").distinct().join(named.select("h1", "node"), "h1")
-    seats = materialize(seats.select("key", "node", "pivot"), "jaccard-seats")
-    to_node = members.select("doc_id", "node").distinct()
-    balls = seats.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    wanted = materialize(seats.select("node").distinct(), "jaccard-wanted")
+    # the cell of a pivot: all nodes that share a region whose first document it is
+    cells = materialize(seats.select("pivot", "node").distinct(), "jaccard-cells")
+    balls = cells.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    wanted = materialize(cells.select("node").distinct(), "jaccard-wanted")
     facts = described.select(F.col("doc_id").alias("node"), "n", "bins").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     facts = materialize(facts, "jaccard-facts")
     sides = [facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab"]
     balls = balls.join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(percent), "a long, b long")
     balls = materialize(balls, "jaccard-balls")
-    texts = materialize(docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").join(members.where("doc_id = node").select("doc_id", "node").distinct(), "doc_id").select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+    # a node's name is the doc_id of a row with its text, so one shuffle of the texts by doc_id serves all
+    texts = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = materialize(texts.select(F.col("doc_id").alias("node"), "text"), "jaccard-texts")
     links = materialize(join_pairs(balls, texts, k, percent), "jaccard-links")
     comp = components(links)
-    seated = seats.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = seated.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("key")
-    open_regions = seated.join(split, "key").select("key", "node", "comp").join(facts, "node").select("key", "node", "comp", "n", "bins")
-    more = open_regions.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions(percent), "a long, b long").distinct()
+    seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = seated.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("pivot")
+    open_cells = seated.join(split, "pivot").select(F.col("pivot").alias("key"), "node", "comp").join(facts, "node").select("key", "node", "comp", "n", "bins")
+    more = open_cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions(percent), "a long, b long").distinct()
     more = materialize(more.join(balls, ["a", "b"], "left_anti"), "jaccard-more")
     if more.limit(1).count():
         links = links.union(materialize(join_pairs(more, texts, k, percent), "jaccard-links"))
