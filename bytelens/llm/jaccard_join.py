@@ -15,8 +15,8 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    that ball join components at once.
 4. Cells that still hold several components are joined recursively: two pivots make Voronoi regions,
    the triangle inequality gives the window of documents replicated into both, down to small leaves. The
-   metric there is the L1 distance of shingle counts in BINS bins, a lower bound of the symmetric
-   difference, so no link is lost; the pairs that are left are verified on the whole sets.
+   metric there is the L1 distance of shingle counts in BINS bins (up to 255 each), a lower bound of the
+   symmetric difference, so no link is lost; the pairs that are left are verified on the whole sets.
 
 Whole sets are never stored: pairs are joined with the two texts. Null and empty texts and texts without words
 have empty sets and link with nothing; a text of fewer words than a shingle is one shingle.
@@ -34,7 +34,7 @@ from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
 from bytelens.runtime import materialize, ship
 
-BINS, LEAF, FLAT = 64, 48, 64
+BINS, LEAF, FLAT = 256, 48, 64
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, k: int) -> list[np.ndarray]:
@@ -96,7 +96,7 @@ def _describe(k: int, percent: int, flat: bool):
                 first = np.array([int(v) for v in own[:, 1]], np.uint64)
                 node = tc.mix(first + np.array([int(v) for v in own[:, 0]], np.uint64) * tc.BASE)
                 other = np.array([int(np.bitwise_xor.reduce(tc.mix(s ^ tc.MUL_A))) if len(s) else 0 for s in sets], np.uint64)
-                bins = [np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype("<u4").tobytes() for s in sets]
+                bins = [np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8).tobytes() for s in sets]
                 keys = []
                 for s in sets:
                     try:
@@ -152,7 +152,7 @@ def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, v = ([batch.column(f"{what}_{x}") for x in "ab"] for what in ("n", "bins"))
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, BINS).astype(np.int64) for c in v)
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in v)
             ok = pa.array(np.abs(x - y).sum(1) <= most_apart(n[0].to_numpy(), n[1].to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
@@ -201,7 +201,7 @@ def _regions(percent: int):
 
         def join(t: pa.Table) -> Iterator[pa.RecordBatch]:
             node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
-            v = np.frombuffer(b"".join(t.column("bins").to_pylist()), "<u4").reshape(-1, BINS).astype(np.int32)
+            v = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
             key = t.column("key").to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
