@@ -2,9 +2,8 @@
 structs; a join on the digest resolves the payloads; positions and captions stay aligned.
 
 Media are 8-bit gray PNG images, 64 samples wide, holding any bytes without loss. The store keeps a medium
-once for each task that meets it; reading back, media meet by digest, each digest is decoded once, and the
-small facts found (not the bytes) are joined to the references, so that a digest with many references makes no
-large group. Null pages are empty; references that the store doesn't know keep null facts.
+once for each task that meets it; reading back, a task decodes the media where they lie, and the small
+facts found (not the bytes) meet by digest, once each, and are joined to the references. Null pages are empty; references that the store doesn't know keep null facts.
 """
 
 from __future__ import annotations
@@ -150,18 +149,13 @@ def media_facts(media: DataFrame) -> DataFrame:
     ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
-            rows = []
-            for digest, png in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
-                if digest != last:
-                    rows.append((digest, *facts_of(png.as_py())))
-                    last = digest
+            rows = [(d, *facts_of(png.as_py())) for d, png in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True)]
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, kind)
+    return media.mapInArrow(run, kind).dropDuplicates(["digest"])
 
 
 def resolve(interleaved: DataFrame, media: DataFrame, *, key: str = "page_id") -> DataFrame:
@@ -173,7 +167,7 @@ def resolve(interleaved: DataFrame, media: DataFrame, *, key: str = "page_id") -
 def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages, store): each text stored as a medium, and a page that refers to it. pages: doc_id, n_bytes, html.
     The store is written to the shared folder and read back."""
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -196,7 +190,6 @@ def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     store = materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, n_bytes long, html string, digest string, media binary"), "media-store")
-    del spark
     return store.select("doc_id", "n_bytes", "html"), store.where("media is not null").select("digest", "media")
 
 
