@@ -10,7 +10,7 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    the first D + 1 non-empty sub-spaces of the smaller document at least one has both in the same region.
    (Whole documents as first-level pivots don't separate texts: unrelated ones are all at distance 1 from
    each other, so every window would hold every document. Sub-sets are pivots that do.)
-3. The first document of a region is its pivot; the regions of one pivot make its cell. The pivot's distance
+3. The set of least hash in a region is its pivot; the regions of one pivot make its cell. The pivot's distance
    to the others of its cell is computed from the whole sets, linear in the cell's size, and links inside
    that ball join components at once.
 4. Cells that still hold several components are joined recursively: two pivots make Voronoi regions,
@@ -18,21 +18,22 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    metric there is the L1 distance of shingle counts in BINS bins (up to 255 each), a lower bound of the
    symmetric difference, so no link is lost; the pairs that are left are verified on the whole sets.
 
-Whole sets are never stored: pairs are joined with the two texts. Null and empty texts and texts without words
+Whole sets are never stored: pairs are joined with the two texts, which are dealt by node once, into buckets. Null and empty texts and texts without words
 have empty sets and link with nothing; a text of fewer words than a shingle is one shingle.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
-from bytelens.runtime import materialize, ship
+from bytelens.runtime import fresh_path, materialize, ship
 
 BINS, LEAF, FLAT = 256, 48, 64
 
@@ -226,9 +227,34 @@ def _regions(percent: int):
     return run
 
 
+def _seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h1) for each region of each distinct set of the task: copies inside it go once, so that a region
+    gets no more rows from the copies of one set than there are tasks."""
+    seen: set[int] = set()
+    for batch in batches:
+        h1, keys = batch.column("h1"), batch.column("keys")
+        new = []
+        for i, h in enumerate(h1.to_pylist()):
+            if h not in seen:
+                seen.add(h)
+                new.append(i)
+        keys, h1 = keys.take(pa.array(new, pa.int64())), h1.take(pa.array(new, pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys.flatten(), h1.take(keys.value_parent_indices())], names=["key", "h1"])
+
+
+def in_buckets(texts: DataFrame) -> DataFrame:
+    """texts (node, text) as a table in the shared folder, in buckets by node: joins on node move the other side only."""
+    spark = texts.sparkSession
+    name, n = f"jaccard_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, "jaccard-texts")).bucketBy(n, "node").saveAsTable(name)
+    return spark.table(name)
+
+
 def join_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links among pairs (a, b) of nodes; texts: node, text."""
-    t = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    """Verified links among pairs (a, b) of nodes; texts: node, text, in buckets. One node may be a in a great
+    share of the pairs: the texts of a are written apart, so that the join on a can be split where it is skewed."""
+    first = materialize(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "jaccard-pivots")
+    t = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(first.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return t.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
 
 
@@ -244,29 +270,31 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat:
         return jaccard_components(docs, k=k, percent=percent, flat=True)
     # a node stands for all rows with one set; it is named by the smallest doc_id among them
     named = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
-    in_regions = described.where(F.size("keys") > 0).select("doc_id", "h1", F.explode("keys").alias("key"))
-    # all copies of a set lie in the same regions, so the first doc_id of a region is its node's name
-    firsts = in_regions.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key", "pivot")
-    seats = in_regions.select("key", "h1").join(firsts, "key").distinct().join(named.select("h1", "node"), "h1")
-    # the cell of a pivot: all nodes that share a region whose first document it is
-    cells = materialize(seats.select("pivot", "node").distinct(), "jaccard-cells")
-    balls = cells.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    in_regions = described.where(F.size("keys") > 0).select("h1", "keys").mapInArrow(_seats, "key long, h1 long")
+    region = Window.partitionBy("key")
+    shared = in_regions.select("h1", F.min("h1").over(region).alias("lo"), F.max("h1").over(region).alias("hi")).where("lo != hi")
+    seats = shared.select("lo", "h1").distinct()
+    # the cell of a pivot: all nodes that share a region whose least set it is
+    cells = seats.join(named.select("h1", "node"), "h1").join(named.select(F.col("h1").alias("lo"), F.col("node").alias("pivot")), "lo")
+    cells = materialize(cells.select("pivot", "node").distinct(), "jaccard-cells")
+    balls = cells.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     wanted = materialize(cells.select("node").distinct(), "jaccard-wanted")
     facts = described.select(F.col("doc_id").alias("node"), "n", "bins").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     facts = materialize(facts, "jaccard-facts")
     sides = [facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab"]
     balls = balls.join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(percent), "a long, b long")
     balls = materialize(balls, "jaccard-balls")
-    # a node's name is the doc_id of a row with its text, so one shuffle of the texts by doc_id serves all
+    # a node's name is the doc_id of a row with its text, so one shuffle of the texts by doc_id serves all joins
     texts = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialize(texts.select(F.col("doc_id").alias("node"), "text"), "jaccard-texts")
+    texts = in_buckets(texts.select(F.col("doc_id").alias("node"), "text"))
     links = materialize(join_pairs(balls, texts, k, percent), "jaccard-links")
     comp = components(links)
     seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = seated.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("pivot")
     open_cells = seated.join(split, "pivot").select(F.col("pivot").alias("key"), "node", "comp").join(facts, "node").select("key", "node", "comp", "n", "bins")
     more = open_cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions(percent), "a long, b long").distinct()
-    more = materialize(more.join(balls, ["a", "b"], "left_anti"), "jaccard-more")
+    done = balls.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(more.join(done, ["a", "b"], "left_anti"), "jaccard-more")
     if more.limit(1).count():
         links = links.union(materialize(join_pairs(more, texts, k, percent), "jaccard-links"))
         comp = components(links)
