@@ -18,8 +18,8 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    metric there is the L1 distance of shingle counts in BINS bins (up to 255 each), a lower bound of the
    symmetric difference, so no link is lost; the pairs that are left are verified on the whole sets.
 
-Whole sets are never stored: pairs are joined with the two texts, which are dealt by node once, into buckets. Null and empty texts and texts without words
-have empty sets and link with nothing; a text of fewer words than a shingle is one shingle.
+Whole sets are never stored: only pairs that their bins don't rule out are joined with the two texts, which are
+dealt by node into buckets, the pairs of step 3 first, then those of step 4. Null and empty texts and texts without words have empty sets and link with nothing; a text of fewer words than a shingle is one shingle.
 """
 
 from __future__ import annotations
@@ -242,17 +242,22 @@ def _seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keys.flatten(), h1.take(keys.value_parent_indices())], names=["key", "h1"])
 
 
-def in_buckets(texts: DataFrame) -> DataFrame:
-    """texts (node, text) as a table in the shared folder, in buckets by node: joins on node move the other side only."""
-    spark = texts.sparkSession
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the nodes of pairs (a, b), as a table in the shared folder, in buckets by node: joins on node
+    move the other side only. A node's name is the doc_id of a row with its text. The list of nodes is a table, so
+    that its size is known when Spark chooses how to join it: a short list leaves the texts where they lie."""
+    spark = docs.sparkSession
+    nodes = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-nodes")
+    texts = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
     name, n = f"jaccard_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, "jaccard-texts")).bucketBy(n, "node").saveAsTable(name)
     return spark.table(name)
 
 
-def join_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links among pairs (a, b) of nodes; texts: node, text, in buckets. One node may be a in a great
-    share of the pairs: the texts of a are written apart, so that the join on a can be split where it is skewed."""
+def join_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links among pairs (a, b) of nodes. One node may be a in a great share of the pairs: the texts of
+    a are written apart, so that the join on a can be split where it is skewed."""
+    texts = texts_of(pairs, docs)
     first = materialize(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "jaccard-pivots")
     t = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(first.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return t.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
@@ -284,10 +289,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat:
     sides = [facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab"]
     balls = balls.join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(percent), "a long, b long")
     balls = materialize(balls, "jaccard-balls")
-    # a node's name is the doc_id of a row with its text, so one shuffle of the texts by doc_id serves all joins
-    texts = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = in_buckets(texts.select(F.col("doc_id").alias("node"), "text"))
-    links = materialize(join_pairs(balls, texts, k, percent), "jaccard-links")
+    links = materialize(join_pairs(balls, docs, k, percent), "jaccard-links")
     comp = components(links)
     seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = seated.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("pivot")
@@ -296,7 +298,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat:
     done = balls.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(more.join(done, ["a", "b"], "left_anti"), "jaccard-more")
     if more.limit(1).count():
-        links = links.union(materialize(join_pairs(more, texts, k, percent), "jaccard-links"))
+        links = links.union(materialize(join_pairs(more, docs, k, percent), "jaccard-links"))
         comp = components(links)
     out = described.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named.select("h1", "h2", F.col("n").alias("n_shingles"), "node"), ["h1", "h2", "n_shingles"], "left")
     return out.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
