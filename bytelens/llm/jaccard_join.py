@@ -10,9 +10,10 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    the first D + 1 non-empty sub-spaces of the smaller document at least one has both in the same region.
    (Whole documents as first-level pivots don't separate texts: unrelated ones are all at distance 1 from
    each other, so every window would hold every document. Sub-sets are pivots that do.)
-3. The set of least hash in a region is its pivot; the regions of one pivot make its cell. The pivot's distance
-   to the others of its cell is computed from the whole sets, linear in the cell's size, and links inside
-   that ball join components at once.
+3. The set of least hash in a region is its pivot; the regions of one pivot make its cell. A cell is covered by
+   balls: a point is a pivot, the points that may link with it are its ball, and the next point outside all balls
+   is the next pivot. Pairs of pivot and point, fewer than the cell has points, are verified on the whole sets,
+   and links inside balls join components at once.
 4. Cells that still hold several components are joined recursively: two pivots make Voronoi regions,
    the triangle inequality gives the window of documents replicated into both, down to small leaves. The
    metric there is the L1 distance of shingle counts in BINS bins (up to 255 each), a lower bound of the
@@ -147,17 +148,17 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _possible(percent: int):
-    """(a, b) of the pairs that the distance of their bins doesn't rule out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, v = ([batch.column(f"{what}_{x}") for x in "ab"] for what in ("n", "bins"))
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in v)
-            ok = pa.array(np.abs(x - y).sum(1) <= most_apart(n[0].to_numpy(), n[1].to_numpy(), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
-
-    return run
+def star_cover(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (pivot, point) of a cell: the first point is a pivot, the points whose L1 distance to it doesn't
+    rule out a link are its ball, and the first of those outside all balls so far is the next pivot. Each point is
+    in one ball at most, so a cell of m points gives less than m pairs. comp is not used."""
+    left = np.arange(len(n))
+    while len(left) > 1:
+        p, rest = left[0], left[1:]
+        near = np.abs(v[rest] - v[p]).sum(1) <= most_apart(n[p], n[rest], percent)
+        if near.any():
+            yield np.full(int(near.sum()), p), rest[near]
+        left = rest[~near]
 
 
 def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -194,21 +195,31 @@ def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) ->
         stack += [left, right]
 
 
-def _regions(percent: int):
-    """Candidate pairs of cells, from rows (key, node, comp, n, bins) sorted by key."""
+def _in_cells(search, percent: int):
+    """Candidate pairs (a < b) that search finds in cells, from rows (key, node, comp, n, bins) sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
+        def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            x, y = (np.concatenate(side) for side in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
         def join(t: pa.Table) -> Iterator[pa.RecordBatch]:
             node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
             v = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
             key = t.column("key").to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            found, size = [], 0
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                for i, j in quick_join(v[a:b], n[a:b], comp[a:b], percent):
-                    x, y = node[a + i], node[a + j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                for i, j in search(v[a:b], n[a:b], comp[a:b], percent):
+                    found.append((node[a + i], node[a + j]))
+                    size += len(j)
+                    if size >= 10_000:
+                        yield pairs(found)
+                        found, size = [], 0
+            if found:
+                yield pairs(found)
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -282,21 +293,19 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat:
     # the cell of a pivot: all nodes that share a region whose least set it is
     cells = seats.join(named.select("h1", "node"), "h1").join(named.select(F.col("h1").alias("lo"), F.col("node").alias("pivot")), "lo")
     cells = materialize(cells.select("pivot", "node").distinct(), "jaccard-cells")
-    balls = cells.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     wanted = materialize(cells.select("node").distinct(), "jaccard-wanted")
     facts = described.select(F.col("doc_id").alias("node"), "n", "bins").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     facts = materialize(facts, "jaccard-facts")
-    sides = [facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab"]
-    balls = balls.join(sides[0], "a").join(sides[1], "b").mapInArrow(_possible(percent), "a long, b long")
-    balls = materialize(balls, "jaccard-balls")
+    placed = cells.withColumn("comp", F.col("node")).join(facts, "node").select(F.col("pivot").alias("key"), "node", "comp", "n", "bins")
+    balls = placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(star_cover, percent), "a long, b long")
+    balls = materialize(balls.distinct(), "jaccard-balls")
     links = materialize(join_pairs(balls, docs, k, percent), "jaccard-links")
     comp = components(links)
     seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = seated.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("pivot")
     open_cells = seated.join(split, "pivot").select(F.col("pivot").alias("key"), "node", "comp").join(facts, "node").select("key", "node", "comp", "n", "bins")
-    more = open_cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions(percent), "a long, b long").distinct()
-    done = balls.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(more.join(done, ["a", "b"], "left_anti"), "jaccard-more")
+    more = open_cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(quick_join, percent), "a long, b long").distinct()
+    more = materialize(more.join(balls, ["a", "b"], "left_anti"), "jaccard-more")
     if more.limit(1).count():
         links = links.union(materialize(join_pairs(more, docs, k, percent), "jaccard-links"))
         comp = components(links)
