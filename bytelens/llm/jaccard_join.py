@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
-from bytelens.runtime import fresh_path, materialize, ship
+from bytelens.runtime import fresh_path, keyed, materialize, ship
 
 BINS, LEAF, FLAT = 256, 48, 64
 
@@ -314,6 +314,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of each component's smallest doc_id; docs' columns."""
-    comp = jaccard_components(docs, **options)
-    return docs.join(comp.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component, that of its smallest doc_id (null is the largest); docs' columns. Rows are nodes by a
+    key of their own, so doc_id may be null, may repeat and may be of any type that has an order."""
+    rows = keyed(docs, "jaccard-rows")
+    comp = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
+    ids = rows.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("place"))
+    kept = ids.join(comp.withColumnRenamed("doc_id", "__row"), "__row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

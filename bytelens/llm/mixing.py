@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bytelens.runtime import materialize
+from bytelens.runtime import keyed, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 PRIME = 2147483647
@@ -28,10 +28,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _sized(docs: DataFrame, bucket_rows: int, seed: int) -> tuple[DataFrame, int]:
-    """One slim row for each document, and the total of sizes."""
+def _sized(docs: DataFrame, bucket_rows: int, seed: int, key: str | None) -> tuple[DataFrame, int]:
+    """One slim row for each document, and the total of sizes. Documents without an id are placed by their text."""
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.col("text"))).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id")))
     slim = docs.select(
-        F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")
+        F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), h.alias("h"), (F.col(key) if key else F.lit(None).cast("long")).alias("key")
     )
     slim = materialize(slim.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mixing-sizes")
     rows, total = slim.agg(F.count("*"), F.sum("size")).first()
@@ -95,10 +96,11 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return leaf.withColumn("first", F.coalesce(F.sum("quota").over(w), F.lit(0)).cast("long"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block_words: int = 1024, shard_words: int = 1 << 22, bucket_rows: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). documents: doc_id, source, size, source_size, target, row (identifies the row).
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block_words: int = 1024, shard_words: int = 1 << 22, bucket_rows: int = 4096, seed: int = 17, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces). documents: doc_id, source, size, source_size, target, row (identifies the row), key (the
+    column of docs named so, which finds the row again; null without one).
     pieces: row, doc_id, copy (0 or 1), first_word, n_words, block, shard, pos (the piece's place in its shard)."""
-    slim, total = _sized(docs, bucket_rows, seed)
+    slim, total = _sized(docs, bucket_rows, seed, key)
     t = materialize(targets(slim, weights=weights, share=share, limit=limit), "mixing-targets")
     quota_words = F.least(F.round("target").cast("long"), (F.col("source_size") * limit).cast("long"))
     t = t.withColumn("take", quota_words).withColumn("blocks", F.ceil(F.col("take") / block_words).cast("long"))
@@ -106,11 +108,11 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     sums = slim.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).drop("in_bucket").join(t, "skey")
-    inside = W.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size")
+    inside = W.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "key")
     placed = slim.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(inside))
     placed = placed.join(sums, ["skey", "bucket"]).withColumn("at", F.col("ahead") + F.col("upto") - F.col("size"))
     placed = materialize(
-        placed.select("doc_id", "source", "size", "source_size", "target", "rank", "take", "blocks", "at", F.struct("rank", "bucket", "nth").alias("row")), "mixing-placed"
+        placed.select("doc_id", "source", "size", "source_size", "target", "rank", "take", "blocks", "at", F.struct("rank", "bucket", "nth").alias("row"), "key"), "mixing-placed"
     )
     copies = math.ceil(limit)
     cuts = placed.where("size > 0").select("row", "doc_id", "rank", "take", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), (F.col("at") + F.col("copy") * F.col("source_size")).alias("a"), "size")
@@ -139,15 +141,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs: a row for each document and copy, cut to its first words where the target
     ends inside it, dealt to shards and in the shards' order. n_chars, if there, follows a cut."""
     cols = docs.columns
-    placed, pieces = mix(docs, **options)
-    plan = pieces.groupBy("row", "copy").agg(F.first("doc_id").alias("doc_id"), F.sum("n_words").alias("words"), F.min_by(F.struct("shard", "pos"), "first_word").alias("to"))
-    plan = plan.join(placed.select("row", "size"), "row")
-    # rows of one doc_id: the n-th of that id and size takes the n-th plan
-    same = W.partitionBy("doc_id", "size").orderBy("row")
-    plan = plan.withColumn("twin", F.dense_rank().over(same)).drop("row")
-    text = docs.withColumn("__size", word_count(F.col("text")))
-    text = text.withColumn("__twin", F.row_number().over(W.partitionBy("doc_id", "__size").orderBy(F.xxhash64("text"))))
-    out = text.join(plan.withColumnsRenamed({c: f"__p_{c}" for c in plan.columns}), (F.col("doc_id") == F.col("__p_doc_id")) & (F.col("__size") == F.col("__p_size")) & (F.col("__twin") == F.col("__p_twin")))
+    rows = keyed(docs, "mixing-rows")
+    placed, pieces = mix(rows, key="__row", **options)
+    plan = pieces.groupBy("row", "copy").agg(F.sum("n_words").alias("words"), F.min_by(F.struct("shard", "pos"), "first_word").alias("to"))
+    plan = plan.join(placed.select("row", "size", "key"), "row").select(F.col("key").alias("__row"), F.col("size").alias("__size"), F.col("words").alias("__p_words"), F.col("to").alias("__p_to"))
+    out = rows.join(plan, "__row")
     head = F.array_join(F.slice(F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"), 1, F.col("__p_words").cast("int")), "")
     out = out.withColumn("text", F.when(F.col("__p_words") < F.col("__size"), head).otherwise(F.col("text")))
     if "n_chars" in cols:

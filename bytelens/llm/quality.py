@@ -6,7 +6,7 @@ hashed linear scorer.
 2. EM on the pattern counts estimates the share of good documents and each labeller's vote probabilities in
    either class (its accuracy); it gives each pattern a posterior.
 3. A logistic scorer on hashed shape features learns the posteriors from at most train_rows documents, the
-   first by a hash of doc_id: the documented bound of what the driver fits on. Everything else covers all rows.
+   first by a hash of doc_id (of the text where that is null): the documented bound of what the driver fits on. Everything else covers all rows.
 4. All documents are scored; a document is accepted from a score of 0.5.
 
 No ground truth is read. Null and empty texts get no votes but abstentions and the prior; they are scored as texts
@@ -191,7 +191,7 @@ def classify(docs: DataFrame, *, train_rows: int = 6000, keep_columns: list[str]
 
     rows = sum(counts.values())
     # about twice the bound by the hash's own range, then the first train_rows of them
-    near = F.xxhash64(F.lit(3), "doc_id")
+    near = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(3), "text")).otherwise(F.xxhash64(F.lit(3), "doc_id"))
     most = -(2**63) + int(2**64 * min(1.0, 2 * train_rows / max(1, rows))) - 1
     chosen = docs.where(near <= most).select("text", near.alias("h")).orderBy("h").limit(train_rows).select("text")
     got = chosen.mapInArrow(sample, "code long, x binary").collect()

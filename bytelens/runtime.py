@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
@@ -61,6 +61,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, tag: str) -> DataFrame:
+    """The rows with __row, a key of each row's own whatever its columns hold, written once so that it stays the same."""
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), tag)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
