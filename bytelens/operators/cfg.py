@@ -111,21 +111,22 @@ def dominators(succ: dict, entry) -> dict:
     return out
 
 
-def graph_facts(edges: DataFrame) -> DataFrame:
-    """method_uid, block_id, rpo (from 1), idom (null for the entry, block 0), of blocks reachable from block 0.
+def graph_facts(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """method_uid, block_id, rpo (from 1), idom (null for the entry, block 0), of blocks reachable from block 0; a
+    method without edges has its entry.
 
     A method's graph is one group: the algorithms are sequential and a method's code is bounded by its format."""
     ship(edges.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         succ: dict[int, list[int]] = {}
-        for a, b in pdf.sort_values(["from_id", "ord", "to_id"])[["from_id", "to_id"]].itertuples(index=False):
+        for a, b in pdf[pdf["from_id"] >= 0].sort_values(["from_id", "ord", "to_id"])[["from_id", "to_id"]].itertuples(index=False):
             succ.setdefault(int(a), []).append(int(b))
         order = postorder(succ, 0)[::-1]
         dom = dominators(succ, 0)
         return pd.DataFrame({"method_uid": pdf["method_uid"].iloc[0], "block_id": order, "rpo": range(1, len(order) + 1), "idom": pd.array([dom[n] for n in order], dtype="Int64")})
 
-    e = edges.withColumn("ord", F.when(F.col("edge_kind") == "fall", 1).otherwise(0))
-    return e.groupBy("method_uid").applyInPandas(run, "method_uid long, block_id long, rpo long, idom long")
-
-
+    e = edges.select("method_uid", "from_id", "to_id", F.when(F.col("edge_kind") == "fall", 1).otherwise(0).alias("ord"))
+    none = F.lit(-1).cast("long")
+    entries = blocks.where("block_id = 0").select("method_uid", none.alias("from_id"), none.alias("to_id"), F.lit(0).alias("ord"))
+    return e.union(entries).groupBy("method_uid").applyInPandas(run, "method_uid long, block_id long, rpo long, idom long")

@@ -202,15 +202,15 @@ cnt AS (SELECT method_uid, n, count(*) AS k FROM dom GROUP BY ALL)
 SELECT re.method_uid, re.b AS block_id, x.d AS idom FROM re LEFT JOIN (SELECT dom.method_uid, dom.n, max_by(dom.d, coalesce(cnt.k, 0)) AS d FROM dom LEFT JOIN cnt ON cnt.method_uid = dom.method_uid AND cnt.n = dom.d GROUP BY ALL) x ON x.method_uid = re.method_uid AND x.n = re.b"""
 )
 def immediate_dominators(spark: SparkSession, d: str) -> DataFrame:
-    e = cfg.edges(materialize(cfg.blocks(instructions(spark, d)), "blocks"))
-    return cfg.graph_facts(e).select("method_uid", "block_id", "idom")
+    b = materialize(cfg.blocks(instructions(spark, d)), "blocks")
+    return cfg.graph_facts(cfg.edges(b), b).select("method_uid", "block_id", "idom")
 
 
 @query()
 def reverse_postorder(spark: SparkSession, d: str) -> DataFrame:
     """Numbers from 1; depth-first order depends on the order of edges, so tests hold it against known graphs."""
-    e = cfg.edges(materialize(cfg.blocks(instructions(spark, d)), "blocks"))
-    return cfg.graph_facts(e).select("method_uid", "block_id", "rpo")
+    b = materialize(cfg.blocks(instructions(spark, d)), "blocks")
+    return cfg.graph_facts(cfg.edges(b), b).select("method_uid", "block_id", "rpo")
 
 
 @query(f"WITH {DUCK_CTE} SELECT method_uid, off, lag(off) OVER (PARTITION BY method_uid ORDER BY off) AS prev_off, lead(off) OVER (PARTITION BY method_uid ORDER BY off) AS next_off FROM ins")
