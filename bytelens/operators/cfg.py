@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from bytelens.runtime import materialize, ship
 
 EXITS = r"^(return.*|throw)$"
+SWITCHES = ("packed-switch", "sparse-switch")
 
 
 def branch_targets(ins: DataFrame) -> DataFrame:
@@ -20,29 +21,44 @@ def branch_targets(ins: DataFrame) -> DataFrame:
     return ins.where(m.startswith("goto") | m.startswith("if-")).select("method_uid", "off", F.regexp_extract("operands", r"(-?\d+)\s*$", 1).cast("long").alias("target"))
 
 
-def blocks(ins: DataFrame) -> DataFrame:
-    """method_uid, block_id, start_off, end_off (exclusive), end_kind, last_off, target."""
+def blocks(ins: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """method_uid, block_id, start_off, end_off (exclusive), end_kind, last_off, target. cases: method_uid, off (of the
+    switch), case_value, target; a row for each case. A switch ends its block whether its cases are given or not."""
     t = branch_targets(ins)
-    leaders = t.select("method_uid", F.col("target").alias("off"), F.lit(True).alias("is_target")).distinct()
+    leaders = t.select("method_uid", F.col("target").alias("off"))
+    if cases is not None:
+        leaders = leaders.union(cases.select("method_uid", F.col("target").alias("off")))
+    leaders = leaders.withColumn("is_target", F.lit(True)).distinct()
     w = W.partitionBy("method_uid").orderBy("off")
-    ends = F.col("mnemonic").startswith("goto") | F.col("mnemonic").startswith("if-") | F.col("mnemonic").rlike(EXITS)
+    ends = F.col("mnemonic").startswith("goto") | F.col("mnemonic").startswith("if-") | F.col("mnemonic").rlike(EXITS) | F.col("mnemonic").isin(*SWITCHES)
     x = ins.join(leaders, ["method_uid", "off"], "left").join(t, ["method_uid", "off"], "left")
     x = x.withColumn("head", F.coalesce("is_target", F.lit(False)) | F.coalesce(F.lag(ends).over(w), F.lit(True)))
     x = x.withColumn("block_id", F.sum(F.col("head").cast("long")).over(w) - 1)
     last = lambda c: F.max_by(c, "off")
     out = x.groupBy("method_uid", "block_id").agg(F.min("off").alias("start_off"), F.max("off").alias("last_off"), last("mnemonic").alias("m"), last("target").alias("target"), F.max("code_end").alias("code_end"))
     end = F.coalesce(F.lead("start_off").over(W.partitionBy("method_uid").orderBy("block_id")), "code_end")
-    kind = F.when(F.col("m").startswith("goto"), "goto").when(F.col("m").startswith("if-"), "conditional").when(F.col("m").rlike(EXITS), "exit").otherwise("fallthrough")
+    kind = F.when(F.col("m").startswith("goto"), "goto").when(F.col("m").startswith("if-"), "conditional").when(F.col("m").rlike(EXITS), "exit").when(F.col("m").isin(*SWITCHES), "switch").otherwise("fallthrough")
     return out.select("method_uid", "block_id", "start_off", end.alias("end_off"), kind.alias("end_kind"), "last_off", "target")
 
 
-def edges(blocks: DataFrame) -> DataFrame:
-    """method_uid, from_id, to_id, edge_kind. A missing fall-through or target falls to no edge at the code's end."""
+def edges(blocks: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """method_uid, from_id, to_id, edge_kind; with cases (as for blocks) also case_value, null but for cases. A missing
+    fall-through or target falls to no edge at the code's end. A switch has an edge for each case, to the block that
+    holds its target, and a default to the block that follows: a goto there is a block of its own. A case outside
+    the code makes no edge."""
     to = blocks.select("method_uid", F.col("start_off").alias("target"), F.col("block_id").alias("to_id"))
     b = blocks.select("method_uid", F.col("block_id").alias("from_id"), "end_off", "end_kind", "target")
     jump = b.where("end_kind in ('goto', 'conditional')").join(to, ["method_uid", "target"]).select("method_uid", "from_id", "to_id", F.when(F.col("end_kind") == "goto", "goto").otherwise("taken").alias("edge_kind"))
-    fall = b.where("end_kind in ('fallthrough', 'conditional')").drop("target").withColumnRenamed("end_off", "target").join(to, ["method_uid", "target"]).select("method_uid", "from_id", "to_id", F.lit("fall").alias("edge_kind"))
-    return jump.union(fall)
+    next_kind = F.when(F.col("end_kind") == "switch", "default").otherwise("fall")
+    fall = b.where("end_kind in ('fallthrough', 'conditional', 'switch')").drop("target").withColumnRenamed("end_off", "target").join(to, ["method_uid", "target"]).select("method_uid", "from_id", "to_id", next_kind.alias("edge_kind"))
+    out = jump.union(fall)
+    if cases is None:
+        return out
+    switch = blocks.where("end_kind = 'switch'").select("method_uid", F.col("block_id").alias("from_id"), F.col("last_off").alias("off"))
+    holds = blocks.select("method_uid", F.col("block_id").alias("to_id"), "start_off", "end_off")
+    case = switch.join(cases.withColumnRenamed("target", "case_target"), ["method_uid", "off"]).join(holds, "method_uid").where("start_off <= case_target and case_target < end_off")
+    kind = cases.schema["case_value"].dataType
+    return out.withColumn("case_value", F.lit(None).cast(kind)).union(case.select("method_uid", "from_id", "to_id", F.lit("case").alias("edge_kind"), "case_value"))
 
 
 def fall_through(blocks: DataFrame) -> DataFrame:
@@ -120,13 +136,14 @@ def graph_facts(edges: DataFrame, blocks: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         succ: dict[int, list[int]] = {}
-        for a, b in pdf[pdf["from_id"] >= 0].sort_values(["from_id", "ord", "to_id"])[["from_id", "to_id"]].itertuples(index=False):
+        for a, b in pdf[pdf["from_id"] >= 0].sort_values(["from_id", "ord", "case_value", "to_id"])[["from_id", "to_id"]].itertuples(index=False):
             succ.setdefault(int(a), []).append(int(b))
         order = postorder(succ, 0)[::-1]
         dom = dominators(succ, 0)
         return pd.DataFrame({"method_uid": pdf["method_uid"].iloc[0], "block_id": order, "rpo": range(1, len(order) + 1), "idom": pd.array([dom[n] for n in order], dtype="Int64")})
 
-    e = edges.select("method_uid", "from_id", "to_id", F.when(F.col("edge_kind") == "fall", 1).otherwise(0).alias("ord"))
+    value = (F.col("case_value") if "case_value" in edges.columns else F.lit(None)).cast("long")  # a payload's order
+    e = edges.select("method_uid", "from_id", "to_id", F.when(F.col("edge_kind").isin("fall", "default"), 1).otherwise(0).alias("ord"), F.coalesce(value, F.lit(0)).alias("case_value"))
     none = F.lit(-1).cast("long")
-    entries = blocks.where("block_id = 0").select("method_uid", none.alias("from_id"), none.alias("to_id"), F.lit(0).alias("ord"))
+    entries = blocks.where("block_id = 0").select("method_uid", none.alias("from_id"), none.alias("to_id"), F.lit(0).alias("ord"), none.alias("case_value"))
     return e.union(entries).groupBy("method_uid").applyInPandas(run, "method_uid long, block_id long, rpo long, idom long")
