@@ -76,8 +76,8 @@ class _Parser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.text: list[str] = []
-        self.hidden, self.caption = 0, None
-        self.figure: list[dict] = []
+        self.hidden = 0
+        self.figures: list[dict] = []  # open ones, the innermost last: media, captions, whether the last caption is open
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -95,29 +95,67 @@ class _Parser(HTMLParser):
                 src = a["src"]
                 ref = {"pos": len(self.out), "kind": "media", "text": None, "src": src, "digest": src[7:] if src.startswith("sha256:") else None, "caption": a.get("alt") or None}
                 self.out.append(ref)
-                self.figure.append(ref)
+                if self.figures:
+                    self.figures[-1]["media"].append(ref)
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
+            if self.figures:  # elsewhere its text is text
+                place = {"pos": len(self.out), "kind": "caption", "text": [], "src": None, "digest": None, "caption": None}
+                self.out.append(place)
+                self.figures[-1]["captions"].append(place)
+                self.figures[-1]["open"] = True
         elif tag in _BREAK:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append({"media": [], "captions": [], "open": False})
+            elif self.in_caption():
+                self.handle_data(" ")
+
+    def in_caption(self) -> bool:
+        return bool(self.figures) and self.figures[-1]["open"]
 
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for ref in self.figure[-1:]:
-                ref["caption"] = text or ref["caption"]
-            self.caption = None
+        elif tag == "figcaption":
+            self.flush()
+            if self.figures:
+                self.figures[-1]["open"] = False
         elif tag in _BREAK:
             self.flush()
+            if tag == "figure" and self.figures:
+                self.end_figure()
+            elif self.in_caption():
+                self.handle_data(" ")
+
+    def end_figure(self) -> None:
+        """The innermost figure's caption goes to all its media; without media it stays where it was, as text. Media
+        of a figure without a caption belong to the figure around it too."""
+        figure = self.figures.pop()
+        for place in figure["captions"]:
+            place["text"] = " ".join("".join(place["text"]).split())
+        caption = " ".join(place["text"] for place in figure["captions"] if place["text"])
+        if caption and figure["media"]:
+            for ref in figure["media"]:
+                ref["caption"] = caption
+        else:
+            for place in figure["captions"]:
+                place["kind"] = "text" if place["text"] else "caption"
+            if self.figures:
+                self.figures[-1]["media"] += figure["media"]
+
+    def segments(self) -> list[dict]:
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        self.out = [s for s in self.out if s["kind"] != "caption"]
+        for pos, s in enumerate(self.out):
+            s["pos"] = pos
+        return self.out
 
     def handle_data(self, data):
         if not self.hidden:
-            (self.text if self.caption is None else self.caption).append(data)
+            (self.figures[-1]["captions"][-1]["text"] if self.in_caption() else self.text).append(data)
 
 
 def parse_html(html: str | None) -> list[dict]:
@@ -125,8 +163,7 @@ def parse_html(html: str | None) -> list[dict]:
     p = _Parser()
     p.feed(html or "")
     p.close()
-    p.flush()
-    return p.out
+    return p.segments()
 
 
 def interleave(pages: DataFrame, *, html: str = "html", key: str = "page_id") -> DataFrame:
