@@ -59,6 +59,14 @@ def most_apart(a, b, percent: int):
     return ((100 - percent) * (a + b)) // (100 + percent)
 
 
+def space_bits(level: int, percent: int) -> int:
+    """log2 of the number of sub-spaces of a level: at least a quarter of its largest size, and a fifth more than the
+    differences that a link allows a set at the level's upper end or, from the level above, just beyond it."""
+    top = 100 * (1 << level) // percent
+    d = int(most_apart(top, top * 100 // percent, percent))
+    return max(level - 2, (6 * (d + 1) // 5 - 1).bit_length())
+
+
 def region_keys(x: np.ndarray, percent: int, flat: bool) -> list[np.ndarray]:
     """Keys of the regions that a set lies in. flat: each shingle is a sub-space of its own."""
     n = len(x)
@@ -74,7 +82,7 @@ def region_keys(x: np.ndarray, percent: int, flat: bool) -> list[np.ndarray]:
         if t == 0:
             out.append(tc.mix(x[: d + 1] + np.uint64(1)))
             continue
-        m_bits = t - 2
+        m_bits = space_bits(t, percent)
         part = x >> np.uint64(64 - m_bits)
         cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         if len(cut) <= d:
@@ -85,7 +93,8 @@ def region_keys(x: np.ndarray, percent: int, flat: bool) -> list[np.ndarray]:
 
 
 class ThinSet(Exception):
-    """A set leaves so many sub-spaces empty that the argument of step 2 fails (odds under 1e-12)."""
+    """A set leaves so many sub-spaces empty that the argument of step 2 fails. One such set makes the whole input go
+    again with single shingles as sub-spaces: exact, but the cells of common shingles are larger."""
 
 
 def _describe(k: int, percent: int, flat: bool):
