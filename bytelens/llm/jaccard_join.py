@@ -285,8 +285,9 @@ def join_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
 def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), one row for
-    each row of docs. doc_id must be an integer and not null; rows that share one are one document's rows and
-    link through their own texts. Columns of docs other than doc_id and text are not read."""
+    each row of docs. doc_id must be an integer and not null, and rows that share one should
+    have one text: two texts under one doc_id share a node's name, and only one of them is verified. keep_one gives
+    rows keys of their own. Columns of docs other than doc_id and text are not read."""
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     kind = "doc_id long, n long, h1 long, h2 long, bins binary, thin boolean, keys array<long>"
