@@ -73,3 +73,17 @@ def test_mixing_loses_no_row(spark, rows, folder):
 def test_sharding_keeps_all_rows(spark, rows, folder):
     got = stages.sharding(spark, spark.createDataFrame(rows, KIND), folder).drop("shard", "version").collect()
     assert plain(got) == plain(rows)
+
+
+def test_whole_pipeline(spark, rows, folder):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, KIND).write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    # all pass the classifier; 5, 6 and 8 are copies, 2 is a benchmark passage; null and empty texts have no words to mix
+    left = [rows[k] for k in (0, 1, 3, 4, 7)]
+    assert all(any(r.doc_id == x[0] and r.source == x[3] and x[1].startswith(r.text) for x in left) for r in got)
+    assert {r.text for r in got if r.source == "s" and len(r.text.split()) == 60} == {x[1] for x in left if x[3] == "s"}
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in ("s", None)}
+    assert abs(words["s"] - 337.5) <= 1 and abs(words[None] - 112.5) <= 1  # 1.5 x 300 words, by weights 3 and 1
+    assert all(r.n_chars == len(r.text) and r.lang == "en" and r.shard and r.version >= 1 for r in got)
