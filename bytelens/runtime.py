@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _shipped: set[str] = set()
@@ -61,9 +62,56 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """An operator's intermediate tables in the shared folder. drop deletes those that nothing reads any more, and leaving
+    the block all but those kept: what an operator returns may read only kept tables and its inputs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        path = fresh_path(self.spark, tag)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write a table that stays after the block: a result, or what a lazy result reads."""
+        return materialize(df, tag)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if got := self.paths.pop(id(t), None):
+                delete_path(self.spark, got[1])
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(t for t, _ in list(self.paths.values())))
+
+
+KEY = ("__file", "__at")
+
+
+def file_keys(df: DataFrame) -> DataFrame:
+    """For rows read straight from files: with __file and __at, a row's file and its place there, which together are a
+    key of its own whatever its columns hold. Rows that don't lie in files stay as they are."""
+    if not df.inputFiles():
+        return df
+    try:
+        return df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:  # a format without row numbers, or more than one scan
+        return df
+
+
 def keyed(df: DataFrame, tag: str) -> DataFrame:
-    """The rows with __row, a key of each row's own whatever its columns hold, written once so that it stays the same."""
-    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), tag)
+    """The rows with __file and __at. Where file_keys has not set them the rows are written once, so that their keys stay."""
+    if set(KEY) <= set(df.columns):
+        return df
+    return materialize(df.withColumn("__file", F.lit(0).cast("long")).withColumn("__at", F.monotonically_increasing_id()), tag)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
