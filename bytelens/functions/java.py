@@ -6,14 +6,14 @@ from pyspark.sql import Column, functions as F
 
 # Primitive descriptors and access flags: fixed values of the file format.
 PRIMITIVES = {"V": "void", "Z": "boolean", "B": "byte", "S": "short", "C": "char", "I": "int", "J": "long", "F": "float", "D": "double"}
-FLAGS = ((0x1, "public"), (0x2, "private"), (0x4, "protected"), (0x8, "static"), (0x10, "final"), (0x400, "abstract"))
+FLAGS = ((0x1, "public"), (0x2, "private"), (0x4, "protected"), (0x8, "static"), (0x10, "final"), (0x400, "abstract"), (0x1000, "synthetic"))
 MEMBER_FLAGS = ((0x20, "synchronized"), (0x40, "volatile"), (0x80, "transient"), (0x100, "native"))
 CLASS_FLAGS = ((0x200, "interface"),)
 # Comparisons of conditional branches: fixed values.
 CONDITIONS = {"eq": "==", "ne": "!=", "lt": "<", "ge": ">=", "gt": ">", "le": "<="}
 OPPOSITE = {"!=": "==", "==": "!=", ">=": "<", "<": ">=", ">": "<=", "<=": ">"}
 # Packages whose names are shortened: fixed values.
-SHORTENED = ("java.lang.", "java.util.", "java.io.", "java.net.", "android.app.", "android.content.", "android.os.", "android.view.")
+SHORTENED = ("java.lang.", "java.util.", "java.io.", "android.content.", "android.os.", "android.app.", "android.view.", "android.widget.")
 
 
 def descriptor_to_java(d: Column) -> Column:
@@ -62,18 +62,34 @@ def excluded(name: Column, entries: list[str]) -> Column:
 
 
 def shorten(text: Column) -> Column:
-    """Strips the prefixes at word boundaries."""
+    """Strips each prefix where no letter, digit or _ stands before it, up to the first place where one does."""
     for p in SHORTENED:
-        text = F.regexp_replace(text, r"(?<![\w.])" + p.replace(".", r"\."), "")
+        stop = F.regexp_instr(text, F.lit("[A-Za-z0-9_]" + p.replace(".", r"\.")))
+        head = F.when(stop > 0, F.substring(text, F.lit(1), stop)).otherwise(text)
+        tail = F.when(stop > 0, F.substring(text, stop + 1, F.length(text))).otherwise(F.lit(""))
+        text = F.concat(F.regexp_replace(head, "(?<![A-Za-z0-9_])" + p.replace(".", r"\."), ""), tail)
     return text
 
 
+def goto_operand(raw_hex: Column, operands: Column) -> Column:
+    """A two-byte goto's operand: its offset byte is signed, which decoders show as unsigned."""
+    two = raw_hex.rlike(r"^\s*\S+\s+[0-9A-Fa-f]{2}\s*$")
+    value = F.conv(F.regexp_extract(raw_hex, r"([0-9A-Fa-f]{2})\s*$", 1), 16, 10).cast("int")
+    return F.when(two & (value >= 128), F.concat(F.lit("-"), F.lpad(F.lower(F.hex((256 - value).cast("long"))), 2, "0"), F.lit("h"))).otherwise(operands)
+
+
+def enum_constants(class_name: Column, super_name: Column, fields: Column) -> Column:
+    """Names of the constants of an enum, in order; empty for other classes. fields: array of type, name, flags."""
+    own = F.filter(fields, lambda f: (f["flags"].bitwiseAND(0x18) == 0x18) & (f["type"] == class_name))
+    return F.when(F.trim(super_name) == "Enum", F.transform(own, lambda f: f["name"])).otherwise(F.array().cast("array<string>"))
+
+
 def condition(mnemonic: Column, operands: Column) -> Column:
-    """The Java comparison of an if- instruction; its last operand is the target."""
+    """The Java comparison of an if- instruction, whose last operand is the target; of a switch its register."""
     ops = F.transform(F.split(operands, ","), lambda x: F.trim(x))
     kind = F.regexp_extract(mnemonic, r"^if-(eq|ne|lt|ge|gt|le)", 1)
     sign = F.element_at(F.create_map(*[F.lit(x) for kv in CONDITIONS.items() for x in kv]), F.when(kind != "", kind))
-    return F.concat_ws(" ", ops[0], sign, F.when(mnemonic.endswith("z"), F.lit("0")).otherwise(ops[1]))
+    return F.when(mnemonic.endswith("-switch"), ops[0]).otherwise(F.concat_ws(" ", ops[0], sign, F.when(mnemonic.endswith("z"), F.lit("0")).otherwise(F.try_element_at(ops, F.lit(2)))))
 
 
 def negate(cond: Column) -> Column:
@@ -87,11 +103,13 @@ def negate(cond: Column) -> Column:
 
 def is_branch_offset(token: Column) -> Column:
     t = F.trim(token)
-    return (t == "") | t.rlike(r"^[+-][0-9A-Fa-f]+h?$") | t.rlike(r"^0x[0-9A-Fa-f]+$")
+    return (t == "") | t.rlike(r"^[+-]\s*[0-9A-Fa-fh]*$") | t.rlike(r"^0x[0-9A-Fa-f]*$")
 
 
 def receiver_call(call: Column, args: Column) -> Column:
-    """Class.m with arguments recv, a, b becomes recv.m(a, b)."""
-    name, first = F.substring_index(call, ".", -1), F.regexp_extract(args, r"^\s*([^,]*)", 1)
-    rest = F.regexp_replace(args, r"^\s*[^,]*,?\s*", "")
-    return F.concat(F.trim(first), F.lit("."), name, F.lit("("), rest, F.lit(")"))
+    """Class.m with arguments recv, a, b becomes recv.m(a, b); without arguments the class stays. The receiver ends at
+    the first comma outside parentheses."""
+    args = F.trim(args)
+    first = F.trim(F.regexp_extract(args, r"^((?:[^,(]|\((?:[^()]|\([^()]*\))*\))*)", 1))
+    rest = F.regexp_replace(F.substring(args, F.length(F.regexp_extract(args, r"^((?:[^,(]|\((?:[^()]|\([^()]*\))*\))*)", 1)) + 1, F.length(args)), r"^,\s*", "")
+    return F.when(args == "", F.concat(call, F.lit("()"))).otherwise(F.concat(first, F.lit("."), F.substring_index(call, ".", -1), F.lit("("), rest, F.lit(")")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from bytelens.runtime import materialize, ship
+from bytelens.runtime import Rounds, materialize, ship
 
 EXITS = r"^(return.*|throw)$"
 SWITCHES = ("packed-switch", "sparse-switch")
@@ -74,15 +74,35 @@ def loop_headers(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(s, ["method_uid", "from_id"]).join(t, ["method_uid", "to_id"]).where("to_off < from_off").select("method_uid", F.col("to_id").alias("block_id")).distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """method_uid, block_id reachable from starts (method_uid, block_id), themselves included."""
+def fall_through_predecessors(blocks: DataFrame) -> DataFrame:
+    """method_uid, block_id, prev_id: blocks that end where this one starts, however they end."""
+    return fall_through(blocks).select("method_uid", F.col("next_id").alias("block_id"), F.col("block_id").alias("prev_id"))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """method_uid, block_id (and other columns of starts, which keep searches apart) reachable from starts (method_uid,
+    block_id), themselves included. Blocks of exclude (the columns of starts) are reached but not left."""
+    keys = starts.columns
     step = materialize(edges.select("method_uid", F.col("from_id").alias("block_id"), "to_id").distinct(), "reach-step")
-    all_ = front = materialize(starts.distinct(), "reach")
-    while front.limit(1).count():
-        new = front.join(step, ["method_uid", "block_id"]).select("method_uid", F.col("to_id").alias("block_id")).distinct()
-        front = materialize(new.join(all_, ["method_uid", "block_id"], "left_anti"), "reach")
-        all_ = materialize(all_.union(front), "reach-all")
-    return all_
+    stop = None if exclude is None else materialize(exclude.select(*keys).distinct(), "reach-stop")
+    out = Rounds(starts.distinct(), "reach")
+    while out.size:
+        front = out.front if stop is None else out.front.join(stop, keys, "left_anti")
+        new = front.join(step, ["method_uid", "block_id"]).drop("block_id").withColumnRenamed("to_id", "block_id").select(*keys).distinct()
+        out.add(new.join(out.all(), keys, "left_anti"))
+    return out.all()
+
+
+def loop_bodies(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """method_uid, header, block_id: the blocks of each natural loop, its header included: those that reach a strictly
+    backward edge into the header without passing it."""
+    s = blocks.select("method_uid", F.col("block_id").alias("from_id"), F.col("start_off").alias("from_off"))
+    t = blocks.select("method_uid", F.col("block_id").alias("to_id"), F.col("start_off").alias("to_off"))
+    back = edges.join(s, ["method_uid", "from_id"]).join(t, ["method_uid", "to_id"]).where("to_off < from_off")
+    latches = back.select("method_uid", F.col("to_id").alias("header"), F.col("from_id").alias("block_id")).distinct()
+    headers = latches.select("method_uid", "header", F.col("header").alias("block_id")).distinct()
+    reverse = edges.select("method_uid", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    return reachable(reverse, latches.union(headers), headers)
 
 
 def postorder(succ: dict[int, list[int]], entry: int) -> list[int]:
@@ -100,31 +120,33 @@ def postorder(succ: dict[int, list[int]], entry: int) -> list[int]:
 
 
 def dominators(succ: dict, entry) -> dict:
-    """Immediate dominators of the reachable nodes, the entry's None: sets shrink over reverse post-order as bit
-    masks until nothing changes; the closest strict dominator has the largest set."""
+    """Immediate dominators of the reachable nodes, the entry's None. In reverse post-order a dominator comes first, so
+    two candidates meet by climbing from whichever is later; passes go on until none changes."""
     order = postorder(succ, entry)[::-1]
-    bit = {n: 1 << i for i, n in enumerate(order)}
-    pred: dict = {n: [] for n in order}
+    at = {n: i for i, n in enumerate(order)}
+    pred: list[list[int]] = [[] for _ in order]
     for n in order:
         for c in succ.get(n, ()):
-            pred[c].append(n)
-    full = (1 << len(order)) - 1
-    dom = {n: full for n in order} | {entry: bit[entry]}
+            pred[at[c]].append(at[n])
+    up: list[int | None] = [0] + [None] * (len(order) - 1)
     changed = True
     while changed:
         changed = False
-        for n in order[1:]:
-            new = full
-            for p in pred[n]:
-                new &= dom[p]
-            new |= bit[n]
-            if new != dom[n]:
-                dom[n], changed = new, True
-    out = {entry: None}
-    for n in order[1:]:
-        strict = dom[n] & ~bit[n]
-        out[n] = max((m for m in order if bit[m] & strict), key=lambda m: dom[m].bit_count())
-    return out
+        for i in range(1, len(order)):
+            best = None
+            for p in pred[i]:
+                if up[p] is None:
+                    continue
+                if best is None:
+                    best = p
+                while best != p:
+                    if best > p:
+                        best = up[best]
+                    else:
+                        p = up[p]
+            if best != up[i]:
+                up[i], changed = best, True
+    return {n: order[up[i]] if i else None for i, n in enumerate(order)}
 
 
 def graph_facts(edges: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bytelens.runtime import materialize
+from bytelens.runtime import Rounds, materialize
 
 # Mnemonics by effect on registers: fixed values. Forms not listed have no effect (wide moves, unary
 # operations, conversions, compares, /2addr, lit16, typed array access).
 _BIN = "add|sub|mul|div|rem|and|or|xor|shl|shr|ushr"
-WRITE_FIRST_READ_REST = rf"^(move|move/from16|move/16|move-object|({_BIN})-(int|long)|(add|sub|mul|div|rem)-(float|double)|({_BIN})-int/lit8|aget|new-array|instance-of|iget(-.*)?)$"
+WRITE_FIRST_READ_REST = rf"^(move|move/from16|move/16|move-object|({_BIN})-(int|long)|(add|sub|mul|div|rem)-(float|double)|(rsub|add|mul|div|rem|and|or|xor|shl|shr|ushr)-int/lit8|aget|new-array|instance-of|iget(-.*)?)$"
 WRITE_FIRST = r"^(move-result(-wide|-object)?|const/4|const/16|const|const-string(/jumbo)?|const-class|new-instance|sget(-.*)?)$"
 READ_ALL = r"^(aput|iput(-.*)?|invoke-.*|if-(eq|ne|lt|ge|gt|le)z?|(packed|sparse)-switch|return(-wide|-object)?|throw|sput(-.*)?)$"
 
@@ -84,11 +84,12 @@ def reaching_use_def(rw: DataFrame, blocks: DataFrame, edges: DataFrame) -> Data
     def onward(front: DataFrame) -> DataFrame:
         return front.join(step, ["method_uid", "block_id"]).select("method_uid", F.col("to_id").alias("block_id"), "reg", "def_off").distinct()
 
-    reach = front = materialize(onward(gen), "reach-in")
-    while front.limit(1).count():
-        passed = front.join(gen.select(*key), key, "left_anti")
-        front = materialize(onward(passed).join(reach, [*key, "def_off"], "left_anti"), "reach-in")
-        reach = materialize(reach.union(front), "reach-all")
+    step = materialize(step, "reach-step")
+    reach = Rounds(onward(gen), "reach-in")
+    while reach.size:
+        passed = reach.front.join(gen.select(*key), key, "left_anti")
+        reach.add(onward(passed).join(reach.all(), [*key, "def_off"], "left_anti"))
+    reach = reach.all()
     w = W.partitionBy(*key).orderBy("off").rangeBetween(W.unboundedPreceding, -1)
     uses = rwb.withColumn("own", F.max(F.when(F.col("is_write"), F.col("off"))).over(w)).where("not is_write")
     inner = uses.where("own is not null").select("method_uid", F.col("off").alias("use_off"), "reg", F.col("own").alias("def_off"))
@@ -116,12 +117,11 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
     seeds: method_uid, off, reg. All seeds advance together; a round joins only what the last one added."""
     edges = materialize(edges, "flow-edges")
-    all_ = front = materialize(seeds.select("method_uid", F.col("off").alias("seed_off"), F.col("reg").alias("seed_reg"), "off", "reg").distinct(), "flow")
-    while front.limit(1).count():
-        new = front.join(edges, ["method_uid", "off", "reg"]).select("method_uid", "seed_off", "seed_reg", F.col("to_off").alias("off"), F.col("to_reg").alias("reg")).distinct()
-        front = materialize(new.join(all_, all_.columns, "left_anti"), "flow")
-        all_ = materialize(all_.union(front), "flow-all")
-    return all_
+    out = Rounds(seeds.select("method_uid", F.col("off").alias("seed_off"), F.col("reg").alias("seed_reg"), "off", "reg").distinct(), "flow")
+    while out.size:
+        new = out.front.join(edges, ["method_uid", "off", "reg"]).select("method_uid", "seed_off", "seed_reg", F.col("to_off").alias("off"), F.col("to_reg").alias("reg")).distinct()
+        out.add(new.join(out.all(), new.columns, "left_anti"))
+    return out.all()
 
 
 def tainted_reads(tainted: DataFrame, use_def: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from bytelens.operators.dataflow import closure, flow_edges, tainted_reads
-from bytelens.runtime import materialize
+from bytelens.runtime import Rounds, materialize
 
 # Detector categories in the order of a full run, their source and sink patterns: fixed values.
 _INTENT = ("getIntent", "getData", "getStringExtra", "getDataString", "getExtras", "getCharSequenceExtra")
@@ -40,12 +40,24 @@ def matching(refs: DataFrame, patterns: DataFrame, role: str) -> DataFrame:
     return refs.join(p, F.col("method_ref").contains(F.col("pattern"))).drop("pattern").distinct()
 
 
-def run_all(spark: SparkSession, reads: DataFrame, sources: DataFrame, invokes: DataFrame, detectors: dict | None = None) -> DataFrame:
+def with_sources(category: str, patterns: list[str], detectors: dict | None = None) -> dict:
+    """The detectors with other sources for one of them: the given patterns replace its own."""
+    table = dict(detectors or DETECTORS)
+    table[category] = (tuple(patterns), table[category][1])
+    return table
+
+
+def find(spark: SparkSession, rw: DataFrame, use_def: DataFrame, sources: DataFrame, invokes: DataFrame, detectors: dict | None = None, categories: list[str] | None = None) -> DataFrame:
     """category, method_uid, source_off (null for plain invoke scans), source_desc, sink_off, sink_desc; of
-    findings that share category, method and sink the first source stays."""
-    patterns = pattern_table(spark, detectors)
+    findings that share category, method and sink the first source stays. Only sources that a wanted detector names, in
+    methods that have one of its sinks, are followed."""
+    table = {c: d for c, d in (detectors or DETECTORS).items() if not categories or c in categories}
+    patterns = pattern_table(spark, table)
     src = matching(sources.select("method_uid", F.col("off").alias("seed_off"), F.col("reg").alias("seed_reg"), "method_ref"), patterns, "source").withColumnRenamed("method_ref", "source_desc")
-    snk = matching(invokes, patterns, "sink").withColumnRenamed("method_ref", "sink_desc")
+    snk = materialize(matching(invokes, patterns, "sink").withColumnRenamed("method_ref", "sink_desc"), "sinks")
+    src = materialize(src.join(snk.select("method_uid", "category").distinct(), ["method_uid", "category"], "left_semi"), "sources")
+    seeds = src.select("method_uid", F.col("seed_off").alias("off"), F.col("seed_reg").alias("reg")).distinct()
+    reads = tainted_reads(closure(seeds, flow_edges(rw, use_def)), use_def.join(snk.select("method_uid", F.col("off").alias("use_off")).distinct(), ["method_uid", "use_off"], "left_semi"))
     flows = reads.join(src, ["method_uid", "seed_off", "seed_reg"]).join(snk, ["method_uid", "off", "rank", "category"])
     flows = flows.select("rank", "category", "method_uid", F.col("seed_off").alias("source_off"), "source_desc", F.col("off").alias("sink_off"), "sink_desc")
     plain = matching(invokes, patterns, "invoke").select("rank", "category", "method_uid", F.lit(None).cast("long").alias("source_off"), F.lit("").alias("source_desc"), F.col("off").alias("sink_off"), F.col("method_ref").alias("sink_desc"))
@@ -73,11 +85,11 @@ def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invok
     one = rw.where("not is_write").groupBy("method_uid", "off").agg(F.count("*").alias("n"), F.first("reg").alias("reg")).where("n = 1").drop("n")
     d = use_def.select("method_uid", F.col("use_off").alias("off"), "reg", "def_off")
     front = created.select("method_uid", "invoke_off", F.col("invoke_off").alias("off"), F.col("intent").alias("reg")).join(d, ["method_uid", "off", "reg"]).select("method_uid", "invoke_off", "def_off").distinct()
-    seen = front = materialize(front, "pi-defs")
-    while front.limit(1).count():
-        nxt = front.select("method_uid", "invoke_off", F.col("def_off").alias("off")).join(one, ["method_uid", "off"]).join(d, ["method_uid", "off", "reg"]).select("method_uid", "invoke_off", "def_off").distinct()
-        front = materialize(nxt.join(seen, ["method_uid", "invoke_off", "def_off"], "left_anti"), "pi-defs")
-        seen = materialize(seen.union(front), "pi-all")
+    seen = Rounds(front, "pi-defs")
+    while seen.size:
+        nxt = seen.front.select("method_uid", "invoke_off", F.col("def_off").alias("off")).join(one, ["method_uid", "off"]).join(d, ["method_uid", "off", "reg"]).select("method_uid", "invoke_off", "def_off").distinct()
+        seen.add(nxt.join(seen.all(), ["method_uid", "invoke_off", "def_off"], "left_anti"))
+    seen = seen.all()
     setters = sources.where(any_of(PI_SETTERS)).select("method_uid", F.col("off").alias("def_off"))
     filled = seen.join(setters, ["method_uid", "def_off"]).select("method_uid", "invoke_off", F.lit(True).alias("filled")).distinct()
     seeds = created.select("method_uid", F.col("res_off").alias("off"), F.col("res_reg").alias("reg"))

@@ -74,15 +74,13 @@ edg AS (SELECT b.method_uid, b.block_id AS from_id, c.block_id AS to_id, CASE WH
 @query(f"WITH RECURSIVE {FINDINGS} SELECT method_uid, source_off, source_desc, sink_off, sink_desc FROM firsts WHERE category = 'sql_injection'")
 def taint_findings(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: SQL injection from API sources to sinks over straight-line definitions."""
-    return _findings(spark, d).where("category = 'sql_injection'").drop("category")
+    return _findings(spark, d, ["sql_injection"]).drop("category")
 
 
-def _findings(spark: SparkSession, d: str) -> DataFrame:
+def _findings(spark: SparkSession, d: str, categories: list[str] | None = None) -> DataFrame:
     ins, rw = _rw(spark, d)
     ud = materialize(df_.linear_use_def(rw), "ud")
-    src, inv = df_.api_sources(ins), df_.invoke_map(ins)
-    reads = df_.tainted_reads(df_.closure(src, df_.flow_edges(rw, ud)), ud)
-    return detectors.run_all(spark, reads, src, inv)
+    return detectors.find(spark, rw, ud, df_.api_sources(ins), df_.invoke_map(ins), categories=categories)
 
 
 @query(f"WITH RECURSIVE {FINDINGS} SELECT * FROM firsts")
