@@ -9,7 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
@@ -93,6 +93,26 @@ class Scratch:
         self.drop(*(t for t, _ in list(self.paths.values())))
 
 
+class Rounds:
+    """A table that grows by rounds: each round's new rows are written once, as a folder of their own, and never again."""
+
+    def __init__(self, first: DataFrame, tag: str):
+        self.spark, self.schema, self.tag = first.sparkSession, first.schema, tag
+        self.paths: list[str] = []
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        """The rows of a round; they are the front now."""
+        seen = Observation()
+        self.paths.append(fresh_path(self.spark, self.tag))
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.paths[-1])
+        self.size = seen.get["n"]
+        self.front = self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 KEY = ("__file", "__at")
 
 
