@@ -1,42 +1,48 @@
 """N-gram Jaccard join: a recursive, exact metric-space join.
 
 Two documents link when 100 * |X & Y| >= percent * |X | Y| over their sets of distinct word shingles, that
-is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in four exact steps:
+is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in exact steps:
 
 1. Equal sets (distance 0) become one node; its copies are never paired.
 2. The shingle space is cut into sub-spaces by hash. In a sub-space the distinct sub-sets are the pivots and
    a document lies in the Voronoi region of the pivot at distance 0. A linked pair differs in at most
-   D = floor(c / (1 + c) * (|X| + |Y|)) shingles, c = (1 - t) / (1 + t) scaled to the smaller set, so among
-   the first D + 1 non-empty sub-spaces of the smaller document at least one has both in the same region.
-   (Whole documents as first-level pivots don't separate texts: unrelated ones are all at distance 1 from
-   each other, so every window would hold every document. Sub-sets are pivots that do.)
+   D = floor((1 - t) / (1 + t) * (|X| + |Y|)) shingles, so in at most D sub-spaces: whatever order all regions
+   are put in, the first region that both share is among the first D + 1 of either. Regions that a sample of rows
+   finds crowded come last in that order, so a passage that a great share of documents hold gathers nobody who has
+   other regions. (Whole documents as first-level pivots don't separate texts: unrelated ones are all at distance
+   1 from each other, so every window would hold every document. Sub-sets are pivots that do.)
 3. The set of least hash in a region is its pivot; the regions of one pivot make its cell. A cell is covered by
    balls: a point is a pivot, the points that may link with it are its ball, and the next point outside all balls
    is the next pivot. Pairs of pivot and point, fewer than the cell has points, are verified on the whole sets,
-   and links inside balls join components at once.
+   and links inside balls join components at once. Cells of more than CELL points are covered in blocks, and
+   what the blocks leave, a point for each component, is covered again.
 4. Cells that still hold several components are joined recursively: two pivots make Voronoi regions,
-   the triangle inequality gives the window of documents replicated into both, down to small leaves. The
-   metric there is the L1 distance of shingle counts in BINS bins (up to 255 each), a lower bound of the
-   symmetric difference, so no link is lost; the pairs that are left are verified on the whole sets.
-
-Whole sets are never stored: only pairs that their bins don't rule out are joined with the two texts, which are
-dealt by node into buckets, the pairs of step 3 first, then those of step 4. Null and empty texts and texts without words have empty sets and link with nothing; a text of fewer words than a shingle is one shingle.
+   the triangle inequality gives the window of documents replicated into both, down to small leaves. A point first
+   meets the nearest point of each other component; while some have partners left that are neither tested nor in
+   their component by then, more of the nearest follow, round by round, so dense groups don't give all their pairs. The
+   metric there is the L1 distance of shingle counts in bins (as many as a quarter of the shingles, 256 at least; up to
+   255 each), a lower bound of the symmetric difference, so no link is lost; the pairs that are left are verified
+   on the whole sets. A cell of more than CELL points is dealt as pairs of blocks: its largest component against
+   the others, and the others against each other.
+
+Whole sets are never stored: only pairs that their bins don't rule out are joined with the two texts. Null and empty
+texts and texts without words have empty sets and link with nothing; a text of fewer words than a shingle is one
+shingle. Shingles and sets are told apart by 64-bit and 128-bit hashes.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
-from bytelens.runtime import fresh_path, keyed, materialize, ship
+from bytelens.runtime import KEY, Scratch, keyed, ship
 
-BINS, LEAF, FLAT = 256, 48, 64
+BINS, LEAF, FLAT, CELL = 256, 48, 64, 1024
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, k: int) -> list[np.ndarray]:
@@ -67,12 +73,29 @@ def space_bits(level: int, percent: int) -> int:
     return max(level - 2, (6 * (d + 1) // 5 - 1).bit_length())
 
 
-def region_keys(x: np.ndarray, percent: int, flat: bool) -> list[np.ndarray]:
-    """Keys of the regions that a set lies in. flat: each shingle is a sub-space of its own."""
+def bins_of(x: np.ndarray) -> bytes:
+    """Counts of a set's shingles in bins, by the low bits of their hashes."""
+    b = max(BINS, 1 << max(0, len(x) // 4 - 1).bit_length())
+    return np.bincount((x & np.uint64(b - 1)).astype(np.int64), minlength=b).clip(max=255).astype(np.uint8).tobytes()
+
+
+def bin_matrix(rows: list[bytes]) -> np.ndarray:
+    """Counts of all rows, folded to the bins of the row that has fewest: bins of equal low bits are added."""
+    width = min(map(len, rows))
+    if all(len(r) == width for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width).astype(np.int16)
+    return np.stack([np.frombuffer(r, np.uint8).reshape(-1, width).sum(0, dtype=np.int16) for r in rows])
+
+
+def links_at_most(n: int, percent: int) -> int:
+    """Differences that a link allows a set of n shingles with the largest partner it may have."""
+    return int(most_apart(n, n * 100 // percent, percent))
+
+
+def all_regions(x: np.ndarray, percent: int, flat: bool = False) -> list[np.ndarray]:
+    """Keys of the regions that a set lies in, in the order of their sub-spaces, for each level it takes part in; a level
+    holds sets of like sizes, and small sets have single shingles as sub-spaces, as flat asks for all."""
     n = len(x)
-    d = int(most_apart(n, n * 100 // percent, percent))
-    if d == 0:  # links with equal sets only, and with no set that it is the smaller of
-        return []
     level = 0 if flat or n < FLAT else n.bit_length()
     levels = [level]
     if level and n * percent <= 100 * (1 << (level - 1)):  # a partner may be of the level below
@@ -80,53 +103,88 @@ def region_keys(x: np.ndarray, percent: int, flat: bool) -> list[np.ndarray]:
     out = []
     for t in levels:
         if t == 0:
-            out.append(tc.mix(x[: d + 1] + np.uint64(1)))
+            out.append(tc.mix(x + np.uint64(1)))
             continue
-        m_bits = space_bits(t, percent)
-        part = x >> np.uint64(64 - m_bits)
+        part = x >> np.uint64(64 - space_bits(t, percent))
         cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        if len(cut) <= d:
-            raise ThinSet
-        sums = np.add.reduceat(tc.mix(x), cut)[: d + 1]
-        out.append(tc.mix(sums + part[cut[: d + 1]] * tc.MUL_B + np.uint64(t * int(tc.BASE) % (1 << 64))))
+        sums = np.add.reduceat(tc.mix(x), cut)
+        out.append(tc.mix(sums + part[cut] * tc.MUL_B + np.uint64(t * int(tc.BASE) % (1 << 64))))
     return out
 
 
-class ThinSet(Exception):
-    """A set leaves so many sub-spaces empty that the argument of step 2 fails. One such set makes the whole input go
-    again with single shingles as sub-spaces: exact, but the cells of common shingles are larger."""
+def is_thin(x: np.ndarray, percent: int) -> bool:
+    """Whether a set leaves so many sub-spaces empty that the argument of step 2 fails."""
+    return any(len(keys) <= links_at_most(len(x), percent) for keys in all_regions(x, percent))
+
+
+def region_keys(x: np.ndarray, percent: int, crowded: np.ndarray, flat: bool = False) -> np.ndarray:
+    """The first D + 1 regions of a set on each of its levels; crowded (sorted keys) are the last in order."""
+    d = links_at_most(len(x), percent)
+    if d == 0:  # links with equal sets only, and with no set that it is the smaller of
+        return np.empty(0, np.int64)
+    out = []
+    for keys in all_regions(x, percent, flat):
+        if len(crowded):
+            at = np.minimum(np.searchsorted(crowded, keys), len(crowded) - 1)
+            late = crowded[at] == keys
+            keys = np.concatenate((keys[~late], np.sort(keys[late])))
+        out.append(keys[: d + 1])
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int):
+    for batch in batches:
+        data, offs = tc.text_bytes(batch.column("text"))
+        for lo, hi in tc.chunks(offs):
+            yield batch, lo, hi, shingle_sets(data, offs, lo, hi, k)
 
 
-def _describe(k: int, percent: int, flat: bool):
+def names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, by its size and its shingles."""
+    h1 = np.array([np.add.reduce(s) if len(s) else 0 for s in sets], np.uint64)
+    n = np.array([len(s) for s in sets], np.uint64)
+    h2 = np.array([np.bitwise_xor.reduce(tc.mix(s ^ tc.MUL_A)) if len(s) else 0 for s in sets], np.uint64)
+    return tc.mix(h1 + n * tc.BASE).view(np.int64), h2.view(np.int64)
+
+
+def _describe(k: int, percent: int):
+    """Facts of each row's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = tc.text_bytes(batch.column("text"))
-            for lo, hi in tc.chunks(offs):
-                sets = shingle_sets(data, offs, lo, hi, k)
-                own = np.array([(len(s), int(np.add.reduce(s)) if len(s) else 0) for s in sets], dtype=object).reshape(-1, 2)
-                first = np.array([int(v) for v in own[:, 1]], np.uint64)
-                node = tc.mix(first + np.array([int(v) for v in own[:, 0]], np.uint64) * tc.BASE)
-                other = np.array([int(np.bitwise_xor.reduce(tc.mix(s ^ tc.MUL_A))) if len(s) else 0 for s in sets], np.uint64)
-                bins = [np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8).tobytes() for s in sets]
-                keys = []
-                for s in sets:
-                    try:
-                        got = region_keys(s, percent, flat)
-                        keys.append(np.unique(np.concatenate(got)).view(np.int64) if got else np.empty(0, np.int64))
-                    except ThinSet:
-                        keys.append(None)
-                thin = [x is None for x in keys]
-                flat_keys = [x if x is not None else np.empty(0, np.int64) for x in keys]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in flat_keys])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
-                        pa.array(own[:, 0].astype(np.int64)),
-                        pa.array(node.view(np.int64)), pa.array(other.view(np.int64)), pa.array(bins, pa.binary()), pa.array(thin),
-                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat_keys) if flat_keys else [], pa.int64())),
-                    ],
-                    names=["doc_id", "n", "h1", "h2", "bins", "thin", "keys"],
-                )
+        for batch, lo, hi, sets in _sets(batches, k):
+            h1, h2 = names(sets)
+            facts = [pa.array([len(s) for s in sets], pa.int64()), pa.array(h1), pa.array(h2), pa.array(map(bins_of, sets), pa.binary()), pa.array([is_thin(s, percent) for s in sets], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (*KEY, "doc_id")), *facts], names=[*KEY, "doc_id", "n", "h1", "h2", "bins", "thin"])
+
+    return run
+
+
+def _seats(k: int, percent: int, crowded, flat: bool = False):
+    """(key, h1) for each region of each distinct set of the task: copies inside it go once, so that a region
+    gets no more rows from the copies of one set than there are tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, seen = crowded.value, set()
+        for _, _, _, sets in _sets(batches, k):
+            h1, _ = names(sets)
+            keys, owners = [np.empty(0, np.int64)], []
+            for h, s in zip(h1.tolist(), sets, strict=True):
+                if h not in seen and len(s):
+                    seen.add(h)
+                    keys.append(region_keys(s, percent, late, flat))
+                    owners += [h] * len(keys[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owners, pa.int64())], names=["key", "h1"])
+
+    return run
+
+
+def _sampled(k: int, percent: int):
+    """All regions of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, sets in _sets(batches, k):
+            got = [key for s in sets if len(s) for key in all_regions(s, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(got) if got else np.empty(0, np.uint64)).view(np.int64))], names=["key"])
 
     return run
 
@@ -170,16 +228,22 @@ def star_cover(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) ->
         left = rest[~near]
 
 
-def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of different components whose L1 distance doesn't rule out a link. Recursive: two
+def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of different components whose L1 distance doesn't rule out a link. Recursive: two
     pivots, the nearer one's region, and the window of points that may link across the border. A pair comes
-    up once or more."""
+    up once or more. A point with more than `most` partners in a leaf gives its nearest ones, if most is 1 the nearest
+    of each other component, and the pair with itself, which says that others are left for a later round."""
 
     def leaf(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in x.tolist():
-            near = np.abs(v[y] - v[i]).sum(1) <= most_apart(n[i], n[y], percent)
-            js = y[near & (comp[y] != comp[i]) & (y != i)]
-            if len(js):
+            apart = np.abs(v[y] - v[i]).sum(1)
+            near = np.flatnonzero((apart <= most_apart(n[i], n[y], percent)) & (comp[y] != comp[i]))
+            if len(near) > most:
+                near = near[np.argsort(apart[near], kind="stable")]
+                near = near[np.unique(comp[y[near]], return_index=True)[1]] if most == 1 else near[:most]
+                yield np.array([i]), np.array([i])
+            if len(near):
+                js = y[near]
                 yield np.minimum(i, js), np.maximum(i, js)
 
     stack = [np.arange(len(n))]
@@ -204,7 +268,7 @@ def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) ->
         stack += [left, right]
 
 
-def _in_cells(search, percent: int):
+def _in_cells(search, *options):
     """Candidate pairs (a < b) that search finds in cells, from rows (key, node, comp, n, bins) sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +280,12 @@ def _in_cells(search, percent: int):
 
         def join(t: pa.Table) -> Iterator[pa.RecordBatch]:
             node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
-            v = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+            bins = t.column("bins").to_pylist()
             key = t.column("key").to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             found, size = [], 0
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                for i, j in search(v[a:b], n[a:b], comp[a:b], percent):
+                for i, j in search(bin_matrix(bins[a:b]), n[a:b], comp[a:b], *options):
                     found.append((node[a + i], node[a + j]))
                     size += len(j)
                     if size >= 10_000:
@@ -247,87 +311,133 @@ def _in_cells(search, percent: int):
     return run
 
 
-def _seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h1) for each region of each distinct set of the task: copies inside it go once, so that a region
-    gets no more rows from the copies of one set than there are tasks."""
-    seen: set[int] = set()
-    for batch in batches:
-        h1, keys = batch.column("h1"), batch.column("keys")
-        new = []
-        for i, h in enumerate(h1.to_pylist()):
-            if h not in seen:
-                seen.add(h)
-                new.append(i)
-        keys, h1 = keys.take(pa.array(new, pa.int64())), h1.take(pa.array(new, pa.int64()))
-        yield pa.RecordBatch.from_arrays([keys.flatten(), h1.take(keys.value_parent_indices())], names=["key", "h1"])
-
-
-def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, text of the nodes of pairs (a, b), as a table in the shared folder, in buckets by node: joins on node
-    move the other side only. A node's name is the doc_id of a row with its text. The list of nodes is a table, so
-    that its size is known when Spark chooses how to join it: a short list leaves the texts where they lie."""
+def join_pairs(s: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links among pairs (a, b) of nodes. The nodes' texts are fetched once; the list of nodes is a table, so
+    that its size is known when Spark chooses how to join it: a short list leaves the texts where they lie. One node
+    may be a in a great share of the pairs, but a pair takes part once on either side, so skewed joins can be split."""
+    wanted = s.write(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", *KEY), "node"), "jaccard-wanted")
+    texts = s.write(docs.select(*KEY, "text").join(wanted, [*KEY]).select("node", "text"), "jaccard-texts")
+    t = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    links = s.write(t.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long"), "jaccard-links")
+    s.drop(wanted, texts)
+    return links
+
+
+def _search(rows: DataFrame, facts: DataFrame, search, *options) -> DataFrame:
+    """Distinct candidate pairs that search finds in the groups of rows (key, node, comp)."""
+    placed = rows.join(facts, "node").select("key", "node", "comp", "n", "bins")
+    return placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(search, *options), "a long, b long").distinct()
+
+
+def _block(count: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(count / CELL)))
+
+
+def _deal(seated: DataFrame) -> DataFrame:
+    """(key, node, comp) of the groups that cells (pivot, node, comp) of several components are joined in: a cell of at
+    most CELL points is one; a larger one is dealt as pairs of blocks, so that no group has over about twice as many and
+    every two points of different components meet in one."""
+    comps = seated.groupBy("pivot", "comp").agg(F.count("*").alias("m"))
+    cells = comps.groupBy("pivot").agg(F.sum("m").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("m", "comp")).alias("major")).where("kinds > 1 and size > 2")
+    cells = cells.select("pivot", "size", F.col("major.comp").alias("major"), F.ceil(F.col("major.m") / CELL).alias("mb"), F.ceil((F.col("size") - F.col("major.m")) / CELL).alias("sb"))
+    rows = seated.join(cells, "pivot")
+    small = rows.where(F.col("size") <= CELL).select(F.xxhash64("pivot").alias("key"), "node", "comp")
+    large = rows.where(F.col("size") > CELL).withColumn("own", F.when(F.col("comp") == F.col("major"), F.pmod(F.xxhash64("node"), "mb")).otherwise(F.pmod(F.xxhash64("node"), "sb")))
+    across = large.withColumn("to", F.explode(F.when(F.col("comp") == F.col("major"), F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))))
+    first = F.col("comp") == F.col("major")
+    across = across.select(F.xxhash64("pivot", F.lit("m"), F.when(first, F.col("own")).otherwise(F.col("to")), F.when(first, F.col("to")).otherwise(F.col("own"))).alias("key"), "node", "comp")
+    others = large.where("comp != major").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)))
+    others = others.select(F.xxhash64("pivot", F.lit("s"), F.least("own", "to"), F.greatest("own", "to")).alias("key"), "node", "comp")
+    return small.union(across).union(others)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): rows has the key, doc_id, n and set's hashes of each row; sets has h1, h2, n and comp, the component, of
+    each set that links with another or is a node. docs: __file, __at, doc_id, text. Both are tables that stay."""
     spark = docs.sparkSession
-    nodes = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-nodes")
-    texts = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
-    name, n = f"jaccard_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, "jaccard-texts")).bucketBy(n, "node").saveAsTable(name)
-    return spark.table(name)
-
-
-def join_pairs(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links among pairs (a, b) of nodes. One node may be a in a great share of the pairs: the texts of
-    a are written apart, so that the join on a can be split where it is skewed."""
-    texts = texts_of(pairs, docs)
-    first = materialize(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "jaccard-pivots")
-    t = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(first.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return t.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, flat: bool = False) -> DataFrame:
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    with Scratch(spark) as s:
+        facts_kind = f"__file long, __at long, doc_id {id_kind}, n long, h1 long, h2 long, bins binary, thin boolean"
+        described = s.write(docs.mapInArrow(_describe(k, percent), facts_kind), "jaccard-sets")
+        total = described.count()
+        # a node stands for all rows with one set; its texts are those of one of them
+        nodes = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct(*KEY)).alias("at"))
+        nodes = s.write(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "at.*"), "jaccard-nodes")
+        part = docs.where(F.pmod(F.xxhash64(F.lit(29), *KEY), F.lit(max(1, total // sample_rows))) == 0)
+        crowd = part.select("text").mapInArrow(_sampled(k, percent), "key long").groupBy("key").count().where(F.col("count") >= max(16, sample_rows // 128))
+        crowded = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in crowd.select("key").collect()], np.int64).view(np.uint64)))
+        seats = docs.select("text").mapInArrow(_seats(k, percent, crowded), "key long, h1 long")
+        if described.where("thin").limit(1).count():  # thin sets against all, by single shingles
+            thin = docs.join(described.where("thin").select(*KEY), [*KEY], "left_semi").select("text")
+            flat = s.write(thin.mapInArrow(_seats(k, percent, crowded, True), "key long, h1 long"), "jaccard-thin")
+            seats = seats.union(docs.select("text").mapInArrow(_seats(k, percent, crowded, True), "key long, h1 long").join(flat.select("key").distinct(), "key", "left_semi"))
+        region = Window.partitionBy("key")
+        shared = seats.select("h1", F.min("h1").over(region).alias("lo"), F.max("h1").over(region).alias("hi")).where("lo != hi")
+        # the cell of a pivot: all nodes that share a region whose least set it is
+        cells = s.write(shared.select("lo", "h1").distinct().join(nodes.select("h1", "node"), "h1").select(F.col("lo").alias("pivot"), "node").distinct(), "jaccard-cells")
+        inside = s.write(nodes.join(cells.select("node").distinct(), "node", "left_semi").select("node", *KEY), "jaccard-inside")
+        facts = s.write(described.select(*KEY, "n", "bins").join(inside, [*KEY]).select("node", "n", "bins"), "jaccard-facts")
+        s.drop(inside)
+        links, comp, tested, left, rounds = None, None, None, cells.withColumn("comp", F.col("node")), 0
+        while True:  # a second round only where a cell is larger than a block
+            sizes = left.groupBy("pivot").agg(F.count("*").alias("size"))
+            placed = left.join(sizes.where(F.col("size") > CELL), "pivot", "left").select(F.xxhash64("pivot", _block(F.coalesce("size", F.lit(1)))).alias("key"), "node", "comp")
+            balls = s.write(_search(placed, facts, star_cover, percent), "jaccard-balls")
+            found = join_pairs(s, balls, nodes, docs, k, percent)
+            tested = balls if tested is None else tested.union(balls)
+            links = found if links is None else links.union(found)
+            comp = components(s, links)
+            seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            before, rounds = left, rounds + 1
+            left = s.write(seated.groupBy("pivot", "comp").agg(F.min("node").alias("node")).select("pivot", "node", "comp"), "jaccard-left")
+            large = left.groupBy("pivot").count().where(F.col("count") > CELL)
+            if not large.limit(1).count() or (rounds > 1 and left.count() > 0.9 * before.count()):
+                break
+        most = 1
+        while True:  # nearest partners of each point, until no point has any left that are not tested or joined by now
+            got = s.write(_search(_deal(seated), facts, quick_join, percent, most), "jaccard-near")
+            left_over = got.where("a = b").limit(1).count() > 0
+            more = s.write(got.where("a != b").join(tested, ["a", "b"], "left_anti"), "jaccard-more")
+            if more.limit(1).count():
+                links = links.union(join_pairs(s, more, nodes, docs, k, percent))
+                comp = components(s, links)
+                seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                tested = tested.union(more)
+            s.drop(got)
+            if not left_over:
+                break
+            most *= 8
+        sets = s.keep(nodes.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-classes")
+        rows = s.keep(described.select(*KEY, "doc_id", "n", "h1", "h2"), "jaccard-rows")
+    return rows, sets
+
+
+def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, sample_rows: int = 8192) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), one row for
-    each row of docs. doc_id must be an integer and not null, and rows that share one should
-    have one text: two texts under one doc_id share a node's name, and only one of them is verified. keep_one gives
-    rows keys of their own. Columns of docs other than doc_id and text are not read."""
-    spark = ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    kind = "doc_id long, n long, h1 long, h2 long, bins binary, thin boolean, keys array<long>"
-    described = materialize(docs.mapInArrow(_describe(k, percent, flat), kind), "jaccard-sets")
-    if not flat and described.where("thin").limit(1).count():
-        return jaccard_components(docs, k=k, percent=percent, flat=True)
-    # a node stands for all rows with one set; it is named by the smallest doc_id among them
-    named = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
-    in_regions = described.where(F.size("keys") > 0).select("h1", "keys").mapInArrow(_seats, "key long, h1 long")
-    region = Window.partitionBy("key")
-    shared = in_regions.select("h1", F.min("h1").over(region).alias("lo"), F.max("h1").over(region).alias("hi")).where("lo != hi")
-    seats = shared.select("lo", "h1").distinct()
-    # the cell of a pivot: all nodes that share a region whose least set it is
-    cells = seats.join(named.select("h1", "node"), "h1").join(named.select(F.col("h1").alias("lo"), F.col("node").alias("pivot")), "lo")
-    cells = materialize(cells.select("pivot", "node").distinct(), "jaccard-cells")
-    wanted = materialize(cells.select("node").distinct(), "jaccard-wanted")
-    facts = described.select(F.col("doc_id").alias("node"), "n", "bins").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    facts = materialize(facts, "jaccard-facts")
-    placed = cells.withColumn("comp", F.col("node")).join(facts, "node").select(F.col("pivot").alias("key"), "node", "comp", "n", "bins")
-    balls = placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(star_cover, percent), "a long, b long")
-    balls = materialize(balls.distinct(), "jaccard-balls")
-    links = materialize(join_pairs(balls, docs, k, percent), "jaccard-links")
-    comp = components(links)
-    seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = seated.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi and size > 2").select("pivot")
-    open_cells = seated.join(split, "pivot").select(F.col("pivot").alias("key"), "node", "comp").join(facts, "node").select("key", "node", "comp", "n", "bins")
-    more = open_cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(quick_join, percent), "a long, b long").distinct()
-    more = materialize(more.join(balls, ["a", "b"], "left_anti"), "jaccard-more")
-    if more.limit(1).count():
-        links = links.union(materialize(join_pairs(more, docs, k, percent), "jaccard-links"))
-        comp = components(links)
-    out = described.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named.select("h1", "h2", F.col("n").alias("n_shingles"), "node"), ["h1", "h2", "n_shingles"], "left")
-    return out.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component, that of its smallest doc_id (null is the largest); docs' columns. Rows are nodes by a
-    key of their own, so doc_id may be null, may repeat and may be of any type that has an order."""
-    rows = keyed(docs, "jaccard-rows")
-    comp = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
-    ids = rows.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("place"))
-    kept = ids.join(comp.withColumnRenamed("doc_id", "__row"), "__row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    each row of docs. Rows are told apart by keys of their own and sets by their content, so doc_id may be null (a
+    component of nulls only has none), may repeat with equal or different texts, and may be of any type with an order.
+    Empty tables give no rows; columns of docs other than doc_id and text are not read. sample_rows: about how many rows
+    are looked at for crowded regions, which changes the order of the work only."""
+    ship(docs.sparkSession)
+    docs = keyed(docs.select("doc_id", "text", *(c for c in KEY if c in docs.columns)), "jaccard-keyed")
+    rows, sets = _classes(docs, k, percent, sample_rows)
+    same = ["h1", "h2", "n"]
+    least = rows.groupBy(*same).agg(F.min("doc_id").alias("least")).join(sets, same).groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = Scratch(docs.sparkSession).keep(sets.join(least, "comp").select(*same, "component_id"), "jaccard-named")
+    out = rows.join(named, same, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, sample_rows: int = 8192) -> DataFrame:
+    """One row of each component, that of its smallest doc_id (null is the largest); docs' columns. Documents without words
+    all stay. Rows have keys of their own, so doc_id may be null, may repeat and may be of any type that has an order."""
+    ship(docs.sparkSession)
+    columns = [c for c in docs.columns if c not in KEY]
+    docs = keyed(docs, "jaccard-keyed")
+    rows, sets = _classes(docs.select(*KEY, "doc_id", "text"), k, percent, sample_rows)
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("place")
+    best = rows.where("n > 0").groupBy("h1", "h2", "n").agg(place)  # of each set, then of each component
+    best = best.join(sets, ["h1", "h2", "n"]).groupBy("comp").agg(F.min("place").alias("place"))
+    kept = best.select(*(F.col(f"place.{c}").alias(c) for c in KEY)).union(rows.where("n = 0").select(*KEY))
+    kept = Scratch(docs.sparkSession).keep(kept, "jaccard-kept")
+    return docs.join(kept, [*KEY], "left_semi").select(*columns)

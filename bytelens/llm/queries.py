@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bytelens.llm import decontaminate, jaccard_join, license_scan, media, mixing, pii, quality, suffix_dedup, token_counts
 from bytelens.llm.sharding import Dataset, digest as sharded_digest
-from bytelens.runtime import fresh_path
+from bytelens.runtime import file_keys, fresh_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mix(_read(spark, sf_dir, "documents")))
+    return mixing.digest(mixing.mix(file_keys(_read(spark, sf_dir, "documents"))))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
+    return jaccard_join.jaccard_components(file_keys(_read(spark, sf_dir, "documents")), k=4, percent=85)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")))
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(file_keys(_read(spark, sf_dir, "documents"))))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

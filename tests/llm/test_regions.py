@@ -1,4 +1,4 @@
-"""Regions of shingle sub-sets."""
+"""Regions of shingle sub-sets, cells that are dealt in blocks, and rows told apart by keys of their own."""
 
 import random
 import re
@@ -9,11 +9,51 @@ import pytest
 from bytelens.llm import jaccard_join
 
 
+def brute(rows, k, percent):
+    """n_shingles and component_id of each (doc_id, text), as a sorted list."""
+    sets = []
+    for _, x in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    comp = list(range(len(rows)))
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                comp[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def got(spark, rows, kind="long", **options):
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    return sorted(map(tuple, jaccard_join.jaccard_components(docs, **options).collect()), key=str)
+
+
+def corpus(seed, sizes, shared=""):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeé") for _ in range(4)) for _ in range(400)]
+    texts = []
+    for n in sizes:
+        base = [r.choice(words) for _ in range(n)]
+        texts += [" ".join(w if r.random() > p else "x" for w in base) + shared for p in (0, 0.01, 0.02, 0.03)]
+        texts += [" ".join(base[: int(n * c)]) + shared for c in (0.8, 0.85, 0.9)]
+    return list(enumerate(texts))
+
+
 @pytest.mark.parametrize("percent", [80, 85, 90])
 def test_ordinary_sets_are_not_thin(percent):
     r = np.random.Generator(np.random.PCG64(6))
     for n in [*range(64, 330, 3), 511, 512, 513, 600, 640, 641, 1023, 1024, 1279, 1280, 4095, 4096, 5000]:
-        jaccard_join.region_keys(np.sort(r.integers(0, 2**64, n, dtype=np.uint64)), percent, False)
+        assert not jaccard_join.is_thin(np.sort(r.integers(0, 2**64, n, dtype=np.uint64)), percent)
 
 
 @pytest.mark.parametrize("level", range(7, 24))
@@ -21,23 +61,54 @@ def test_sub_spaces_of_85_percent_stay(level):
     assert jaccard_join.space_bits(level, 85) == level - 2 and jaccard_join.space_bits(level, 80) == level - 1
 
 
-def test_eighty_percent_without_single_shingles(spark, monkeypatch):
-    r = random.Random(3)
-    words = ["".join(r.choice("abcdeé") for _ in range(4)) for _ in range(400)]
-    texts = []
-    for n in (70, 100, 127, 128, 140, 160, 200, 256, 300):
-        base = [r.choice(words) for _ in range(n)]
-        texts += [" ".join(w if r.random() > p else "x" for w in base) for p in (0, 0.01, 0.02, 0.03)] + [" ".join(base[: int(n * c)]) for c in (0.8, 0.85, 0.9)]
-    whole, calls = jaccard_join.jaccard_components, []
-    monkeypatch.setattr(jaccard_join, "jaccard_components", lambda *a, **k: calls.append(k) or whole(*a, **k))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(docs, k=5, percent=80).collect()}
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (re.split(" ", x) for x in texts)]
-    comp = list(range(len(texts)))
-    for _ in range(6):
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if 100 * len(a & b) >= 80 * len(a | b):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
-    assert [got[i] for i in range(len(texts))] == comp and len(set(comp)) < len(comp)
-    assert calls == [{"k": 5, "percent": 80}]
+@pytest.mark.parametrize("k,percent", [(5, 80), (4, 85)])
+def test_links_of_all_sizes(spark, k, percent):
+    rows = corpus(3, (6, 20, 40, 63, 70, 100, 127, 128, 140, 200, 256, 300, 1500))
+    want = brute(rows, k, percent)
+    assert got(spark, rows, k=k, percent=percent) == want and len({c for _, _, c in want}) < len(rows)
+
+
+def test_cells_in_blocks(spark, monkeypatch):
+    """Cells of more than CELL points: blocks, representatives and pairs of blocks lose no link."""
+    monkeypatch.setattr(jaccard_join, "CELL", 3)
+    rows = corpus(4, (12, 14, 30, 30, 50, 90, 90, 200), " and this one passage stands at the end of each of them")
+    assert got(spark, rows, k=5, percent=80) == brute(rows, 5, 80)
+
+
+def test_crowded_regions_come_last(spark):
+    """A passage that all rows share: the regions it makes are found in the sample, and links stay whole."""
+    rows = corpus(5, (20, 25, 30, 35, 40, 45, 50, 55, 60) * 3, " and this one passage of a dozen words stands at the end of each")
+    assert got(spark, rows, k=5, percent=80, sample_rows=64) == brute(rows, 5, 80)
+
+
+def test_thin_sets_are_joined_by_single_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "is_thin", lambda x, percent: len(x) % 3 == 0)
+    rows = corpus(6, (70, 71, 72, 100, 130, 200))
+    assert got(spark, rows, k=4, percent=85) == brute(rows, 4, 85)
+
+
+def test_one_id_with_two_texts(spark):
+    """Identity is the row's: each text links on its own, whatever its doc_id."""
+    r = random.Random(9)
+    a, b = (" ".join(r.choice(["of", "sea", "hill", "tree", "stone", "wood"]) + str(i % 7) for i in range(80)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, b + " q"), (3, a + " q"), (4, None), (4, ""), (5, a), (5, a), (None, b), (None, "of it")]
+    assert got(spark, rows) == brute(rows, 4, 85)
+    text = [(None if d is None else f"id{d}", x) for d, x in rows]
+    assert got(spark, text, kind="string") == brute(text, 4, 85)
+
+
+def test_empty_table_and_clashing_names(spark):
+    assert got(spark, []) == []
+    docs = spark.createDataFrame([(1, "a b c d e", 7, 8, "k"), (2, "a b c d e", 1, 2, "k")], "doc_id long, text string, n long, comp long, key string")
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == [(1, 2, 1), (2, 2, 1)]
+    assert [tuple(r) for r in jaccard_join.keep_one(docs).collect()] == [(1, "a b c d e", 7, 8, "k")]
+
+
+def test_bins_bound_the_difference():
+    r = np.random.Generator(np.random.PCG64(8))
+    pool = np.unique(r.integers(0, 2**64, 9000, dtype=np.uint64))
+    for n in (100, 1024, 1025, 4000, 8000):
+        x, y = np.sort(pool[:n]), np.sort(pool[n // 10 : n + n // 20])
+        m = jaccard_join.bin_matrix([jaccard_join.bins_of(x), jaccard_join.bins_of(y)])
+        apart = len(np.setxor1d(x, y))
+        assert apart / 2 < np.abs(m[0] - m[1]).sum() <= apart
