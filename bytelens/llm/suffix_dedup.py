@@ -1,22 +1,26 @@
 """Suffix-array removal of repeated byte strings across a corpus, partitioned by content.
 
 A byte goes when it is covered by a string of `length` bytes that also starts anywhere else, in the same
-document or another. Strings never cross documents.
+document or another. A byte is shared when it is covered by a string of `short` bytes (at most `length`) that also
+starts in another document: shorter passages that repeat are told so, not removed. Strings never cross documents.
 
-1. Each string of `length` bytes is named by its minimizer, the smallest hash of its GRAM-byte pieces, so equal
+1. Each string of `short` bytes is named by its minimizer, the smallest hash of its GRAM-byte pieces, so equal
    strings have equal minimizers at equal places. Consecutive starts with one minimizer form a run; its
-   context is the bytes from the first start to the last string's end. Runs travel as hashes.
+   context is the bytes from the first start to `length` bytes after the last, or the text's end. Runs travel as
+   hashes; those whose minimizer stands nowhere else fall away.
 2. Equal contexts are repeated as a whole: counting decides, whatever the number of copies.
 3. Minimizers that have several different contexts are decided by suffix arrays: their contexts meet in a task
    (whole groups, about CHUNK bytes at a time), a two-stage sort orders the suffixes to `length` bytes (only
    those smaller than their successors are sorted directly, the rest are induced by bucket scans), and a
-   start is repeated where the common prefix with a neighbour reaches `length`.
+   start is repeated where the common prefix with a neighbour reaches `length`, or `short`.
 4. A group of more than group_limit contexts is never gathered: its runs are cut into cells of 32, then 8,
    then 1 starts, regrouped by the hash of the bytes that all strings of the cell share. Cells that
-   stand alone fall away; groups that have become small enough go to step 3; at one start a count decides.
+   stand alone fall away; groups that have become small enough go to step 3; at one start counts decide.
 
-Contexts are compared by 128-bit hashes, suffixes by their bytes. Null is the empty text; texts shorter than
-`length` lose nothing; repeated rows repeat each other.
+Contexts, and strings that counts decide on, are compared by 128-bit hashes, suffixes by their bytes. Rows are told
+apart by keys of their own, so doc_id may be null, may repeat and may be of any type. Null is the empty text; texts
+shorter than `short` lose nothing; repeated rows repeat each other; an empty table gives no rows; other columns are not
+read. A text of any length is read as a whole, in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bytelens.llm import textcore as tc
-from bytelens.runtime import materialize, ship
+from bytelens.runtime import KEY, Scratch, keyed, ship
 
 GRAM, CHUNK = 64, 1 << 20
 CODE_2 = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -57,22 +61,23 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs_of(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, length: int):
-    """row, first start, number of starts, minimizer's place, its hash, two context hashes; places within the row."""
+def runs_of(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, short: int, length: int):
+    """row, first start, number of starts, way from the first start to the minimizer, the context's size, the
+    minimizer's hash, two context hashes; places within the row."""
     base = int(offs[lo])
     buf = data[base : offs[hi]]
     empty = np.empty(0, np.int64)
-    if len(buf) < length:
-        return (empty,) * 7
+    if len(buf) < short:
+        return (empty,) * 8
     h1 = Hashes(buf)
     starts = np.arange(len(buf) - GRAM + 1)
     grams = h1(starts, starts + GRAM)
     bits = np.uint64(max(1, int(len(buf)).bit_length()))
     keyed = (grams >> bits << bits) | starts.astype(np.uint64)
-    least = window_minima(keyed, length - GRAM + 1)
+    least = window_minima(keyed, short - GRAM + 1)
     cuts = offs[lo : hi + 1] - base
-    row = np.searchsorted(cuts, np.arange(len(least)), "right") - 1
-    inside = np.arange(len(least)) + length <= cuts[row + 1]
+    row = np.repeat(np.arange(hi - lo), np.diff(cuts))[: len(least)]
+    inside = np.arange(len(least)) + short <= cuts[row + 1]
     key = np.where(inside, (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), -1)
     new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
     n = np.diff(np.append(new, len(key)))
@@ -80,21 +85,20 @@ def runs_of(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, length: int):
     first, n = new[ok], n[ok]
     place, r = key[first], row[first]
     h2 = Hashes(buf, CODE_2)
-    end = first + n - 1 + length
-    # the place of the minimizer and the number of starts belong to the context's name
-    extra = ((place - first) * 65_537 + n).astype(np.uint64)
-    return r + lo, first - cuts[r], n, place - cuts[r], grams[place], tc.mix(h1(first, end) ^ extra * tc.MUL_A), tc.mix(h2(first, end) ^ extra * tc.MUL_B)
+    end = np.minimum(first + n - 1 + length, cuts[r + 1])
+    # the place of the minimizer, the number of starts and the size belong to the context's name
+    extra = (((place - first) * 65_537 + n) * 65_537 + end - first).astype(np.uint64)
+    return r + lo, first - cuts[r], n, place - first, end - first, grams[place], tc.mix(h1(first, end) ^ extra * tc.MUL_A), tc.mix(h2(first, end) ^ extra * tc.MUL_B)
 
 
-def _runs(length: int):
+def _runs(short: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "first", "n", "place", "g", "c1", "c2"]
+        names = [*KEY, "first", "n", "lead", "size", "g", "c1", "c2"]
         for batch in batches:
             data, offs = tc.text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").cast(pa.int64())
             for lo, hi in tc.chunks(offs):
-                r, first, n, place, g, c1, c2 = runs_of(data, offs, lo, hi, length)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(first), pa.array(n), pa.array(place), *(pa.array(np.asarray(x).view(np.int64)) for x in (g, c1, c2))], names=names)
+                r, *facts = runs_of(data, offs, lo, hi, short, length)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(r)) for c in KEY), *(pa.array(np.asarray(x).view(np.int64)) for x in facts)], names=names)
 
     return run
 
@@ -144,31 +148,66 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The given suffixes in order of their first `depth` bytes: eight bytes at a time, only ties go on."""
+    """The given suffixes in order of their first `depth` bytes. Eight bytes order most; of those that tie, suffixes whose
+    hashes to `depth` agree go on as one, and a group of ties skips what all its members share (found by hashes too)."""
+    if not len(at):
+        return at
+    depth = -(-depth // 8) * 8
     padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     word = lambda p: words[p].copy().view(">u8").ravel().astype(np.uint64)
-    order = at[np.argsort(word(at), kind="stable")] if len(at) else at
-    if not len(order):
-        return order
-    w = word(order)
+    w = word(at)
+    o = np.argsort(w, kind="stable")
+    order, w = at[o], w[o]
     head = np.concatenate(([True], w[1:] != w[:-1]))
-    for d in range(8, depth, 8):
-        group = np.cumsum(head) - 1
-        tied = np.flatnonzero(~head | np.append(~head[1:], False))
-        if not len(tied):
+    tied = np.flatnonzero(~head | np.append(~head[1:], False))
+    if not len(tied):
+        return order
+    hashes = Hashes(padded)
+    group = np.cumsum(head) - 1
+    p, g = order[tied], group[tied]
+    whole = hashes(p, p + depth)
+    o = np.lexsort((whole, g))
+    p, g, whole = p[o], g[o], whole[o]
+    new = np.concatenate(([True], (whole[1:] != whole[:-1]) | (g[1:] != g[:-1])))
+    kind = np.cumsum(new) - 1  # suffixes of one kind are equal to `depth`
+    rep, own = p[new], g[new]  # a representative of each kind, and its group
+    place = np.arange(len(rep))  # representatives' kinds, in the order found so far
+    first = np.concatenate(([True], own[1:] != own[:-1]))
+    known = np.full(len(rep), 8)
+    while True:
+        live = np.flatnonzero(~first | np.append(~first[1:], False))
+        if not len(live):
             break
-        p, g = order[tied], group[tied]
-        w = word(p + d)
-        o = np.lexsort((w, g))
-        order[tied] = p[o]
-        w, g = w[o], g[o]
-        head[tied] = np.concatenate(([True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])))
+        q = rep[place[live]]
+        begin = first[live]
+        nth = np.cumsum(begin) - 1
+        anchor = q[begin][nth]
+        low, high = known[live], np.full(len(live), depth)
+        while (low < high).any():  # common prefix with the group's first, in steps of eight
+            mid = np.minimum((low + high + 8) // 16 * 8, high)
+            mid = np.where(mid <= low, np.minimum(low + 8, high), mid)
+            same = hashes(q, q + mid) == hashes(anchor, anchor + mid)
+            low, high = np.where(same & (low < high), mid, low), np.where(same, high, np.maximum(low, mid - 8))
+        skip = np.minimum.reduceat(low, np.flatnonzero(begin))[nth]
+        skip = np.minimum(skip, depth - 1) // 8 * 8
+        w = word(q + skip)
+        o = np.lexsort((w, nth))
+        place[live] = place[live][o]
+        w, g = w[o], nth[o]
+        first[live] = np.concatenate(([True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])))
+        known[live] = np.minimum(skip[o] + 8, depth)
+        if (skip + 8 >= depth).all():
+            break
+    rank = np.empty(len(rep), np.int64)
+    rank[place] = np.arange(len(rep))
+    order[tied] = p[np.argsort(rank[kind], kind="stable")]
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it, to `depth`."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it, to `depth`, and to the ends of either's part
+    of the text (ends has a value for each place; the text's end by default)."""
     out = np.zeros(len(order), np.int64)
     if len(order) < 2:
         return out
@@ -176,6 +215,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     a, b, live = order[:-1], order[1:], np.arange(1, len(order))
     room = np.minimum(len(text) - np.maximum(a, b), depth)
+    if ends is not None:
+        room = np.minimum(room, np.minimum(ends[a] - a, ends[b] - b))
     for d in range(0, depth, 8):
         x = (words[a + d] ^ words[b + d]).view("<u8").ravel()
         same = x == 0
@@ -190,21 +231,29 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return out
 
 
-def repeated_starts(contexts: list[bytes], starts: list[int], length: int) -> list[np.ndarray]:
-    """For each context, which of its first `starts` places start a string of `length` bytes that also starts
-    at another such place."""
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    at = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
-    wanted = np.zeros(len(text), bool)
-    for a, n in zip(at[:-1].tolist(), starts, strict=True):
-        wanted[a : a + n] = True
+def repeated_starts(rows: list[dict], short: int, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each context (bytes, n, and lo and hi: its least and greatest document), which of its n starts begin a string of
+    `length` bytes that begins at another start too, and which a string of `short` bytes that another document has."""
+    text = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+    sizes = np.array([len(r["bytes"]) for r in rows], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    ends, within = at[owner + 1], np.arange(len(text)) - at[owner]
+    starts = np.array([r["n"] for r in rows], np.int64)
+    lo, hi = (np.array([r[c] for r in rows], np.int64) for c in ("lo", "hi"))
     order = two_stage(text, length)
-    order = order[wanted[order]]
-    close = common_prefixes(text, order, length) >= length
-    hit = np.zeros(len(text), bool)
-    hit[order[close]] = True
-    hit[order[np.flatnonzero(close) - 1]] = True
-    return [np.flatnonzero(hit[a : a + n]) for a, n in zip(at[:-1].tolist(), starts, strict=True)]
+    out = []
+    for size in (length, short):
+        own = order[(within[order] < starts[owner[order]]) & (within[order] + size <= sizes[owner[order]])]
+        hit = np.zeros(len(text), bool)
+        if len(own) > 1:
+            head = np.flatnonzero(common_prefixes(text, own, size, ends) < size)
+            many = np.diff(np.append(head, len(own))) > 1
+            if size == short:
+                many &= np.minimum.reduceat(lo[owner[own]], head) != np.maximum.reduceat(hi[owner[own]], head)
+            hit[own[np.repeat(many, np.diff(np.append(head, len(own))))]] = True
+        out.append([np.flatnonzero(hit[a : a + n]) for a, n in zip(at[:-1].tolist(), starts.tolist(), strict=True)])
+    return out[0], out[1]
 
 
 def _stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -214,13 +263,16 @@ def _stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(x[a]), int(x[b - 1]) + 1
 
 
-def _sort_groups(length: int):
-    """c1, c2, start from, to (exclusive), from rows (key, c1, c2, w0, n, bytes) sorted by key."""
+LONG, SHORT = 0, 1  # what a found stretch of starts is
+
+
+def _sort_groups(short: int, length: int):
+    """c1, c2, start from, to (exclusive), what, from rows (key, c1, c2, lo, hi, w0, n, bytes) sorted by key."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        got = repeated_starts([r["bytes"] for r in rows], [r["n"] for r in rows], length)
-        out = [(r["c1"], r["c2"], r["w0"] + a, r["w0"] + b) for r, x in zip(rows, got, strict=True) for a, b in _stretches(x)]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["c1", "c2", "from", "to"])
+        got = repeated_starts(rows, short, length)
+        out = [(r["c1"], r["c2"], r["w0"] + a, r["w0"] + b, what) for what in (LONG, SHORT) for r, x in zip(rows, got[what], strict=True) for a, b in _stretches(x)]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], names=["c1", "c2", "from", "to", "what"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[dict] = []
@@ -245,7 +297,16 @@ def _sort_groups(length: int):
     return run
 
 
-def _cells(size: int, length: int):
+WORK = ["key", "c1", "c2", "lo", "hi", "w0", "n", "lead", "bytes"]
+WORK_KIND = "key long, c1 long, c2 long, lo long, hi long, w0 long, n long, lead long, bytes binary"
+
+
+def _work_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 8 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in rows], k) for i, k in enumerate(kinds)], names=WORK)
+
+
+def _cells(size: int, short: int, length: int):
     """Runs cut into cells of `size` starts, aligned to the minimizer, keyed by what all their strings share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +318,11 @@ def _cells(size: int, length: int):
                 while s < r["n"]:
                     d = lead - s  # cells hold d in [size * j, size * (j + 1))
                     z = min(r["n"], s + d % size + 1)
-                    core_a, core_b = lead - d // size * size, lead - (d // size + 1) * size + 1 + length
+                    core_a, core_b = lead - d // size * size, lead - (d // size + 1) * size + 1 + short
                     k = hashlib.blake2b(text[core_a:core_b] + b"%d" % (d // size), digest_size=8, key=r["key"].to_bytes(8, "little", signed=True)).digest()
-                    out.append((int.from_bytes(k, "little", signed=True), r["c1"], r["c2"], r["w0"] + s, z - s, d, text[s : z - 1 + length]))
+                    out.append((int.from_bytes(k, "little", signed=True), r["c1"], r["c2"], r["lo"], r["hi"], r["w0"] + s, z - s, d, text[s : z - 1 + length]))
                     s = z
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["key", "c1", "c2", "w0", "n", "lead", "bytes"])
+            yield _work_batch(out)
 
     return run
 
@@ -275,49 +335,72 @@ def _slices(length: int):
             data, offs = tc.text_bytes(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 text = data[offs[i] : offs[i + 1]]
-                cols = [[w[c] for w in wanted] for c in ("g", "c1", "c2", "n")]
-                lead = [w["place"] - w["first"] for w in wanted]
-                part = [text[w["first"] : w["first"] + w["n"] - 1 + length].tobytes() for w in wanted]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array([0] * len(lead), pa.int64()), pa.array(cols[3], pa.int64()), pa.array(lead, pa.int64()), pa.array(part, pa.binary())], names=["key", "c1", "c2", "w0", "n", "lead", "bytes"])
+                yield _work_batch([(w["g"], w["c1"], w["c2"], w["lo"], w["hi"], 0, w["n"], w["lead"], text[w["first"] : w["first"] + w["size"]].tobytes()) for w in wanted])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, group_limit: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(documents' runs, doc_id with lists of covered byte ranges). The second holds doc_id and covers, an array
-    of from and to (exclusive), unsorted and overlapping, only for documents that lose bytes."""
-    kind = "doc_id long, first long, n long, place long, g long, c1 long, c2 long"
-    runs = materialize(docs.mapInArrow(_runs(length), kind), "suffix-runs")
-    contexts = materialize(runs.groupBy("g", "c1", "c2").agg(F.count("*").alias("m"), F.min("doc_id").alias("rep")), "suffix-contexts")
-    mixed = contexts.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
-    mixed = materialize(contexts.join(mixed, "g").select("c1", "c2", F.col("rep").alias("doc_id")), "suffix-mixed")
-    wanted = runs.join(mixed, ["c1", "c2", "doc_id"]).dropDuplicates(["c1", "c2"])
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("g", "c1", "c2", "first", "n", "place")).alias("wanted"))  # one document's runs
-    kind = "key long, c1 long, c2 long, w0 long, n long, lead long, bytes binary"
-    work = docs.select("doc_id", "text", F.octet_length("text").alias("b")).where(f"b >= {length}").join(wanted, "doc_id")
-    work = materialize(work.select("text", "wanted").mapInArrow(_slices(length), kind), "suffix-work")
+def repeated_spans(s: Scratch, docs: DataFrame, *, short: int, length: int, group_limit: int) -> DataFrame:
+    """__file, __at and covers, an array of from, to (exclusive) and what, unsorted and overlapping, for documents that
+    have any. docs: __file, __at, text. A table of the scratch."""
+    runs = s.write(docs.mapInArrow(_runs(short, length), "__file long, __at long, first long, n long, lead long, size long, g long, c1 long, c2 long"), "suffix-runs")
+    again = s.write(runs.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"), "suffix-again")
+    cand = s.write(runs.join(again, "g", "left_semi").withColumn("doc", F.xxhash64(*KEY)), "suffix-candidates")
+    s.drop(runs, again)
+    name = ["g", "c1", "c2", "n", "lead", "size"]
+    contexts = s.write(cand.groupBy(*name).agg(F.count("*").alias("m"), F.min("doc").alias("lo"), F.max("doc").alias("hi")), "suffix-contexts")
+    mixed = s.write(contexts.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g"), "suffix-mixed")
+    chosen = s.write(contexts.join(mixed, "g", "left_semi").select("c1", "c2", "lo", "hi", F.col("lo").alias("doc")), "suffix-chosen")
+    wanted = cand.join(chosen, ["c1", "c2", "doc"]).dropDuplicates(["c1", "c2"])
+    wanted = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("g", "c1", "c2", "lo", "hi", "first", "n", "lead", "size")).alias("wanted"))  # one document's runs
+    wanted = s.write(wanted, "suffix-wanted")
+    work = docs.where(F.octet_length("text") >= short).join(wanted, [*KEY]).select("text", "wanted")
+    work = s.write(work.mapInArrow(_slices(length), WORK_KIND), "suffix-work")
+    s.drop(mixed, chosen, wanted)
     parts = []
     for cell in (32, 8, 1):
         sizes = work.groupBy("key").agg(F.count("*").alias("size"))
-        big = materialize(sizes.where(F.col("size") > group_limit).select("key"), "suffix-big")
+        big = s.write(sizes.where(F.col("size") > group_limit).select("key"), "suffix-big")
         some = big.limit(1).count() > 0
         small = work.join(big, "key", "left_anti") if some else work
-        small = small.repartition("key").sortWithinPartitions("key").select("key", "c1", "c2", "w0", "n", "bytes")
-        parts.append(materialize(small.mapInArrow(_sort_groups(length), "c1 long, c2 long, from long, to long"), "suffix-found"))
+        small = small.repartition("key").sortWithinPartitions("key").drop("lead")
+        parts.append(s.write(small.mapInArrow(_sort_groups(short, length), "c1 long, c2 long, from long, to long, what long"), "suffix-found"))
         if not some:
             break
-        work = materialize(work.join(big, "key", "left_semi").mapInArrow(_cells(cell, length), kind), "suffix-work")
-        again = work.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-        work = materialize(work.join(again, "key"), "suffix-work")
-    else:  # cells of one start: all that are left in a group are the same string
-        parts.append(work.select("c1", "c2", F.col("w0").alias("from"), (F.col("w0") + 1).alias("to")))
+        cells = s.write(work.join(big, "key", "left_semi").mapInArrow(_cells(cell, short, length), WORK_KIND), "suffix-work")
+        alone = s.write(cells.groupBy("key").agg(F.count("*").alias("size")).where("size = 1").select("key"), "suffix-alone")
+        s.drop(work)
+        work = s.write(cells.join(alone, "key", "left_anti"), "suffix-work")
+        s.drop(cells, alone)
+    else:  # cells of one start: counts of their strings decide
+        one = work.select("c1", "c2", "lo", "hi", F.col("w0").alias("from"), (F.col("w0") + 1).alias("to"), "bytes")
+        for what, size in ((LONG, length), (SHORT, short)):
+            marked = one.where(F.octet_length("bytes") >= size).withColumn("mark", F.substring(F.sha2(F.substring("bytes", 1, size), 256), 1, 32))
+            sums = marked.groupBy("mark").agg(F.count("*").alias("m"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("m > 1" if what == LONG else "least != most")
+            parts.append(s.write(marked.join(s.write(sums.select("mark"), "suffix-marks"), "mark", "left_semi").select("c1", "c2", "from", "to", F.lit(what).cast("long").alias("what")), "suffix-found"))
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    whole = contexts.where("m > 1").select("c1", "c2").withColumn("from", F.lit(0).cast("long")).withColumn("to", F.lit(None).cast("long"))
-    hits = runs.select("doc_id", "c1", "c2", "first", "n").join(whole.unionByName(found), ["c1", "c2"])
-    hits = hits.select("doc_id", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.coalesce("to", "n") - 1 + length).alias("to")).distinct()
-    return runs, hits.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("covers"))
+    zero = F.lit(0).cast("long").alias("from")
+    full = F.least("n", F.col("size") - length + 1)
+    whole = contexts.where("m > 1").select("c1", "c2", zero, full.alias("to"), F.lit(LONG).cast("long").alias("what")).where("to > 0")
+    whole = whole.union(contexts.where("lo != hi").select("c1", "c2", zero, F.col("n").alias("to"), F.lit(SHORT).cast("long").alias("what")))
+    found = s.write(whole.union(found), "suffix-hits")
+    size = F.when(F.col("what") == LONG, length).otherwise(short)
+    hits = cand.select(*KEY, "first", "c1", "c2").join(found, ["c1", "c2"])
+    hits = hits.select(*KEY, (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") - 1 + size).alias("to"), "what").distinct()
+    return s.write(hits.groupBy(*KEY).agg(F.collect_list(F.struct("from", "to", "what")).alias("covers")), "suffix-covers")  # one document's
+
+
+def merged(covers: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal ranges that the given ones cover; those that touch are one."""
+    spans: list[list[int]] = []
+    for a, b in sorted(covers):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    return spans
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,37 +409,30 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, covers in enumerate(batch.column("covers").to_pylist()):
             text = data[offs[i] : offs[i + 1]]
-            spans: list[list[int]] = []
-            for c in sorted((c["from"], c["to"]) for c in covers or []):
-                if spans and c[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], c[1])
-                else:
-                    spans.append(list(c))
+            spans, shared = (merged([(c["from"], c["to"]) for c in covers or [] if c["what"] == what]) for what in (LONG, SHORT))
             kept, at = hashlib.sha256(), 0
-            left = []
-            for a, b in spans:
-                left.append(text[at:a])
+            for a, b in [*spans, [len(text), 0]]:
+                kept.update(text[at:a].tobytes())
                 at = b
-            left.append(text[at:])
-            for x in left:
-                kept.update(x.tobytes())
-            rows.append((len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"from": a, "to": b} for a, b in spans]))
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            both = [[{"from": a, "to": b} for a, b in x] for x in (spans, shared)]
+            rows.append((len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), both[0], sum(b - a for a, b in shared), both[1]))
+        span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+        kinds = [pa.int64()] * 3 + [pa.string(), span, pa.int64(), span]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_shared", "shared"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, group_limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges), a row for each row of
-    docs. doc_id identifies a document: rows of one doc_id should have one text. Other columns are not read."""
+def remove_repeats(docs: DataFrame, *, length: int = 400, short: int = 256, group_limit: int = 2048) -> DataFrame:
+    """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges), n_shared
+    (bytes that repeat in another document in strings of `short` bytes; more than is removed) and shared (their ranges)."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    _, covers = repeated_spans(docs, length=length, group_limit=group_limit)
-    spans = "array<struct<from:long,to:long>>"
-    kind = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}"
-    covers = materialize(covers, "suffix-covers")
-    rest = docs.join(covers.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast(spans).alias("covers"))
-    return docs.join(covers, "doc_id").select("doc_id", "text", "covers").union(rest).mapInArrow(_remove, kind)
+    docs = keyed(docs.select("doc_id", "text", *(c for c in KEY if c in docs.columns)), "suffix-keyed").withColumn("text", F.coalesce("text", F.lit("")))
+    with Scratch(docs.sparkSession) as s:
+        covers = s.keep(repeated_spans(s, docs.select(*KEY, "text"), short=short, length=length, group_limit=group_limit), "suffix-covers")
+    id_kind, span = docs.schema["doc_id"].dataType.simpleString(), "array<struct<from:long,to:long>>"
+    kind = f"doc_id {id_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span}, n_shared long, shared {span}"
+    return docs.join(covers, [*KEY], "left").select("doc_id", "text", "covers").mapInArrow(_remove, kind)
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
