@@ -1,16 +1,19 @@
 """Quality classifier from weak labels: expectation-maximisation over overlapping heuristic labellers, then a
 hashed linear scorer.
 
-1. Each labeller votes good, bad or abstains on a document. Vote patterns are counted over all documents by
+1. Each labeller looks at one statistic and votes good, bad or abstains; several see the same faults, and each errs
+   on some documents of either class. Vote patterns are counted over all documents by
    Spark; there are at most 3 ** len(LABELLERS) patterns, whatever the input.
 2. EM on the pattern counts estimates the share of good documents and each labeller's vote probabilities in
-   either class (its accuracy); it gives each pattern a posterior.
+   either class (its accuracy) from how votes agree, starting from the majority of votes; it gives each pattern a
+   posterior. Nothing bounds the estimates but a count of one that each outcome starts with.
 3. A logistic scorer on hashed shape features learns the posteriors from at most train_rows documents, the
-   first by a hash of doc_id (of the text where that is null): the documented bound of what the driver fits on. Everything else covers all rows.
+   first by a hash of doc_id and text: the documented bound of what the driver fits on. Everything else covers all rows.
 4. All documents are scored; a document is accepted from a score of 0.5.
 
 No ground truth is read. Null and empty texts get no votes but abstentions and the prior; they are scored as texts
-without words and accepted, as nothing speaks against them. Repeated rows are scored as they come.
+without words and accepted, as nothing speaks against them. Repeated rows are scored as they come, as are rows whose
+doc_id is null or repeats. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,21 +35,19 @@ LOWERS = ((_B >= 97) & (_B <= 122)) | (_B >= 128)
 DIGIT = (_B >= 48) & (_B <= 57)
 SYMBOL = np.isin(_B, list(b"#$%&*+/<=>@[\\]^_`{|}~!"))
 
-#: Name, statistic, bad from, usual up to. Each of these labellers votes bad from its bound up or abstains; two more
-#: vote good: "plain" where all statistics of characters are usual, "varied" where those of repetition are.
+#: A labeller for each statistic: its name, bad from, good up to; between them it abstains.
 FAULTS = (
-    ("symbols", 0, 0.05, 0.01),
-    ("capitals", 1, 0.35, 0.08),
-    ("digits", 2, 0.20, 0.06),
-    ("repetition", 3, 0.70, 0.45),
-    ("one word", 4, 0.20, 0.12),
-    ("marked words", 5, 0.25, 0.06),
-    ("bare symbols", 6, 0.08, 0.02),
+    ("symbols", 0.02, 0.01),
+    ("capitals", 0.10, 0.05),
+    ("digits", 0.03, 0.02),
+    ("repetition", 0.30, 0.10),
+    ("one word", 0.12, 0.09),
+    ("marked words", 0.04, 0.02),
+    ("bare symbols", 0.01, 0.005),
+    ("repeated pairs", 0.20, 0.08),
 )
-PLAIN, VARIED = (0, 1, 2, 5, 6), (3, 4)
-LABELLERS = (*(f[0] for f in FAULTS), "plain", "varied")
-#: A fault's labeller fires on at least FIRES of bad documents and at most FALSE of good ones.
-FIRES, FALSE = 0.02, 0.002
+LABELLERS = tuple(f[0] for f in FAULTS)
+BAD_FROM, GOOD_TO = np.array([f[1] for f in FAULTS]), np.array([f[2] for f in FAULTS])
 #: Words a text needs before labellers of word statistics vote.
 LEAST_WORDS = 20
 
@@ -70,7 +71,11 @@ def statistics(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
     marked = (symbols > 0) & (symbols < length)
     out[:, 5] = np.bincount(row, marked, n_rows) / np.maximum(n, 1)
     out[:, 6] = np.bincount(row, symbols == length, n_rows) / np.maximum(n, 1)
+    pairs = tc.shingles(w.hash, 2)
     for i in range(n_rows):
+        p = np.sort(pairs[w.bounds[i] : max(w.bounds[i], w.bounds[i + 1] - 1)])
+        if len(p):
+            out[i, 7] = (p[1:] == p[:-1]).mean() if len(p) > 1 else 0.0
         h = np.sort(w.hash[w.bounds[i] : w.bounds[i + 1]])
         if len(h):
             cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
@@ -82,12 +87,7 @@ def statistics(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def votes(stats: np.ndarray, n: np.ndarray) -> np.ndarray:
     """1 good, 2 bad, 0 abstains; a column for each labeller."""
-    v = np.zeros((len(n), len(LABELLERS)), np.int64)
-    usual = np.zeros(stats.shape, bool)
-    for k, (_, c, bad, good) in enumerate(FAULTS):
-        v[:, k] = np.where(stats[:, c] >= bad, 2, 0)
-        usual[:, c] = stats[:, c] <= good
-    v[:, -2], v[:, -1] = usual[:, PLAIN].all(1), usual[:, VARIED].all(1)
+    v = np.where(stats >= BAD_FROM, 2, np.where(stats <= GOOD_TO, 1, 0))
     v[n < LEAST_WORDS] = 0
     return v
 
@@ -121,28 +121,23 @@ def features(w: tc.Words, stats: np.ndarray, n: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_votes(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
-    """Posterior of good for each pattern, P(vote | class) and the prior, by EM; an abstention is
-    an outcome like a vote."""
+def fit_votes(counts: dict[int, int], rounds: int = 300) -> tuple[dict[int, float], np.ndarray, float]:
+    """Posterior of good for each pattern, P(vote | class) (good and bad, labellers, votes) and the prior, by EM; an
+    abstention is an outcome like a vote."""
     m = len(LABELLERS)
     codes = np.array(sorted(k for k in counts if k), np.int64)  # where no labeller speaks, the prior stands
+    if not len(codes):
+        return {}, np.full((2, m, 3), 1 / 3), 0.5
     c = np.array([counts[k] for k in codes.tolist()], float)
     v = codes[:, None] // 3 ** np.arange(m) % 3
-    post = np.where((v == 2).any(1), 0.2, 0.9)  # labellers see different faults: any of them counts at first
-    for _ in range(rounds if len(codes) else 0):
+    post = np.where((v == 2).sum(1) > (v == 1).sum(1), 0.1, 0.9)
+    for _ in range(rounds):
         good, bad = c * post, c * (1 - post)
-        prior = min(max((good.sum() + 1) / (c.sum() + 2), 0.05), 0.99)
-        p = np.array([[[w[v[:, k] == x].sum() for x in range(3)] for k in range(m)] for w in (good, bad)]) + 0.5
+        prior = (good.sum() + 1) / (c.sum() + 2)
+        p = np.array([[[w[v[:, k] == x].sum() for x in range(3)] for k in range(m)] for w in (good, bad)]) + 1.0
         p /= p.sum(2, keepdims=True)
-        # labellers are better than chance; else EM could explain a rare fault as a kind of good document
-        for k in range(len(FAULTS)):
-            for y, bad_vote in ((0, min(p[0, k, 2], FALSE)), (1, max(p[1, k, 2], FIRES))):
-                p[y, k, :2] *= (1 - bad_vote) / max(1e-12, p[y, k, :2].sum())
-                p[y, k, 2] = bad_vote
         ll = np.stack([np.log(p[y][np.arange(m), v]).sum(1) for y in (0, 1)])
         post = 1 / (1 + np.exp(np.clip(ll[1] - ll[0] + np.log((1 - prior) / prior), -50, 50)))
-    if not len(codes):
-        return {}, np.full((2, m, 3), 1 / 3), 0.5
     return dict(zip(codes.tolist(), post.tolist(), strict=True)), p, float(prior)
 
 
@@ -167,12 +162,8 @@ def _per_chunk(batch: pa.RecordBatch, col: str = "text"):
         yield lo, hi, w, *statistics(w)
 
 
-def classify(docs: DataFrame, *, train_rows: int = 6000, keep_columns: list[str] | None = None) -> DataFrame:
-    """Rows of docs (keep_columns, all by default) with n_words, votes (a code), posterior (of good, by the
-    labellers), score (of good, by the scorer) and accept. Columns of these names in docs are replaced."""
-    spark = ship(docs.sparkSession)
-    own = [T.StructField("n_words", T.LongType()), T.StructField("votes", T.LongType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("accept", T.BooleanType())]
-    keep = [c for c in (keep_columns or docs.columns) if c not in {f.name for f in own}]
+def count_votes(docs: DataFrame) -> dict[int, int]:
+    """How many documents have each pattern of votes."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,21 +171,33 @@ def classify(docs: DataFrame, *, train_rows: int = 6000, keep_columns: list[str]
                 code, count = np.unique(pattern(votes(stats, n)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], names=["code", "n"])
 
-    counts = {r[0]: r[1] for r in docs.select("text").mapInArrow(vote, "code long, n long").groupBy("code").agg(F.sum("n")).collect()}
+    ship(docs.sparkSession)
+    return {r[0]: r[1] for r in docs.select("text").mapInArrow(vote, "code long, n long").groupBy("code").agg(F.sum("n")).collect()}
+
+
+def classify(docs: DataFrame, *, train_rows: int = 6000, keep_columns: list[str] | None = None) -> DataFrame:
+    """Rows of docs (keep_columns, all by default) with n_words, votes (a code), posterior (of good, by the
+    labellers), score (of good, by the scorer) and accept. Columns of these names in docs are replaced."""
+    spark = ship(docs.sparkSession)
+    own = [T.StructField("n_words", T.LongType()), T.StructField("votes", T.LongType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("accept", T.BooleanType())]
+    keep = [c for c in (keep_columns or docs.columns) if c not in {f.name for f in own}]
+
+    counts = count_votes(docs)
     posterior, _, prior = fit_votes(counts)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, w, stats, n in _per_chunk(batch):
+            at = batch.column("h")
+            for lo, hi, w, stats, n in _per_chunk(batch):
                 x = features(w, stats, n).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(stats, n))), pa.array([r.tobytes() for r in x], pa.binary())], names=["code", "x"])
+                yield pa.RecordBatch.from_arrays([at.slice(lo, hi - lo), pa.array(pattern(votes(stats, n))), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "code", "x"])
 
     rows = sum(counts.values())
-    # about twice the bound by the hash's own range, then the first train_rows of them
-    near = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(3), "text")).otherwise(F.xxhash64(F.lit(3), "doc_id"))
+    # about twice the bound by the hash's own range, made features where they lie, then the first train_rows of them
+    near = F.xxhash64(F.lit(3), "doc_id", "text")
     most = -(2**63) + int(2**64 * min(1.0, 2 * train_rows / max(1, rows))) - 1
-    chosen = docs.where(near <= most).select("text", near.alias("h")).orderBy("h").limit(train_rows).select("text")
-    got = chosen.mapInArrow(sample, "code long, x binary").collect()
+    chosen = docs.where(near <= most).select("text", near.alias("h")).mapInArrow(sample, "h long, code long, x binary")
+    got = chosen.orderBy("h", "code").limit(train_rows).select("code", "x").collect()
     x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float16).reshape(-1, DIM).astype(np.float32)
     model = spark.sparkContext.broadcast((posterior, prior, *fit_scorer(x, np.array([posterior.get(r[0], prior) for r in got]))))
 
