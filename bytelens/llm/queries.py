@@ -52,8 +52,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = Dataset(spark, fresh_path(spark, "op9-dataset"))
-    ds.append(_read(spark, sf_dir, "documents"))
+    """Every source arrives on its own; tiers are compacted after each arrival, and what is left at the end."""
+    ds, docs = Dataset(spark, fresh_path(spark, "op9-dataset")), _read(spark, sf_dir, "documents")
+    for source in [r[0] for r in docs.select("source").distinct().orderBy("source").collect()] or [None]:
+        ds.append(docs.where(F.col("source").eqNullSafe(F.lit(source))))
+        ds.compact()
     ds.compact(everything=True)
     return sharded_digest(ds)
 

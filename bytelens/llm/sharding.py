@@ -3,28 +3,41 @@ target-sized files, and a versioned manifest is committed atomically.
 
 A dataset is a folder: data/ holds shard folders, each of Parquet files that never change, and
 _manifests/ holds v00000001.json and so on, the list of live files with bytes, rows and tier. A reader takes
-the highest version; a writer prepares files, writes the next manifest under another name and renames it
-to its final one, which fails if another writer was first (it then reloads, re-plans and tries again).
-Files no manifest from `keep` versions back refers to are removed after a commit.
+the highest version; a writer prepares files, writes the next manifest and makes it visible in one step,
+which fails if another writer was first (it then reloads, re-plans and tries again). How that step is made depends on the
+store. commit="rename" writes under another name and renames, for stores whose rename refuses an existing target (HDFS,
+local disks, ABFS with a hierarchical namespace). commit="create" writes the manifest under its own name with overwrite
+forbidden, for object stores that create conditionally and show an object only when it is whole (GCS, S3A with
+conditional creation). On other stores one writer at a time may be at work.
+
+After a commit, files that only manifests older than the last `keep` name are removed, and those manifests with them, so
+each is read once. Files of a writer that died before its commit are in no manifest: clean() removes those that have
+reached an age no running writer's files have.
 
 Merging reads whole files and writes one file in one task of bounded size, without a shuffle; the driver
-handles file names and sizes only. Empty arrivals commit an unchanged list. All columns pass through.
+handles file names and sizes only. Empty arrivals commit an unchanged list. All columns and rows pass through as they are:
+nulls in any column, repeated rows, texts of any length, and columns of any name.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PER_JOB = 64
 
 
 class Dataset:
-    def __init__(self, spark: SparkSession, path: str, *, target_bytes: int = 128 << 20, fan_in: int = 4, keep: int = 1):
+    def __init__(self, spark: SparkSession, path: str, *, target_bytes: int = 128 << 20, fan_in: int = 4, keep: int = 1, commit: str = "rename"):
         self.spark, self.path, self.target, self.fan_in, self.keep = spark, path.rstrip("/"), target_bytes, fan_in, keep
+        if commit not in ("rename", "create"):
+            raise ValueError("commit is rename or create")
+        self.how = commit
         self.jvm = spark.sparkContext._jvm
         root = self._p(self.path)
         self.fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -54,12 +67,23 @@ class Dataset:
     def commit(self, base: dict, schema: str | None, files: list[dict]) -> bool:
         """False if another writer has committed that version."""
         v = base["version"] + 1
+        data = bytearray(json.dumps({"version": v, "schema": schema, "files": sorted(files, key=lambda f: f["path"])}).encode())
+        final = self._p(f"{self.path}/_manifests/v{v:08d}.json")
+        if self.fs.exists(final):
+            return False
+        if self.how == "create":
+            try:
+                out = self.fs.create(final, False)
+                out.write(data)
+                out.close()
+            except Py4JJavaError:
+                return False
+            return True
         tmp = self._p(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
         out = self.fs.create(tmp, False)
-        out.write(bytearray(json.dumps({"version": v, "schema": schema, "files": sorted(files, key=lambda f: f["path"])}).encode()))
+        out.write(data)
         out.close()
-        final = self._p(f"{self.path}/_manifests/v{v:08d}.json")
-        if self.fs.exists(final) or not self.fs.rename(tmp, final):
+        if not self.fs.rename(tmp, final):
             self.fs.delete(tmp, False)
             return False
         return True
@@ -72,17 +96,20 @@ class Dataset:
 
     def _written(self, folder: str) -> list[dict]:
         rel = folder[len(self.path) + 1 :]
-        return [{"path": f"{rel}/{n}", "bytes": size, "tier": self._tier(size)} for n, size in self._list(folder) if n.startswith("part-")]
+        sizes = {n: size for n, size in self._list(folder) if n.startswith("part-")}
+        rows = {r[0]: r[1] for r in self.spark.read.parquet(folder).groupBy("_metadata.file_name").agg(F.count("*")).collect()} if sizes else {}
+        return [{"path": f"{rel}/{n}", "bytes": size, "rows": rows.get(n, 0), "tier": self._tier(size)} for n, size in sizes.items()]
 
     def append(self, arrivals: DataFrame) -> dict:
         """Each task's rows become one small shard; nothing is moved between tasks."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         arrivals.write.option("compression", "zstd").parquet(folder)
-        new = self._written(folder)
+        new = [f for f in self._written(folder) if f["rows"]]
         while True:
             base = self.manifest()
             if self.commit(base, base["schema"] or arrivals.schema.json(), base["files"] + new):
-                return self.manifest()
+                self._vacuum(base["version"] + 1)
+                return self.manifest(base["version"] + 1)
 
     def plan(self, files: list[dict], everything: bool = False) -> list[list[dict]]:
         """Groups to merge: neighbours in size of one tier, until a group has the target's bytes; a short group
@@ -124,17 +151,34 @@ class Dataset:
                 made += self._written(folder)
                 gone |= {f["path"] for g in part for f in g}
             if self.commit(base, base["schema"], [f for f in base["files"] if f["path"] not in gone] + made):
-                self._vacuum()
-                return self.manifest()
+                self._vacuum(base["version"] + 1)
+                return self.manifest(base["version"] + 1)
             for f in made:
                 self.fs.delete(self._p(f"{self.path}/{f['path']}"), False)
 
-    def _vacuum(self) -> None:
-        v = self.version()
-        live = {f["path"] for k in range(max(1, v - self.keep + 1), v + 1) for f in self.manifest(k)["files"]}
-        old = {f["path"] for k in range(1, max(1, v - self.keep + 1)) if self.fs.exists(self._p(f"{self.path}/_manifests/v{k:08d}.json")) for f in self.manifest(k)["files"]}
-        for p in old - live:
-            self.fs.delete(self._p(f"{self.path}/{p}"), False)
+    def _vacuum(self, v: int) -> None:
+        """Removes manifests older than the last `keep` up to v, and the files that only they name."""
+        have = sorted(int(n[1:-5]) for n, _ in self._list(f"{self.path}/_manifests") if n.startswith("v") and n.endswith(".json"))
+        old, kept = [k for k in have if k <= v - self.keep], [k for k in have if k > v - self.keep]
+        live = {f["path"] for k in kept for f in self.manifest(k)["files"]}
+        for k in old:
+            for p in {f["path"] for f in self.manifest(k)["files"]} - live:
+                self.fs.delete(self._p(f"{self.path}/{p}"), False)
+            self.fs.delete(self._p(f"{self.path}/_manifests/v{k:08d}.json"), False)
+
+    def clean(self, older_than_s: float = 7 * 86400.0) -> int:
+        """Removes files that no manifest names and that are older than any running writer can be; how many."""
+        live = {f["path"] for n, _ in self._list(f"{self.path}/_manifests") if n.startswith("v") for f in self.manifest(int(n[1:-5]))["files"]}
+        gone, before = 0, 1000 * (time.time() - older_than_s)
+        for folder in self.fs.listStatus(self._p(f"{self.path}/data")):
+            name = folder.getPath().getName()
+            for f in self.fs.listStatus(folder.getPath()):
+                if f"data/{name}/{f.getPath().getName()}" not in live and f.getModificationTime() <= before:
+                    self.fs.delete(f.getPath(), True)
+                    gone += 1
+            if not self.fs.listStatus(folder.getPath()):
+                self.fs.delete(folder.getPath(), True)
+        return gone
 
     def _read(self, m: dict, paths: list[str]) -> DataFrame:
         from pyspark.sql.types import StructType
