@@ -90,7 +90,7 @@ def test_every_format(spark):
         ("const-wide", "v5, 72623859790382856"), ("const-wide/high16", f"v6, {-32768 << 48}"), ("goto/32", "-003h"), ("goto/16", "+005h"), ("if-eq", "v0, v1, +004h"), ("if-lez", "v1, -002h"),
         ("add-int", "v0, v1, v2"), ("add-int/2addr", "v1, v2"), ("add-int/lit16", "v1, v2, -100"), ("add-int/lit8", "v0, v1, -1"), ("filled-new-array", "type@3"), ("invoke-virtual/range", "v5, v6, v7, method@4"), ("unused-e3", ""),
     ]
-    assert len(bytecode.OPCODES) == 219 and list(bytecode.decode(code[:5])) == [(0, "move/from16", "v33, v3")]
+    assert len(bytecode.OPCODES) == 218 and list(bytecode.decode(code[:5])) == [(0, "move/from16", "v33, v3")]
 
 
 def test_switches(spark):
