@@ -15,14 +15,14 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    balls: a point is a pivot, the points that may link with it are its ball, and the next point outside all balls
    is the next pivot. Pairs of pivot and point, fewer than the cell has points, are verified on the whole sets,
    and links inside balls join components at once. Cells of more than CELL points are covered in blocks, and
-   what the blocks leave, a point for each component, is covered again.
+   what many blocks leave, a point for each component, is covered again.
 4. Cells that still hold several components are joined recursively: two pivots make Voronoi regions,
    the triangle inequality gives the window of documents replicated into both, down to small leaves. A point first
    meets the nearest point of each other component; while some have partners left that are neither tested nor in
    their component by then, more of the nearest follow, round by round, so dense groups don't give all their pairs. The
-   metric there is the L1 distance of shingle counts in bins (as many as a quarter of the shingles, 256 at least; up to
-   255 each), a lower bound of the symmetric difference, so no link is lost; the pairs that are left are verified
-   on the whole sets. A cell of more than CELL points is dealt as pairs of blocks: its largest component against
+   metric there is the Hamming distance of the parities of shingle counts in bins (four times as many as shingles, 1024
+   at least), a lower bound of the symmetric difference that is close to it, so no link is lost; the pairs that are left
+   are verified on the whole sets. A cell of more than CELL points is dealt as pairs of blocks: its largest component against
    the others, and the others against each other.
 
 Whole sets are never stored: only pairs that their bins don't rule out are joined with the two texts. Null and empty
@@ -42,7 +42,7 @@ from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
 from bytelens.runtime import KEY, Scratch, keyed, ship
 
-BINS, LEAF, FLAT, CELL = 256, 48, 64, 1024
+BINS, LEAF, FLAT, CELL, BLOCKS = 1024, 48, 64, 1024, 8
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, k: int) -> list[np.ndarray]:
@@ -74,17 +74,22 @@ def space_bits(level: int, percent: int) -> int:
 
 
 def bins_of(x: np.ndarray) -> bytes:
-    """Counts of a set's shingles in bins, by the low bits of their hashes."""
-    b = max(BINS, 1 << max(0, len(x) // 4 - 1).bit_length())
-    return np.bincount((x & np.uint64(b - 1)).astype(np.int64), minlength=b).clip(max=255).astype(np.uint8).tobytes()
+    """Whether the number of a set's shingles is odd, for each bin, by the low bits of their hashes; a bit for each bin."""
+    b = max(BINS, 1 << max(0, 4 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).tobytes()
 
 
 def bin_matrix(rows: list[bytes]) -> np.ndarray:
-    """Counts of all rows, folded to the bins of the row that has fewest: bins of equal low bits are added."""
+    """Bits of all rows, folded to the bins of the row that has fewest: of bins with equal low bits, whether their sum is odd."""
     width = min(map(len, rows))
-    if all(len(r) == width for r in rows):
-        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width).astype(np.int16)
-    return np.stack([np.frombuffer(r, np.uint8).reshape(-1, width).sum(0, dtype=np.int16) for r in rows])
+    if not all(len(r) == width for r in rows):
+        rows = [np.bitwise_xor.reduce(np.frombuffer(r, np.uint8).reshape(-1, width), 0).tobytes() for r in rows]
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, width // 8)
+
+
+def apart(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Bins in which rows differ from p: at most the symmetric difference of the sets."""
+    return np.bitwise_count(v ^ p).sum(1, dtype=np.int64)
 
 
 def links_at_most(n: int, percent: int) -> int:
@@ -216,30 +221,30 @@ def _verify(k: int, percent: int):
 
 
 def star_cover(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (pivot, point) of a cell: the first point is a pivot, the points whose L1 distance to it doesn't
+    """Index pairs (pivot, point) of a cell: the first point is a pivot, the points whose distance to it doesn't
     rule out a link are its ball, and the first of those outside all balls so far is the next pivot. Each point is
     in one ball at most, so a cell of m points gives less than m pairs. comp is not used."""
     left = np.arange(len(n))
     while len(left) > 1:
         p, rest = left[0], left[1:]
-        near = np.abs(v[rest] - v[p]).sum(1) <= most_apart(n[p], n[rest], percent)
+        near = apart(v[rest], v[p]) <= most_apart(n[p], n[rest], percent)
         if near.any():
             yield np.full(int(near.sum()), p), rest[near]
         left = rest[~near]
 
 
 def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of different components whose L1 distance doesn't rule out a link. Recursive: two
+    """Index pairs of different components whose distance doesn't rule out a link. Recursive: two
     pivots, the nearer one's region, and the window of points that may link across the border. A pair comes
     up once or more. A point with more than `most` partners in a leaf gives its nearest ones, if most is 1 the nearest
     of each other component, and the pair with itself, which says that others are left for a later round."""
 
     def leaf(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in x.tolist():
-            apart = np.abs(v[y] - v[i]).sum(1)
-            near = np.flatnonzero((apart <= most_apart(n[i], n[y], percent)) & (comp[y] != comp[i]))
+            far = apart(v[y], v[i])
+            near = np.flatnonzero((far <= most_apart(n[i], n[y], percent)) & (comp[y] != comp[i]))
             if len(near) > most:
-                near = near[np.argsort(apart[near], kind="stable")]
+                near = near[np.argsort(far[near], kind="stable")]
                 near = near[np.unique(comp[y[near]], return_index=True)[1]] if most == 1 else near[:most]
                 yield np.array([i]), np.array([i])
             if len(near):
@@ -255,9 +260,9 @@ def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, mos
             yield from leaf(x, x)
             continue
         p = x[0]
-        dp = np.abs(v[x] - v[p]).sum(1)
+        dp = apart(v[x], v[p])
         q = x[int(dp.argmax())]
-        dq = np.abs(v[x] - v[q]).sum(1)
+        dq = apart(v[x], v[q])
         eps = int(most_apart(int(n[x].max()), int(n[x].max()), percent))
         gap = dp - dq  # two points with distance <= eps have gaps within 2 * eps
         left, right = x[gap <= 2 * eps], x[gap > 0]  # pairs within a side, and across the border: left holds gap in (0, 2 eps] too
@@ -329,26 +334,30 @@ def _search(rows: DataFrame, facts: DataFrame, search, *options) -> DataFrame:
     return placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(search, *options), "a long, b long").distinct()
 
 
-def _block(count: Column) -> Column:
-    return F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(count / CELL)))
+def _cover_groups(left: DataFrame) -> DataFrame:
+    """(key, node, comp): the points of cells (pivot, node, comp) in blocks of about CELL."""
+    dealt = left.repartition("pivot")
+    sizes = dealt.groupBy("pivot").agg(F.count("*").alias("size"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL))
+    return dealt.join(sizes, "pivot").select(F.xxhash64("pivot", block).alias("key"), "node", "comp")
 
 
 def _deal(seated: DataFrame) -> DataFrame:
     """(key, node, comp) of the groups that cells (pivot, node, comp) of several components are joined in: a cell of at
     most CELL points is one; a larger one is dealt as pairs of blocks, so that no group has over about twice as many and
-    every two points of different components meet in one."""
-    comps = seated.groupBy("pivot", "comp").agg(F.count("*").alias("m"))
+    every two points of different components meet in one. Cells are dealt to tasks once; rows are numbers only."""
+    dealt = seated.repartition("pivot")
+    comps = dealt.groupBy("pivot", "comp").agg(F.count("*").alias("m"))
     cells = comps.groupBy("pivot").agg(F.sum("m").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("m", "comp")).alias("major")).where("kinds > 1 and size > 2")
     cells = cells.select("pivot", "size", F.col("major.comp").alias("major"), F.ceil(F.col("major.m") / CELL).alias("mb"), F.ceil((F.col("size") - F.col("major.m")) / CELL).alias("sb"))
-    rows = seated.join(cells, "pivot")
-    small = rows.where(F.col("size") <= CELL).select(F.xxhash64("pivot").alias("key"), "node", "comp")
-    large = rows.where(F.col("size") > CELL).withColumn("own", F.when(F.col("comp") == F.col("major"), F.pmod(F.xxhash64("node"), "mb")).otherwise(F.pmod(F.xxhash64("node"), "sb")))
-    across = large.withColumn("to", F.explode(F.when(F.col("comp") == F.col("major"), F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))))
     first = F.col("comp") == F.col("major")
-    across = across.select(F.xxhash64("pivot", F.lit("m"), F.when(first, F.col("own")).otherwise(F.col("to")), F.when(first, F.col("to")).otherwise(F.col("own"))).alias("key"), "node", "comp")
-    others = large.where("comp != major").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)))
-    others = others.select(F.xxhash64("pivot", F.lit("s"), F.least("own", "to"), F.greatest("own", "to")).alias("key"), "node", "comp")
-    return small.union(across).union(others)
+    own = F.pmod(F.xxhash64("node"), F.when(first, F.col("mb")).otherwise(F.col("sb")))
+    key = lambda kind, x, y: F.xxhash64("pivot", F.lit(kind), x, y)
+    ids = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    with_major = F.when(first, F.transform(ids(F.col("sb")), lambda t: key("m", own, t))).otherwise(F.transform(ids(F.col("mb")), lambda t: key("m", t, own)))
+    others = F.when(first, F.array().cast("array<long>")).otherwise(F.transform(ids(F.col("sb")), lambda t: key("s", F.least(own, t), F.greatest(own, t))))
+    keys = F.when(F.col("size") <= CELL, F.array(F.xxhash64("pivot"))).otherwise(F.concat(with_major, others))
+    return dealt.join(cells, "pivot").select(F.explode(keys).alias("key"), "node", "comp")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -379,10 +388,8 @@ def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[D
         facts = s.write(described.select(*KEY, "n", "bins").join(inside, [*KEY]).select("node", "n", "bins"), "jaccard-facts")
         s.drop(inside)
         links, comp, tested, left, rounds = None, None, None, cells.withColumn("comp", F.col("node")), 0
-        while True:  # a second round only where a cell is larger than a block
-            sizes = left.groupBy("pivot").agg(F.count("*").alias("size"))
-            placed = left.join(sizes.where(F.col("size") > CELL), "pivot", "left").select(F.xxhash64("pivot", _block(F.coalesce("size", F.lit(1)))).alias("key"), "node", "comp")
-            balls = s.write(_search(placed, facts, star_cover, percent), "jaccard-balls")
+        while True:  # a second round only where a cell would be dealt in many blocks
+            balls = s.write(_search(_cover_groups(left), facts, star_cover, percent), "jaccard-balls")
             found = join_pairs(s, balls, nodes, docs, k, percent)
             tested = balls if tested is None else tested.union(balls)
             links = found if links is None else links.union(found)
@@ -390,7 +397,7 @@ def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[D
             seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             before, rounds = left, rounds + 1
             left = s.write(seated.groupBy("pivot", "comp").agg(F.min("node").alias("node")).select("pivot", "node", "comp"), "jaccard-left")
-            large = left.groupBy("pivot").count().where(F.col("count") > CELL)
+            large = left.groupBy("pivot").count().where(F.col("count") > BLOCKS * CELL)
             if not large.limit(1).count() or (rounds > 1 and left.count() > 0.9 * before.count()):
                 break
         most = 1
@@ -406,7 +413,7 @@ def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[D
             s.drop(got)
             if not left_over:
                 break
-            most *= 8
+            most *= 64
         sets = s.keep(nodes.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-classes")
         rows = s.keep(described.select(*KEY, "doc_id", "n", "h1", "h2"), "jaccard-rows")
     return rows, sets
