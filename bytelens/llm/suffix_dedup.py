@@ -106,9 +106,10 @@ def _runs(short: int, length: int):
 # ---- two-stage suffix sorting
 
 
-def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
+def two_stage(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffix array of text (values 0 to 255, ended by a unique smallest value is not needed) to `depth`
-    bytes: suffixes equal that far stand side by side."""
+    bytes: suffixes equal that far stand side by side. wanted marks places: only their suffixes, and those that their
+    order is induced from, are sorted and given back."""
     n = len(text)
     t = np.append(text.astype(np.int64) + 1, 0)
     # type S: smaller than the successor. The last character of each stretch of equals decides the stretch.
@@ -117,11 +118,19 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     at = np.minimum(np.searchsorted(differs, np.arange(n)), len(differs) - 1)
     small = less[differs[at]]
     s = np.flatnonzero(small)
+    if wanted is not None:  # a suffix that isn't sorted directly needs its successors up to one that is
+        need = np.zeros(n + 1, np.int64)
+        start = np.flatnonzero(wanted & ~small)
+        stop = np.append(s, n - 1)[np.searchsorted(s, start)]
+        np.add.at(need, start, 1)
+        np.add.at(need, stop + 1, -1)
+        wanted = wanted | (np.cumsum(need)[:n] > 0)
+        s = s[wanted[s]]
     order_s = _sort_directly(text, s, depth)
     rank = np.zeros(n + 1, np.int64)  # the empty suffix ranks 0; larger is later
     by_char = t[order_s]
     lists: list[np.ndarray] = []
-    larger = np.flatnonzero(~small)
+    larger = np.flatnonzero(~small if wanted is None else ~small & wanted)
     by_larger = larger[np.argsort(t[larger], kind="stable")]
     starts_l = np.searchsorted(t[by_larger], np.arange(1, 258))
     starts_s = np.searchsorted(by_char, np.arange(1, 258))
@@ -241,7 +250,7 @@ def repeated_starts(rows: list[dict], short: int, length: int) -> tuple[list[np.
     ends, within = at[owner + 1], np.arange(len(text)) - at[owner]
     starts = np.array([r["n"] for r in rows], np.int64)
     lo, hi = (np.array([r[c] for r in rows], np.int64) for c in ("lo", "hi"))
-    order = two_stage(text, length)
+    order = two_stage(text, length, within < starts[owner])
     out = []
     for size in (length, short):
         own = order[(within[order] < starts[owner[order]]) & (within[order] + size <= sizes[owner[order]])]

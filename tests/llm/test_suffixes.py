@@ -20,6 +20,11 @@ def test_order_of_suffixes(seed, depth):
     cut = [text[p : p + depth] for p in order]
     # equal to the depth side by side, and in order but for what lies beyond it
     assert cut == sorted(cut)
+    wanted = np.zeros(len(text), bool)
+    wanted[r.sample(range(len(text)), len(text) // 7)] = True
+    some = suffix_dedup.two_stage(np.frombuffer(text, np.uint8), depth, wanted).tolist()
+    cut = [text[p : p + depth] for p in some]
+    assert set(np.flatnonzero(wanted).tolist()) <= set(some) and cut == sorted(cut)
 
 
 def brute(rows, short, length):
