@@ -63,12 +63,14 @@ def excluded(name: Column, entries: list[str]) -> Column:
 
 def shorten(text: Column) -> Column:
     """Strips each prefix where no letter, digit or _ stands before it, up to the first place where one does."""
-    for p in SHORTENED:
-        stop = F.regexp_instr(text, F.lit("[A-Za-z0-9_]" + p.replace(".", r"\.")))
-        head = F.when(stop > 0, F.substring(text, F.lit(1), stop)).otherwise(text)
-        tail = F.when(stop > 0, F.substring(text, stop + 1, F.length(text))).otherwise(F.lit(""))
-        text = F.concat(F.regexp_replace(head, "(?<![A-Za-z0-9_])" + p.replace(".", r"\."), ""), tail)
-    return text
+
+    def strip(t: Column, p: Column) -> Column:
+        stop = F.regexp_instr(t, F.concat(F.lit("[A-Za-z0-9_]"), p))
+        head = F.when(stop > 0, F.substring(t, F.lit(1), stop)).otherwise(t)
+        tail = F.when(stop > 0, F.substring(t, stop + 1, F.length(t))).otherwise(F.lit(""))
+        return F.concat(F.regexp_replace(head, F.concat(F.lit("(?<![A-Za-z0-9_])"), p), F.lit("")), tail)
+
+    return F.aggregate(F.array(*[F.lit(p.replace(".", r"\.")) for p in SHORTENED]), text, strip)
 
 
 def goto_operand(raw_hex: Column, operands: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytelens.plans import catalog_queries, flow_queries, wide
+from bytelens.plans import catalog_queries, flow_queries, more_queries, wide
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**flow_queries.QUERIES, **catalog_queries.QUERIES, **wide.QUERIES}
-SQL: dict[str, str] = {**flow_queries.SQL, **catalog_queries.SQL, **wide.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**flow_queries.QUERIES, **catalog_queries.QUERIES, **wide.QUERIES, **more_queries.QUERIES}
+SQL: dict[str, str] = {**flow_queries.SQL, **catalog_queries.SQL, **wide.SQL, **more_queries.SQL}
