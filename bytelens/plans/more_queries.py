@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from bytelens.functions import java, stubs
-from bytelens.operators import cfg, dataflow, detectors
+from bytelens.operators import cfg, dataflow, detectors, emulator
 from bytelens.plans import flow_queries
 from bytelens.plans.encode import DUCK_CTE, instructions
 from bytelens.runtime import materialize
@@ -260,3 +260,21 @@ def parameters(spark: SparkSession, d: str) -> DataFrame:
     raw = F.element_at(F.array(*[F.lit(x) for x in ("null", "[1, 2,x]", "[I]7,8", "42", "5000000000", "42L", "hello", "[]")]), (F.col("o_orderkey") % 8 + 1).cast("int"))
     t = _t(spark, d, "orders").select("o_orderkey", stubs.parameter(raw).alias("p"))
     return t.select("o_orderkey", "p.tag", "p.number", F.array_join("p.items", ",").alias("items"), "p.text")
+
+
+_EMU = f"""{DUCK_CTE}, prog AS (SELECT method_uid, CAST(idx AS INTEGER) AS idx, off, mnemonic, CASE WHEN starts_with(operands, 'v') THEN CAST(regexp_extract(operands, '^v([0-9]+)', 1) AS INTEGER) END AS a, CASE WHEN mnemonic = 'move' THEN CAST(regexp_extract(operands, ', v([0-9]+)', 1) AS INTEGER) END AS b,
+CASE WHEN mnemonic = 'const/4' THEN CAST(regexp_extract(operands, '([0-9]+)$', 1) AS INTEGER) END AS lit, CASE WHEN mnemonic IN ('goto', 'if-eqz') THEN CAST(regexp_extract(operands, '([0-9]+)$', 1) AS INTEGER) // 2 END AS target, CASE WHEN suffix(operands, 'Log.d') THEN 0 END AS gives FROM ins),
+st AS (SELECT DISTINCT method_uid, 0 AS step, CAST(NULL AS BIGINT) AS off, 0 AS idx, CAST([NULL, NULL, NULL, NULL] AS INTEGER[]) AS r, 'running' AS status, CAST(NULL AS INTEGER) AS res FROM ins
+UNION ALL SELECT s.method_uid, s.step + 1, p.off, CASE WHEN p.idx IS NULL OR p.mnemonic = 'return-void' THEN NULL WHEN p.mnemonic = 'goto' OR (p.mnemonic = 'if-eqz' AND coalesce(s.r[p.a + 1], 0) = 0) THEN p.target ELSE p.idx + 1 END,
+ list_transform([0, 1, 2, 3], lambda i: CASE WHEN i = p.a AND p.mnemonic = 'const/4' THEN p.lit WHEN i = p.a AND p.mnemonic = 'move' THEN s.r[p.b + 1] WHEN i = p.a AND p.mnemonic = 'move-result-object' THEN s.res ELSE s.r[i + 1] END),
+ CASE WHEN p.idx IS NULL OR p.mnemonic = 'return-void' THEN 'finished' WHEN s.step + 1 >= 8 THEN 'limit' ELSE 'running' END, CASE WHEN p.mnemonic = 'invoke-virtual' THEN p.gives ELSE s.res END
+ FROM st s LEFT JOIN prog p ON p.method_uid = s.method_uid AND p.idx = s.idx WHERE s.status = 'running')"""
+
+
+@query(f"WITH RECURSIVE {_EMU} SELECT method_uid, step, off, idx, array_to_string(list_transform(r, lambda x: coalesce(CAST(x AS VARCHAR), '-')), ',') AS regs, status FROM st")
+def emulator_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight steps of every method."""
+    ins = materialize(instructions(spark, d), "ins")
+    machines = ins.select("method_uid").distinct().select("method_uid", F.lit(4).alias("registers_size"), F.array().cast(f"array<{emulator.VALUE}>").alias("params"))
+    t = emulator.run(ins, machines, max_steps=8)
+    return t.select("method_uid", "step", "off", "idx", F.array_join(F.transform("regs", lambda v: F.coalesce(v["i"].cast("string"), F.lit("-"))), ",").alias("regs"), "status")

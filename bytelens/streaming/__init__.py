@@ -1 +1 @@
-"""Structured Streaming forms of the batch operators."""
+"""Structured Streaming forms of what needs no whole method."""
