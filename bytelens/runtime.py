@@ -50,8 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table this process has written to the shared folder. Call it when nothing that was returned is read any more:
+    results are lazy and may read such tables."""
+    while _written:
+        delete_path(spark, _written.pop())
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
