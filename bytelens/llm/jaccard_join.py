@@ -20,7 +20,7 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    the triangle inequality gives the window of documents replicated into both, down to small leaves. A point first
    meets the nearest point of each other component; while some have partners left that are neither tested nor in
    their component by then, more of the nearest follow, round by round, so dense groups don't give all their pairs. The
-   metric there is the Hamming distance of the parities of shingle counts in bins (four times as many as shingles, 1024
+   metric there is the Hamming distance of the parities of shingle counts in bins (as many as shingles or more, 1024
    at least), a lower bound of the symmetric difference that is close to it, so no link is lost; the pairs that are left
    are verified on the whole sets. A cell of more than CELL points is dealt as pairs of blocks: its largest component against
    the others, and the others against each other.
@@ -75,7 +75,7 @@ def space_bits(level: int, percent: int) -> int:
 
 def bins_of(x: np.ndarray) -> bytes:
     """Whether the number of a set's shingles is odd, for each bin, by the low bits of their hashes; a bit for each bin."""
-    b = max(BINS, 1 << max(0, 4 * len(x) - 1).bit_length())
+    b = max(BINS, 1 << max(0, len(x) - 1).bit_length())
     return np.packbits(np.bincount((x & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).tobytes()
 
 
