@@ -55,14 +55,18 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]], least: float):
         self.least = least
         self.names, self.sets, self.sizes = [], [], []
+        self.short: list[tuple[str, np.ndarray]] = []
         self.bands: dict[int, dict[tuple[int, bytes], list[int]]] = {}
         known = []
         for name, text in templates:
             words = decontaminate.words_of(text)
+            data = np.frombuffer(text.encode(), np.uint8)
+            hashes = tc.Words(data, np.array([0, len(data)]), 0, 1, tc.ALNUM).hash
             if len(words) < K:
+                if words:
+                    self.short.append((name, hashes))
                 continue
-            data = np.frombuffer(text.encode(), np.uint8)
-            sh = tc.shingles(tc.Words(data, np.array([0, len(data)]), 0, 1, tc.ALNUM).hash, K)
+            sh = tc.shingles(hashes, K)
             k = len(self.names)
             self.names.append(name)
             self.sets.append({tuple(words[i : i + K]) for i in range(len(words) - K + 1)})
@@ -74,9 +78,19 @@ class Scanner:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.known >> np.uint64(48)).astype(np.int64)] = True
 
-    def scan(self, data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int, int, int, float]]:
-        """row, template, first word, end word, containment; the best place of each template in a row."""
+    def scan(self, data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, str, int, int, float]]:
+        """row, template, first word, end word, containment, for every place that holds a template; of places that overlap
+        the best."""
         w = tc.Words(data, offs, lo, hi, tc.ALNUM)
+        for name, hashes in self.short:  # shorter than a shingle: the whole sequence is one
+            m = len(hashes)
+            at = np.arange(max(0, len(w.hash) - m + 1))
+            for j, h in enumerate(hashes):
+                at = at[w.hash[at + j] == h]
+            row = np.searchsorted(w.bounds, at, "right") - 1
+            inside = at + m <= w.bounds[row + 1]
+            for i, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
+                yield lo + r, name, i - int(w.bounds[r]), i - int(w.bounds[r]) + m, 1.0
         sh = tc.shingles(w.hash, K)
         hit = np.flatnonzero(self.maybe[(sh >> np.uint64(48)).astype(np.int64)])
         hit = hit[np.isin(sh[hit], self.known)]
@@ -91,7 +105,7 @@ class Scanner:
                 continue
             own = own[own < n]
             sets = sh[a : a + n]
-            best: dict[int, tuple[float, int, int]] = {}
+            places: dict[int, list[tuple[float, int, int]]] = {}
             for size, bands in self.bands.items():
                 step = -(-size // 4)
                 lo_w = np.unique(np.concatenate([np.maximum(0, own - j) // step * step for j in range(0, size + step, step)]))
@@ -105,15 +119,21 @@ class Scanner:
                         words = [w.buf[x:y].tobytes().lower() for x, y in zip(w.start[a + p : a + q + K - 1].tolist(), w.end[a + p : a + q + K - 1].tolist(), strict=True)]
                         at = [i for i in range(len(words) - K + 1) if tuple(words[i : i + K]) in self.sets[k]]
                         share = len({tuple(words[i : i + K]) for i in at}) / len(self.sets[k])
-                        if share >= self.least and (k not in best or share > best[k][0]):
-                            best[k] = (share, p + at[0], p + at[-1] + K)
-            for k, (share, x, y) in sorted(best.items()):
-                yield lo + r, k, x, y, share
+                        if share >= self.least:
+                            places.setdefault(k, []).append((share, p + at[0], p + at[-1] + K))
+            for k, found in sorted(places.items()):
+                taken: list[tuple[int, int]] = []
+                for share, x, y in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+                    if all(y <= u or x >= v for u, v in taken):
+                        taken.append((x, y))
+                        yield lo + r, self.names[k], x, y, share
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, least: float = 0.8, most_templates: int = 5000) -> DataFrame:
-    """doc_id, matches: array of template, from, to (words, exclusive), containment, by template number; a row
-    for each row of docs. templates: template_id, text."""
+    """doc_id, matches: array of template, from, to (words, exclusive), containment, one for each place that holds a template;
+    a row for each row of docs. templates: template_id, text; those without words are left out, those of fewer than five words
+    match as a whole. Null and empty texts have no matches; repeated rows, and null or repeated doc_ids, are scanned one by
+    one; an empty table gives no rows; texts are scanned whole."""
     spark = ship(docs.sparkSession)
     rows = TEMPLATES if templates is None else [(str(r[0]), r[1]) for r in templates.select("template_id", "text").where("text is not null").orderBy("template_id").limit(most_templates + 1).collect()]
     if len(rows) > most_templates:
@@ -128,7 +148,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, least:
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for lo, hi in tc.chunks(offs):
                 for r, k, a, b, share in s.scan(data, offs, lo, hi):
-                    out[r].append({"template": s.names[k], "from": a, "to": b, "containment": share})
+                    out[r].append({"template": k, "from": a, "to": b, "containment": share})
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "matches"])
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()

@@ -36,7 +36,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.transform("matches", lambda m: m["template"])), ",").alias("templates"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("best"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"]))), ",").alias("templates"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("best"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
