@@ -235,3 +235,27 @@ def typed_names(ir: DataFrame, types: DataFrame) -> DataFrame:
     t = seen.join(types, ["method_uid", "dst"], "left").withColumn("prefix", type_prefix(F.col("type")))
     nth = F.row_number().over(W.partitionBy("method_uid", "prefix").orderBy("first", "dst")) - 1
     return t.select("method_uid", "dst", "type", F.concat("prefix", nth.cast("string")).alias("name"))
+
+
+def folded_conditions(ins: DataFrame) -> DataFrame:
+    """method_uid, off, cond: conditions of branches, with registers replaced by constants that one of the three instructions before,
+    in the same straight stretch of code, puts into them and none after it overwrites."""
+    from bytelens.functions import java
+
+    m, first = F.col("mnemonic"), operand(F.col("operands"), 1)
+    ends = m.rlike(r"^(goto|if-|return|throw)|-switch$")
+    w = W.partitionBy("method_uid").orderBy("off")
+    t = ins.withColumn("stretch", F.coalesce(F.sum(ends.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    puts = F.when(assigned(m, F.col("operands")).isNotNull() | m.startswith("move-result"), first)
+    t = t.withColumn("puts", F.struct(puts.alias("reg"), F.when(m.rlike("^const(/4|/16)?$"), operand(F.col("operands"), 2)).alias("value")))
+    near = W.partitionBy("method_uid", "stretch").orderBy("off")
+    before = [F.lag("puts", i).over(near).alias(f"p{i}") for i in (1, 2, 3)]
+    t = t.select("method_uid", "off", "mnemonic", "operands", *before).where(m.rlike("^if-"))
+    cond = java.condition(m, F.col("operands"))
+    for i in (1, 2, 3):
+        free = F.lit(True)
+        for j in range(1, i):
+            free = free & ~F.coalesce(F.col(f"p{j}.reg") == F.col(f"p{i}.reg"), F.lit(False))
+        hit = F.col(f"p{i}.value").isNotNull() & free
+        cond = F.regexp_replace(cond, F.when(hit, F.concat(F.lit(r"\b"), F.col(f"p{i}.reg"), F.lit(r"\b"))).otherwise("^$"), F.coalesce(F.col(f"p{i}.value"), F.lit("")))
+    return t.select("method_uid", "off", cond.alias("cond"))

@@ -191,3 +191,18 @@ def invoke_scans(spark: SparkSession, d: str) -> DataFrame:
 def branch_conditions(spark: SparkSession, d: str) -> DataFrame:
     ins = instructions(spark, d).where("mnemonic like 'if-%' or mnemonic like '%-switch'")
     return ins.select("method_uid", "off", java.condition(F.col("mnemonic"), F.col("operands")).alias("cond"))
+
+
+_PUTS = f"CASE WHEN {_ASSIGN} IS NOT NULL OR mnemonic LIKE 'move-result%' THEN a END"
+
+
+@query(
+    f"""WITH {DUCK}, e AS (SELECT method_uid, off, mnemonic, a, b, coalesce(sum(CASE WHEN regexp_matches(mnemonic, '^(goto|if-|return|throw)|-switch$') THEN 1 ELSE 0 END) OVER (PARTITION BY method_uid ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g,
+{_PUTS} AS reg, CASE WHEN mnemonic IN ('const', 'const/4', 'const/16') THEN b END AS lit FROM wide),
+p AS (SELECT *, lag(reg) OVER n AS r1, lag(lit) OVER n AS l1, lag(reg, 2) OVER n AS r2, lag(lit, 2) OVER n AS l2, lag(reg, 3) OVER n AS r3, lag(lit, 3) OVER n AS l3 FROM e WINDOW n AS (PARTITION BY method_uid, g ORDER BY off)),
+v AS (SELECT *, unnest([a, CASE WHEN mnemonic LIKE '%z' THEN '0' ELSE b END]) AS x, unnest([1, 2]) AS k FROM p WHERE mnemonic LIKE 'if-%'),
+f AS (SELECT method_uid, off, mnemonic, k, CASE WHEN x = r1 THEN coalesce(l1, x) WHEN x = r2 THEN coalesce(l2, x) WHEN x = r3 THEN coalesce(l3, x) ELSE x END AS y FROM v)
+SELECT method_uid, off, max(CASE WHEN k = 1 THEN y END) || ' ' || CASE substr(max(mnemonic), 4, 2) WHEN 'eq' THEN '==' WHEN 'ne' THEN '!=' WHEN 'lt' THEN '<' WHEN 'ge' THEN '>=' WHEN 'gt' THEN '>' ELSE '<=' END || ' ' || max(CASE WHEN k = 2 THEN y END) AS cond FROM f GROUP BY method_uid, off"""
+)
+def folded_conditions(spark: SparkSession, d: str) -> DataFrame:
+    return statements.folded_conditions(instructions(spark, d))
