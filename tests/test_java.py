@@ -28,5 +28,10 @@ def test_filters(spark):
     assert one(spark, java.in_package(F.col("c"), "a.b."), c="a.b.C") and not one(spark, java.in_package(F.col("c"), "a.b"), c="a.bc.D")
     assert one(spark, java.excluded(F.col("c"), ["android.*"]), c="android.app.X")
     assert one(spark, java.receiver_call(F.col("m"), F.col("a")), m="a.B.run", a="v0, v1, v2") == "v0.run(v1, v2)"
-    assert one(spark, java.shorten(F.col("t")), t="java.lang.String x; my.java.lang.Y") == "String x; my.java.lang.Y"
+    assert one(spark, java.shorten(F.col("t")), t="java.lang.String x; my.java.lang.Y") == "String x; my.Y"
+    assert one(spark, java.shorten(F.col("t")), t="java.io.A myjava.io.B java.io.C") == "A myjava.io.B java.io.C"  # stops where a letter stands before
+    assert one(spark, java.shorten(F.col("t")), t="android.widget.Text of java.net.URL") == "Text of java.net.URL"
+    assert one(spark, java.receiver_call(F.col("m"), F.col("a")), m="a.B.run", a="f(v0, v1), v2") == "f(v0, v1).run(v2)"
+    assert one(spark, java.receiver_call(F.col("m"), F.col("a")), m="a.B.run", a="") == "a.B.run()"
+    assert one(spark, java.access_flags(F.col("f"), True), f=0x1011) == "public final synthetic"
     assert one(spark, java.is_branch_offset(F.col("t")), t="+008h") and not one(spark, java.is_branch_offset(F.col("t")), t="v0")
