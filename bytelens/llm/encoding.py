@@ -1,8 +1,7 @@
 """Token ids of whole texts by a tokenizer file of the tokenizers library, and each id's bytes.
 
-A byte-level BPE without normalizer cuts a text before its merges, so ids of a text are those of its chunks in a row,
-where a chunk is a run of other characters with the one blank before it, or what is left of a run of blanks. A task
-asks the library once for a chunk it has not met before. Any other kind of tokenizer, and any text that holds the string of an
+A byte-level BPE without normalizer cuts a text into pieces before its merges, so a text's ids are those of its pieces in a row; a task
+asks the library's model once for a piece it has not met before. Any other kind of tokenizer, and any text that holds the string of an
 added token which isn't plain text, goes through the library whole.
 """
 
@@ -16,9 +15,12 @@ from hashlib import sha256
 
 import numpy as np
 
-_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pattern by which a byte-level tokenizer with use_regex cuts texts.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of characters below U+0250 but control characters, superscripts and fractions: letters and blanks among these.
+_LETTERS, _BLANKS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "\\t-\\r \\x85\\xa0"
+_PLAIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_BLANKS}{_LETTERS}0-9]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
+_NOT_PLAIN = "[^\\t-\\r -~\\x85\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]"
 
 
 def byte_letters() -> dict[int, int]:
@@ -31,10 +33,10 @@ def byte_letters() -> dict[int, int]:
 
 class ByteBpe:
     """Encodes texts without adding special tokens. plain_specials: special tokens' strings in a text are ordinary text;
-    otherwise they are tokens, which is the library's default. The table of chunks is dropped when it has table_limit
+    otherwise they are tokens, which is the library's default. The table of pieces is dropped when it has table_limit
     entries, which costs time only."""
 
-    def __init__(self, path: str, plain_specials: bool = False, table_limit: int = 300_000):
+    def __init__(self, path: str, plain_specials: bool = False, table_limit: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -47,44 +49,32 @@ class ByteBpe:
         self.vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2" if max(self.vocabulary.values(), default=0) < 1 << 16 else "<u4")
         cuts, model, added = rules["pre_tokenizer"] or {}, rules["model"], rules["added_tokens"]
-        self.by_chunks = not rules["normalizer"] and cuts.get("type") == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"] and model["type"] == "BPE" and not model["dropout"] and not model.get("ignore_merges")
+        self.by_pieces = not rules["normalizer"] and cuts.get("type") == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"] and model["type"] == "BPE" and not model["dropout"] and not model.get("ignore_merges")
         apart = [a["content"] for a in added if not (a["special"] and plain_specials)]
         self.whole = re.compile("|".join(map(re.escape, apart))).search if apart else lambda text: None
-        self.chunks = re.compile(f"[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]?[^{_BLANK}]+").findall
-        self.pieces, self.odd = regex.compile(_PIECES).findall, re.compile("[\\x1c-\\x1f]").search
-        self.letters, self.limit, self.table, self.parts = byte_letters(), table_limit, {}, {}
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.odd(chunk):
-            return self._library(chunk)
-        out = []
-        for piece in self.pieces(chunk):
-            ids = self.parts.get(piece)
-            if ids is None:
-                got = self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-                ids = self.parts[piece] = np.array([t.id for t in got], self.kind).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        self.pieces, self.plain = regex.compile(_PIECES).findall, re.compile(_PLAIN).findall
+        self.not_plain, self.odd = re.compile(_NOT_PLAIN).search, re.compile("[\\x1c-\\x1f]").search  # blanks to some libraries only
+        self.letters, self.limit, self.table = byte_letters(), table_limit, {}
 
     def encode(self, text: str) -> bytes:
         """The ids in a row, each as a little-endian number of self.kind."""
-        if not self.by_chunks or self.whole(text):
-            return self._library(text)
-        chunks, table = self.chunks(text), self.table
-        try:
-            return b"".join(map(table.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(table) > self.limit:
-            table.clear()
-            self.parts.clear()
-        for c in chunks:
-            if c not in table:
-                table[c] = self._chunk(c)
-        return b"".join(map(table.__getitem__, chunks))
+        if not self.by_pieces or self.whole(text) or (other := self.not_plain(text)) and self.odd(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        pieces = (self.pieces if other else self.plain)(text)
+        out = list(map(self.table.get, pieces))
+        if None in out:
+            table, tokenize, letters = self.table, self.tok.model.tokenize, self.letters
+            if len(table) > self.limit:
+                table.clear()
+            for i, ids in enumerate(out):
+                if ids is None:
+                    piece = pieces[i]
+                    ids = table.get(piece)
+                    if ids is None:
+                        own = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+                        ids = table[piece] = np.array(own, self.kind).tobytes()
+                    out[i] = ids
+        return b"".join(out)
 
     def id_bytes(self) -> list[bytes]:
         """Of a byte-level vocabulary: the bytes of each id."""

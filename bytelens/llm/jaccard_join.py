@@ -17,16 +17,14 @@ is, when the Jaccard distance is at most r = 1 - percent/100. Sets are joined in
    and links inside balls join components at once. Cells of more than CELL points are covered in blocks, and
    what many blocks leave, a point for each component, is covered again.
 4. Cells that still hold several components are joined recursively: two pivots make Voronoi regions,
-   the triangle inequality gives the window of documents replicated into both, down to small leaves. A point first
-   meets the nearest point of each other component; while some have partners left that are neither tested nor in
-   their component by then, more of the nearest follow, round by round, so dense groups don't give all their pairs. The
-   metric there is the Hamming distance of the parities of shingle counts in bins (as many as shingles or more, 1024
-   at least), a lower bound of the symmetric difference that is close to it, so no link is lost; the pairs that are left
-   are verified on the whole sets. A cell of more than CELL points is dealt as pairs of blocks: its largest component against
-   the others, and the others against each other.
-
-Whole sets are never stored: only pairs that their bins don't rule out are joined with the two texts. Null and empty
-texts and texts without words have empty sets and link with nothing; a text of fewer words than a shingle is one
+   the triangle inequality gives the window of documents replicated into both, down to small leaves. Pairs that the distances of short
+   vectors leave are verified on the whole sets, as long as a cell leaves no more than a few for each point.
+5. Where it leaves more, as among documents that are just too far apart to link, pairs are never made: the sorted shingles
+   of the cell's points, each once, go to a task that counts all their common shingles and gives no more links than join its components.
+
+A pair of texts is so compared in a cell of its own size only, and what travels grows with points, not pairs. Links join components,
+which hash-to-min labels find; a point whose component is known to its cell is not compared again. Documents are sets of
+shingles; with fewer words than a shingle has, the whole sequence is one
 shingle. Shingles and sets are told apart by 64-bit and 128-bit hashes.
 """
 
@@ -42,7 +40,7 @@ from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
 from bytelens.runtime import KEY, Scratch, keyed, ship
 
-BINS, LEAF, FLAT, CELL, BLOCKS = 1024, 48, 64, 1024, 8
+BINS, LEAF, FLAT, CELL, BLOCKS, PARTNERS, WEIGHT = 1024, 48, 64, 1024, 8, 8, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, k: int) -> list[np.ndarray]:
@@ -165,11 +163,12 @@ def _describe(k: int, percent: int):
 
 
 def _seats(k: int, percent: int, crowded, flat: bool = False):
-    """(key, h1) for each region of each distinct set of the task: copies inside it go once, so that a region
-    gets no more rows from the copies of one set than there are tasks."""
+    """(key, h1, pivot) for each region of each distinct set of the task: copies inside it go once, so that a region
+    gets no more rows from the copies of one set than there are tasks. A crowded region's pivot is known beforehand: the least set of
+    the sample in it; its rows have their set's hash as key, as nothing needs them together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, seen = crowded.value, set()
+        (late, pivots), seen = crowded.value, set()
         for _, _, _, sets in _sets(batches, k):
             h1, _ = names(sets)
             keys, owners = [np.empty(0, np.int64)], []
@@ -178,18 +177,25 @@ def _seats(k: int, percent: int, crowded, flat: bool = False):
                     seen.add(h)
                     keys.append(region_keys(s, percent, late, flat))
                     owners += [h] * len(keys[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owners, pa.int64())], names=["key", "h1"])
+            key, own = np.concatenate(keys), np.array(owners, np.int64)
+            pivot, cold = np.zeros(len(key), np.int64), np.ones(len(key), bool)
+            if len(late):
+                at = np.minimum(np.searchsorted(late, key.view(np.uint64)), len(late) - 1)
+                cold = late[at] != key.view(np.uint64)
+                pivot = pivots[at]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.where(cold, key, own)), pa.array(own), pa.array(pivot, mask=cold)], names=["region", "key", "h1", "pivot"])
 
     return run
 
 
 def _sampled(k: int, percent: int):
-    """All regions of each row's set."""
+    """All regions of each row's set, and the set's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, sets in _sets(batches, k):
-            got = [key for s in sets if len(s) for key in all_regions(s, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(got) if got else np.empty(0, np.uint64)).view(np.int64))], names=["key"])
+            got = [(key, np.full(len(key), h)) for s, h in zip(sets, names(sets)[0], strict=True) if len(s) for key in all_regions(s, percent)]
+            key, own = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own)], names=["key", "h1"])
 
     return run
 
@@ -233,22 +239,15 @@ def star_cover(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) ->
         left = rest[~near]
 
 
-def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of different components whose distance doesn't rule out a link. Recursive: two
     pivots, the nearer one's region, and the window of points that may link across the border. A pair comes
-    up once or more. A point with more than `most` partners in a leaf gives its nearest ones, if most is 1 the nearest
-    of each other component, and the pair with itself, which says that others are left for a later round."""
+    up once or more."""
 
     def leaf(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in x.tolist():
-            far = apart(v[y], v[i])
-            near = np.flatnonzero((far <= most_apart(n[i], n[y], percent)) & (comp[y] != comp[i]))
-            if len(near) > most:
-                near = near[np.argsort(far[near], kind="stable")]
-                near = near[np.unique(comp[y[near]], return_index=True)[1]] if most == 1 else near[:most]
-                yield np.array([i]), np.array([i])
-            if len(near):
-                js = y[near]
+            js = y[(apart(v[y], v[i]) <= most_apart(n[i], n[y], percent)) & (comp[y] != comp[i])]
+            if len(js):
                 yield np.minimum(i, js), np.maximum(i, js)
 
     stack = [np.arange(len(n))]
@@ -273,8 +272,67 @@ def quick_join(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, mos
         stack += [left, right]
 
 
+def few_pairs(v: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, partners: int) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """What quick_join finds, or None if that is more than so many partners for each point."""
+    found, size = [], 0
+    for pair in quick_join(v, n, comp, percent):
+        found.append(pair)
+        size += len(pair[1])
+        if size > partners * len(n):
+            yield None
+            return
+    yield from found
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles of all pairs of sets, as a matrix: shingles that many sets have by a product of bit matrices, the others by
+    the sets that have them."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    if not len(owner):
+        return out
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rare_up_to = max(1, m // 32)
+    often = np.flatnonzero(count > rare_up_to)
+    column = np.full(len(count), -1)
+    column[often] = np.arange(len(often))
+    col = column[code]
+    for lo in range(0, len(often), 2048):
+        here = (col >= lo) & (col < lo + 2048)
+        x = np.zeros((m, min(2048, len(often) - lo)), np.float32)
+        x[owner[here], col[here] - lo] = 1
+        out += x @ x.T
+    rare = (col < 0) & (count[code] > 1)
+    order = np.argsort(code[rare], kind="stable")
+    own, code = owner[rare][order], code[rare][order]
+    for d in range(1, rare_up_to):
+        same = code[d:] == code[:-d]
+        if not same.any():
+            break
+        pairs = np.bincount(own[:-d][same] * m + own[d:][same], minlength=m * m).reshape(m, m).astype(np.float32)
+        out += pairs + pairs.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def exact_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that link, enough of them to join all components that links join."""
+    n, both = np.array([len(x) for x in sets], np.int64), common(sets)
+    label = np.unique(comp, return_inverse=True)[1]
+    for i in range(len(sets)):
+        c = both[i].astype(np.int64)
+        js = np.flatnonzero((100 * c >= percent * (n[i] + n - c)) & (label != label[i]))
+        if len(js):
+            labels, first = np.unique(label[js], return_index=True)
+            js = js[first]
+            yield np.minimum(i, js), np.maximum(i, js)
+            label[np.isin(label, labels)] = label[i]
+
+
 def _in_cells(search, *options):
-    """Candidate pairs (a < b) that search finds in cells, from rows (key, node, comp, n, bins) sorted by key."""
+    """Pairs (a < b) that search finds in cells, from rows (key, node, comp, and n and bins or shingles) sorted by key; for a
+    cell for which search says None, its key as a, without b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -284,13 +342,22 @@ def _in_cells(search, *options):
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         def join(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
-            bins = t.column("bins").to_pylist()
+            node, comp = (t.column(c).to_numpy() for c in ("node", "comp"))
+            if "bins" in t.column_names:
+                n, bins = t.column("n").to_numpy(), t.column("bins").to_pylist()
+                points = lambda a, b: (bin_matrix(bins[a:b]), n[a:b])
+            else:
+                sets = t.column("shingles").to_pylist()
+                points = lambda a, b: ([np.frombuffer(x, np.uint64) for x in sets[a:b]],)
             key = t.column("key").to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             found, size = [], 0
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                for i, j in search(bin_matrix(bins[a:b]), n[a:b], comp[a:b], *options):
+                for pair in search(*points(a, b), comp[a:b], *options):
+                    if pair is None:
+                        yield pa.RecordBatch.from_pydict({"a": pa.array([key[a]], pa.int64()), "b": pa.nulls(1, pa.int64())})
+                        continue
+                    i, j = pair
                     found.append((node[a + i], node[a + j]))
                     size += len(j)
                     if size >= 10_000:
@@ -336,18 +403,17 @@ def _search(rows: DataFrame, facts: DataFrame, search, *options) -> DataFrame:
 
 def _cover_groups(left: DataFrame) -> DataFrame:
     """(key, node, comp): the points of cells (pivot, node, comp) in blocks of about CELL."""
-    dealt = left.repartition("pivot")
-    sizes = dealt.groupBy("pivot").agg(F.count("*").alias("size"))
+    sizes = left.groupBy("pivot").agg(F.count("*").alias("size"))
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL))
-    return dealt.join(sizes, "pivot").select(F.xxhash64("pivot", block).alias("key"), "node", "comp")
+    return left.join(sizes, "pivot").select(F.xxhash64("pivot", block).alias("key"), "node", "comp")
 
 
 def _deal(seated: DataFrame) -> DataFrame:
     """(key, node, comp) of the groups that cells (pivot, node, comp) of several components are joined in: a cell of at
     most CELL points is one; a larger one is dealt as pairs of blocks, so that no group has over about twice as many and
-    every two points of different components meet in one. Cells are dealt to tasks once; rows are numbers only."""
-    dealt = seated.repartition("pivot")
-    comps = dealt.groupBy("pivot", "comp").agg(F.count("*").alias("m"))
+    every two points of different components meet in one. Rows are numbers only, and counts come first, so that no task gets a large cell
+    whole."""
+    comps = seated.groupBy("pivot", "comp").agg(F.count("*").alias("m"))
     cells = comps.groupBy("pivot").agg(F.sum("m").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("m", "comp")).alias("major")).where("kinds > 1 and size > 2")
     cells = cells.select("pivot", "size", F.col("major.comp").alias("major"), F.ceil(F.col("major.m") / CELL).alias("mb"), F.ceil((F.col("size") - F.col("major.m")) / CELL).alias("sb"))
     first = F.col("comp") == F.col("major")
@@ -357,7 +423,28 @@ def _deal(seated: DataFrame) -> DataFrame:
     with_major = F.when(first, F.transform(ids(F.col("sb")), lambda t: key("m", own, t))).otherwise(F.transform(ids(F.col("mb")), lambda t: key("m", t, own)))
     others = F.when(first, F.array().cast("array<long>")).otherwise(F.transform(ids(F.col("sb")), lambda t: key("s", F.least(own, t), F.greatest(own, t))))
     keys = F.when(F.col("size") <= CELL, F.array(F.xxhash64("pivot"))).otherwise(F.concat(with_major, others))
-    return dealt.join(cells, "pivot").select(F.explode(keys).alias("key"), "node", "comp")
+    return seated.join(cells, "pivot").select(F.explode(keys).alias("key"), "node", "comp")
+
+
+def _crowded_links(s: Scratch, keys: DataFrame, dealt: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links in the groups named by keys, of the groups dealt (key, node, comp), that join their components; from the points' sorted
+    shingles. A group of more than WEIGHT shingles is dealt as pairs of blocks."""
+    held = s.write(dealt.join(keys, "key", "left_semi").join(nodes.select("node", "n"), "node"), "jaccard-crowded")
+    blocks = held.groupBy("key").agg(F.ceil(F.sum("n") / WEIGHT).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: F.xxhash64("key", F.least(own, t), F.greatest(own, t)))
+    rows = held.join(blocks, "key").select(F.explode(pair).alias("key"), "node", "comp")
+    wanted = s.write(held.select("node").distinct().join(nodes.select("node", *KEY), "node"), "jaccard-wanted")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lo, hi, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+
+    points = s.write(docs.select(*KEY, "text").join(wanted, [*KEY]).select("node", "text").mapInArrow(shingles, "node long, shingles binary"), "jaccard-points")
+    placed = rows.join(points, "node").select("key", "node", "comp", "shingles")
+    links = s.write(placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(exact_links, percent), "a long, b long"), "jaccard-links")
+    s.drop(held, wanted, points)
+    return links
 
 
 def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -373,15 +460,18 @@ def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[D
         nodes = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct(*KEY)).alias("at"))
         nodes = s.write(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "at.*"), "jaccard-nodes")
         part = docs.where(F.pmod(F.xxhash64(F.lit(29), *KEY), F.lit(max(1, total // sample_rows))) == 0)
-        crowd = part.select("text").mapInArrow(_sampled(k, percent), "key long").groupBy("key").count().where(F.col("count") >= max(16, sample_rows // 128))
-        crowded = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in crowd.select("key").collect()], np.int64).view(np.uint64)))
-        seats = docs.select("text").mapInArrow(_seats(k, percent, crowded), "key long, h1 long")
+        crowd = part.select("text").mapInArrow(_sampled(k, percent), "key long, h1 long").groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("pivot"))
+        hot = {np.uint64(r[0] % (1 << 64)): r[1] for r in crowd.where(F.col("n") >= max(16, sample_rows // 128)).select("key", "pivot").collect()}
+        late = np.array(sorted(hot), np.uint64)
+        crowded = spark.sparkContext.broadcast((late, np.array([hot[x] for x in late], np.int64)))
+        kind = "region long, key long, h1 long, pivot long"
+        seats = docs.select("text").mapInArrow(_seats(k, percent, crowded), kind)
         if described.where("thin").limit(1).count():  # thin sets against all, by single shingles
             thin = docs.join(described.where("thin").select(*KEY), [*KEY], "left_semi").select("text")
-            flat = s.write(thin.mapInArrow(_seats(k, percent, crowded, True), "key long, h1 long"), "jaccard-thin")
-            seats = seats.union(docs.select("text").mapInArrow(_seats(k, percent, crowded, True), "key long, h1 long").join(flat.select("key").distinct(), "key", "left_semi"))
+            flat = s.write(thin.mapInArrow(_seats(k, percent, crowded, True), kind), "jaccard-thin")
+            seats = seats.union(docs.select("text").mapInArrow(_seats(k, percent, crowded, True), kind).join(flat.select("region").distinct(), "region", "left_semi"))
         region = Window.partitionBy("key")
-        shared = seats.select("h1", F.min("h1").over(region).alias("lo"), F.max("h1").over(region).alias("hi")).where("lo != hi")
+        shared = seats.select("h1", "pivot", F.min("h1").over(region).alias("lo"), F.max("h1").over(region).alias("hi")).where("pivot IS NOT NULL OR lo != hi").select("h1", F.coalesce("pivot", "lo").alias("lo"))
         # the cell of a pivot: all nodes that share a region whose least set it is
         cells = s.write(shared.select("lo", "h1").distinct().join(nodes.select("h1", "node"), "h1").select(F.col("lo").alias("pivot"), "node").distinct(), "jaccard-cells")
         inside = s.write(nodes.join(cells.select("node").distinct(), "node", "left_semi").select("node", *KEY), "jaccard-inside")
@@ -400,20 +490,15 @@ def _classes(docs: DataFrame, k: int, percent: int, sample_rows: int) -> tuple[D
             large = left.groupBy("pivot").count().where(F.col("count") > BLOCKS * CELL)
             if not large.limit(1).count() or (rounds > 1 and left.count() > 0.9 * before.count()):
                 break
-        most = 1
-        while True:  # nearest partners of each point, until no point has any left that are not tested or joined by now
-            got = s.write(_search(_deal(seated), facts, quick_join, percent, most), "jaccard-near")
-            left_over = got.where("a = b").limit(1).count() > 0
-            more = s.write(got.where("a != b").join(tested, ["a", "b"], "left_anti"), "jaccard-more")
-            if more.limit(1).count():
-                links = links.union(join_pairs(s, more, nodes, docs, k, percent))
-                comp = components(s, links)
-                seated = cells.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                tested = tested.union(more)
-            s.drop(got)
-            if not left_over:
-                break
-            most *= 64
+        dealt = s.write(_deal(seated), "jaccard-dealt")
+        got = s.write(_search(dealt, facts, few_pairs, percent, PARTNERS), "jaccard-near")
+        more = s.write(got.where("b IS NOT NULL").join(tested, ["a", "b"], "left_anti"), "jaccard-more")
+        if more.limit(1).count():
+            links = links.union(join_pairs(s, more, nodes, docs, k, percent))
+        crowds = got.where("b IS NULL").select(F.col("a").alias("key"))
+        if crowds.limit(1).count():
+            links = links.union(_crowded_links(s, crowds, dealt, nodes, docs, k, percent))
+        comp = components(s, links)
         sets = s.keep(nodes.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-classes")
         rows = s.keep(described.select(*KEY, "doc_id", "n", "h1", "h2"), "jaccard-rows")
     return rows, sets

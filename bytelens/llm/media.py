@@ -12,6 +12,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -201,9 +202,18 @@ def resolve(interleaved: DataFrame, media: DataFrame, *, key: str = "page_id") -
     return refs.join(media_facts(media), "digest", "left")
 
 
+def _page(digest: str, own) -> str:
+    caption = "" if own is None else f"<figcaption>document {escape(str(own))}</figcaption>"
+    return f'<figure><img src="sha256:{digest}">{caption}</figure>'
+
+
 def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages, store): each text stored as a medium, and a page that refers to it. pages: doc_id, n_bytes, html.
-    The store is written to the shared folder and read back."""
+    The store is written to the shared folder and read back.
+
+    A page for each row: repeated rows, and ids that repeat or are null, have pages of their own; null ids have no caption. Ids are escaped,
+    so markup in them is text. Null texts are empty, and an empty text is a medium of one line of zeros. A long text is one medium. Columns other than
+    doc_id and text are not read. An empty table gives no pages and no media."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +232,7 @@ def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     if len(seen) < 100_000:
                         seen.add(d.digest())
                 ids = batch.column("doc_id").slice(lo, hi - lo)
-                html = [f'<figure><img src="sha256:{d}"><figcaption>document {x}</figcaption></figure>' for d, x in zip(digests, ids.to_pylist(), strict=True)]
+                html = [_page(d, x) for d, x in zip(digests, ids.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(html), pa.array(digests), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()

@@ -10,8 +10,10 @@ local disks, ABFS with a hierarchical namespace). commit="create" writes the man
 forbidden, for object stores that create conditionally and show an object only when it is whole (GCS, S3A with
 conditional creation). On other stores one writer at a time may be at work.
 
-After a commit, files that only manifests older than the last `keep` name are removed, and those manifests with them, so
-each is read once. Files of a writer that died before its commit are in no manifest: clean() removes those that have
+After a commit, manifests that have been out of date for a day go, and the files that only they name with them: a reader that has
+taken a version has that long to read it. retain_s sets another time; keep goes by count instead and removes all but the last `keep`
+versions at once, which is for a single writer whose readers take no older ones. A merge that finds a file gone, because another
+writer with a shorter time has removed it, reloads and plans again. Files of a writer that died before its commit are in no manifest: clean() removes those that have
 reached an age no running writer's files have.
 
 Merging reads whole files and writes one file in one task of bounded size, without a shuffle; the driver
@@ -27,14 +29,16 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PER_JOB = 64
 
 
 class Dataset:
-    def __init__(self, spark: SparkSession, path: str, *, target_bytes: int = 128 << 20, fan_in: int = 4, keep: int = 1, commit: str = "rename"):
-        self.spark, self.path, self.target, self.fan_in, self.keep = spark, path.rstrip("/"), target_bytes, fan_in, keep
+    def __init__(self, spark: SparkSession, path: str, *, target_bytes: int = 128 << 20, fan_in: int = 4, keep: int | None = None, retain_s: float | None = None, commit: str = "rename"):
+        self.spark, self.path, self.target, self.fan_in = spark, path.rstrip("/"), target_bytes, fan_in
+        self.keep, self.retain_s = keep or 1, retain_s if retain_s is not None else 86400.0 if keep is None else 0.0
         if commit not in ("rename", "create"):
             raise ValueError("commit is rename or create")
         self.how = commit
@@ -58,35 +62,41 @@ class Dataset:
         v = self.version() if version is None else version
         if not v:
             return {"version": 0, "schema": None, "files": []}
-        stream = self.fs.open(self._p(f"{self.path}/_manifests/v{v:08d}.json"))
+        try:
+            stream = self.fs.open(self._p(f"{self.path}/_manifests/v{v:08d}.json"))
+        except Py4JJavaError:
+            if version is None and self.version() > v:  # superseded and removed in the meantime
+                return self.manifest()
+            raise
         try:
             return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, base: dict, schema: str | None, files: list[dict]) -> bool:
-        """False if another writer has committed that version."""
+    def commit(self, base: dict, schema: str | None, files: list[dict]) -> dict | None:
+        """The new manifest; None if another writer has committed that version."""
         v = base["version"] + 1
-        data = bytearray(json.dumps({"version": v, "schema": schema, "files": sorted(files, key=lambda f: f["path"])}).encode())
+        made = {"version": v, "schema": schema, "files": sorted(files, key=lambda f: f["path"])}
+        data = bytearray(json.dumps(made).encode())
         final = self._p(f"{self.path}/_manifests/v{v:08d}.json")
-        if self.fs.exists(final):
-            return False
+        if self.version() >= v:
+            return None
         if self.how == "create":
             try:
                 out = self.fs.create(final, False)
                 out.write(data)
                 out.close()
             except Py4JJavaError:
-                return False
-            return True
+                return None
+            return made
         tmp = self._p(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
         out = self.fs.create(tmp, False)
         out.write(data)
         out.close()
         if not self.fs.rename(tmp, final):
             self.fs.delete(tmp, False)
-            return False
-        return True
+            return None
+        return made
 
     # -- files
 
@@ -107,9 +117,9 @@ class Dataset:
         new = [f for f in self._written(folder) if f["rows"]]
         while True:
             base = self.manifest()
-            if self.commit(base, base["schema"] or arrivals.schema.json(), base["files"] + new):
-                self._vacuum(base["version"] + 1)
-                return self.manifest(base["version"] + 1)
+            if made := self.commit(base, base["schema"] or arrivals.schema.json(), base["files"] + new):
+                self._vacuum(made["version"])
+                return made
 
     def plan(self, files: list[dict], everything: bool = False) -> list[list[dict]]:
         """Groups to merge: neighbours in size of one tier, until a group has the target's bytes; a short group
@@ -139,32 +149,45 @@ class Dataset:
             if not groups:
                 return base
             made: list[dict] = []
-            gone: set[str] = set()
-            for i in range(0, len(groups), PER_JOB):
-                folder = f"{self.path}/data/{uuid.uuid4().hex}"
-                part = groups[i : i + PER_JOB]
-                out = None
-                for g in part:
-                    one = self._read(base, [f["path"] for f in g]).coalesce(1)
-                    out = one if out is None else out.union(one)
-                out.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(folder)
-                made += self._written(folder)
-                gone |= {f["path"] for g in part for f in g}
-            if self.commit(base, base["schema"], [f for f in base["files"] if f["path"] not in gone] + made):
-                self._vacuum(base["version"] + 1)
-                return self.manifest(base["version"] + 1)
-            for f in made:
-                self.fs.delete(self._p(f"{self.path}/{f['path']}"), False)
+            gone = {f["path"] for g in groups for f in g}
+            folders = []
+            try:
+                for i in range(0, len(groups), PER_JOB):
+                    folders.append(f"{self.path}/data/{uuid.uuid4().hex}")
+                    out = None
+                    for g in groups[i : i + PER_JOB]:
+                        one = self._read(base, [f["path"] for f in g]).coalesce(1)
+                        out = one if out is None else out.union(one)
+                    out.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(folders[-1])
+                    made += self._written(folders[-1])
+                new = self.commit(base, base["schema"], [f for f in base["files"] if f["path"] not in gone] + made)
+            except (PySparkException, Py4JJavaError):
+                if self.version() == base["version"]:  # nobody has removed what it read
+                    raise
+                new = None
+            if new:
+                self._vacuum(new["version"])
+                return new
+            for folder in folders:
+                self.fs.delete(self._p(folder), True)
 
     def _vacuum(self, v: int) -> None:
-        """Removes manifests older than the last `keep` up to v, and the files that only they name."""
-        have = sorted(int(n[1:-5]) for n, _ in self._list(f"{self.path}/_manifests") if n.startswith("v") and n.endswith(".json"))
-        old, kept = [k for k in have if k <= v - self.keep], [k for k in have if k > v - self.keep]
-        live = {f["path"] for k in kept for f in self.manifest(k)["files"]}
-        for k in old:
-            for p in {f["path"] for f in self.manifest(k)["files"]} - live:
-                self.fs.delete(self._p(f"{self.path}/{p}"), False)
-            self.fs.delete(self._p(f"{self.path}/_manifests/v{k:08d}.json"), False)
+        """Removes manifests older than the last `keep` up to v that have been out of date for retain_s, and the files that only they name."""
+        status = {s.getPath().getName(): s.getModificationTime() for s in self.fs.listStatus(self._p(f"{self.path}/_manifests"))}
+        since = {int(n[1:-5]): t for n, t in status.items() if n.startswith("v") and n.endswith(".json")}
+        before = 1000 * (time.time() - self.retain_s)
+        have = sorted(since)
+        old = [k for k, after in zip(have, have[1:]) if k <= v - self.keep and since[after] <= before]
+        if not old:
+            return
+        try:
+            live = {f["path"] for k in have if k not in old for f in self.manifest(k)["files"]}
+            for k in old:
+                for p in {f["path"] for f in self.manifest(k)["files"]} - live:
+                    self.fs.delete(self._p(f"{self.path}/{p}"), False)
+                self.fs.delete(self._p(f"{self.path}/_manifests/v{k:08d}.json"), False)
+        except Py4JJavaError:  # another writer is removing the same manifests
+            return
 
     def clean(self, older_than_s: float = 7 * 86400.0) -> int:
         """Removes files that no manifest names and that are older than any running writer can be; how many."""

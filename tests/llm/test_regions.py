@@ -77,6 +77,63 @@ def test_cells_in_blocks(spark, monkeypatch, blocks):
     assert got(spark, rows, k=5, percent=80) == brute(rows, 5, 80)
 
 
+@pytest.mark.parametrize("weight", [1 << 20, 300])
+def test_crowded_cells(spark, monkeypatch, weight):
+    """Cells that leave more pairs than asked for are joined by their points' shingles, in blocks where these are many."""
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 0)
+    monkeypatch.setattr(jaccard_join, "WEIGHT", weight)
+    rows = corpus(7, (12, 14, 30, 30, 50, 90, 90, 200), " and this one passage stands at the end of each of them")
+    assert got(spark, rows, k=5, percent=80) == brute(rows, 5, 80)
+
+
+def test_near_misses_make_few_pairs(spark, monkeypatch):
+    """300 documents of 600 common and 58 own words, none of which link: no text is compared with all others."""
+    r = random.Random(8)
+    common = [f"w{r.randrange(10**6)}" for _ in range(600)]
+    rows = [(i, " ".join(common + [f"o{r.randrange(10**6)}" for _ in range(58)])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace("o", "q", 3)) for i in range(5)]
+    made, join = [], jaccard_join.join_pairs
+
+    def counted(s, pairs, *rest):
+        made.append(pairs.count())
+        return join(s, pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "join_pairs", counted)
+    assert got(spark, rows, k=4, percent=85) == brute(rows, 4, 85)
+    assert sum(made) < 3000
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_exact_links(percent):
+    """Components by the links that exact_links gives are those of all links, for cells of few and of many points."""
+    r = np.random.Generator(np.random.PCG64(11))
+    for m, n in ((1, 5), (7, 40), (150, 60), (300, 20)):
+        base = r.integers(0, 2**64, (6, n), dtype=np.uint64)
+        sets = [np.unique(np.concatenate((b[r.random(n) > 0.08], r.integers(0, 2**64, 3, dtype=np.uint64)))) for b in base[r.integers(0, 6, m)]]
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        assert (jaccard_join.common(sets) == want).all()
+        size = np.array([len(s) for s in sets])
+        link = 100 * want >= percent * (size[:, None] + size[None, :] - want)
+        comp = np.arange(m) // 2
+
+        few = [(int(a), int(b)) for i, j in jaccard_join.exact_links(sets, comp, percent) for a, b in zip(np.broadcast_to(i, len(j)), j)]
+        assert all(link[i, j] for i, j in few) and len(few) < max(1, len(set(comp.tolist())))
+
+        def groups(pairs):
+            root = {int(c): int(c) for c in comp}
+
+            def find(c):
+                while root[c] != c:
+                    c = root[c]
+                return c
+
+            for i, j in pairs:
+                root[find(int(comp[i]))] = find(int(comp[j]))
+            return [[find(int(c)) == find(int(d)) for d in set(comp.tolist())] for c in set(comp.tolist())]
+
+        assert groups(few) == groups(zip(*np.nonzero(link)))
+
+
 def test_crowded_regions_come_last(spark):
     """A passage that all rows share: the regions it makes are found in the sample, and links stay whole."""
     rows = corpus(5, (20, 25, 30, 35, 40, 45, 50, 55, 60) * 3, " and this one passage of a dozen words stands at the end of each")

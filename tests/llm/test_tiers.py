@@ -82,3 +82,58 @@ def test_empty_arrivals(spark, tmp_path):
         ds.append(spark.createDataFrame([], "doc_id long, text string"))
     ds.compact(everything=True)
     assert ds.read().collect() == [] and ds.version() == 2
+
+
+def test_compacting_writers_and_an_open_reader(spark, tmp_path):
+    """At the default, a reader that has taken a version reads it to the end while two writers append and merge."""
+    path = f"file://{tmp_path}/d"
+    frames = [spark.createDataFrame([(k * 10 + i, f"t{k}") for i in range(4)], "doc_id long, text string").coalesce(1) for k in range(8)]
+    first = Dataset(spark, path, target_bytes=40_000, fan_in=2)
+    first.append(frames[0])
+    first.append(frames[1])
+    reader, errors = first.read(), []
+
+    def work(own):
+        try:
+            ds = Dataset(spark, path, target_bytes=40_000, fan_in=2)
+            for f in own:
+                ds.append(f)
+                ds.compact()
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=work, args=(frames[2 + k :: 2],)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    assert sorted(r.doc_id for r in reader.collect()) == sorted(k * 10 + i for k in range(2) for i in range(4))
+    first.compact(everything=True)
+    assert sorted(r.doc_id for r in first.read().collect()) == sorted(k * 10 + i for k in range(8) for i in range(4))
+
+
+def test_a_merge_whose_files_are_gone_plans_again(spark, tmp_path):
+    path = f"file://{tmp_path}/d"
+    ds, other = (Dataset(spark, path, target_bytes=40_000, fan_in=2, keep=1) for _ in range(2))
+    for k in range(4):
+        ds.append(spark.createDataFrame([(k, "t")], "doc_id long, text string").coalesce(1))
+    plan, done = ds.plan, []
+
+    def late(files, everything=False):
+        out = plan(files, everything)
+        if not done:
+            done.append(other.compact(everything=True))  # removes what this plan is about to read
+        return out
+
+    ds.plan = late
+    ds.compact(everything=True)
+    assert done and sorted(r.doc_id for r in ds.read().collect()) == [0, 1, 2, 3]
+
+
+def test_old_versions_go_by_age(spark, tmp_path):
+    ds = Dataset(spark, f"file://{tmp_path}/d", retain_s=-5)  # all that is out of date is old
+    for k in range(3):
+        ds.append(spark.createDataFrame([(k, "t")], "doc_id long, text string").coalesce(1))
+    assert [n for n in os.listdir(f"{tmp_path}/d/_manifests") if n.startswith("v")] == ["v00000003.json"]
+    assert ds.read().count() == 3
