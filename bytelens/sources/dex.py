@@ -1,18 +1,19 @@
 """DEX files as tables: read as binary rows, pools and class tables cut out by column functions.
 
-Fixed-width records (header, ids, class definitions, try items, code headers) are slices of the content, computed by
-Spark; only byte streams of variable width (strings, LEB128 lists) go through Arrow functions. A file that can't be
+Fixed-width records (header, ids, class definitions, parameter lists) are slices of the content, computed by
+Spark; byte streams of variable width are walked once for each file (strings here, the rest in sources.walk). A file that can't be
 read gives one row in `errors` and none elsewhere; it never fails the others.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bytelens.functions.java import descriptor_to_java
 from bytelens.runtime import ship
 from bytelens.sources.bytecode import instructions as decoded
+from bytelens.sources.walk import walked
 
 NO_INDEX = 0xFFFFFFFF
 # Places of (size, offset) of the tables in a header: fixed values of the format.
@@ -47,14 +48,20 @@ def errors(dex: DataFrame) -> DataFrame:
     return dex.where("error is not null").select("dex_id", "path", "error")
 
 
-def _records(dex: DataFrame, table: str, width: int, **parts: tuple[int, int]) -> DataFrame:
-    """dex_id, idx and a number for each part (offset in the record, bytes) of a table's records."""
+def _records(dex: DataFrame, table: str, width: int, more=None, **parts: tuple[int, int]) -> DataFrame:
+    """dex_id, idx and a number for each part (offset in the record, bytes) of a table's records; with more also what it makes of a
+    record and the file's content."""
     good = dex.where("error is null")
     size, off = little(F.col("content"), HEADER[table], 4), little(F.col("content"), HEADER[table] + 4, 4)
     room = F.greatest(F.lit(0), F.floor((F.octet_length("content") - off) / width)).cast("long")
     ids = F.when(F.least(size, room) > 0, F.sequence(F.lit(0).cast("long"), F.least(size, room) - 1)).otherwise(F.array().cast("array<long>"))
-    t = good.select("dex_id", F.posexplode(F.transform(ids, lambda i: F.substring(F.col("content"), (off + i * width + 1).cast("int"), F.lit(width)))).alias("idx", "record"))
-    return t.select("dex_id", F.col("idx").cast("long"), *[little(F.col("record"), at, n).alias(name) for name, (at, n) in parts.items()])
+    record = lambda i: F.substring(F.col("content"), (off + i * width + 1).cast("int"), F.lit(width))
+    if more is None:
+        t = good.select("dex_id", F.posexplode(F.transform(ids, record)).alias("idx", "record"))
+        return t.select("dex_id", F.col("idx").cast("long"), *[little(F.col("record"), at, n).alias(name) for name, (at, n) in parts.items()])
+    both = F.transform(ids, lambda i: F.struct(record(i).alias("record"), more(record(i)).alias("more")))
+    t = good.select("dex_id", F.posexplode(both).alias("idx", "x"))
+    return t.select("dex_id", F.col("idx").cast("long"), *[little(F.col("x.record"), at, n).alias(name) for name, (at, n) in parts.items()], F.col("x.more").alias("more"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -111,13 +118,17 @@ def fields(dex: DataFrame) -> DataFrame:
 
 def protos(dex: DataFrame) -> DataFrame:
     """dex_id, proto_idx, params (array of Java names), return_type."""
-    t = _records(dex, "proto", 12, shorty=(0, 4), r=(4, 4), p=(8, 4)).withColumnRenamed("idx", "proto_idx")
+    c = F.col("content")
+
+    def listed(record: Column) -> Column:
+        """Type indices of the record's parameters: a size and a number for each, at the record's offset."""
+        at = little(record, 8, 4)
+        n = F.when(at > 0, F.least(little(c, at, 4), F.floor((F.octet_length(c) - at - 4) / 2).cast("long"))).otherwise(0)
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>")), lambda i: little(c, at + 4 + 2 * i, 2))
+
+    t = _records(dex, "proto", 12, listed, r=(4, 4)).withColumnRenamed("idx", "proto_idx")
     ty = types(dex)
-    lists = t.where("p > 0").join(dex.where("error is null").select("dex_id", "content"), "dex_id")
-    n = F.least(little(F.col("content"), F.col("p"), 4), F.floor((F.octet_length("content") - F.col("p")) / 2).cast("long"))
-    ids = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
-    one = lists.select("dex_id", "proto_idx", F.posexplode(F.transform(ids, lambda i: little(F.col("content"), F.col("p") + 4 + 2 * i, 2))).alias("pos", "type_idx"))
-    one = one.join(ty.select("dex_id", "type_idx", "java_name"), ["dex_id", "type_idx"], "left")
+    one = t.select("dex_id", "proto_idx", F.posexplode("more").alias("pos", "type_idx")).join(ty.select("dex_id", "type_idx", "java_name"), ["dex_id", "type_idx"], "left")
     params = one.groupBy("dex_id", "proto_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "java_name"))), lambda x: x["java_name"]).alias("params"))
     t = _named(t, "r", ty, "type_idx", "java_name", "return_type").join(params, ["dex_id", "proto_idx"], "left")
     return t.select("dex_id", "proto_idx", F.coalesce("params", F.array().cast("array<string>")).alias("params"), "return_type")
@@ -138,120 +149,29 @@ def classes(dex: DataFrame) -> DataFrame:
     return t.select("dex_id", F.col("idx").alias("def_idx"), "class_idx", "class_name", "super_name", "access_flags", "data_off", "annotations_off")
 
 
-def _leb(data: bytes, at: int, signed: bool = False) -> tuple[int, int]:
-    """A LEB128 number and the offset after it; raises IndexError beyond the end."""
-    out = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        out |= (b & 0x7F) << shift
-        shift += 7
-        if b < 0x80:
-            return (out - (1 << shift) if signed and b & 0x40 else out), at
-
-
-_MEMBER = T.ArrayType(T.StructType().add("kind", T.StringType()).add("pos", T.IntegerType()).add("idx", T.LongType()).add("access_flags", T.LongType()).add("code_off", T.LongType()))
-
-
-@F.pandas_udf(_MEMBER)
-def _members(content: pd.Series, off: pd.Series) -> pd.Series:
-    """Class data: delta-coded fields and methods, in their order; what is cut off is left out."""
-
-    def walk(data: bytes, at: int) -> list[dict]:
-        out: list[dict] = []
-        try:
-            sizes = []
-            for _ in range(4):
-                n, at = _leb(data, at)
-                sizes.append(n)
-            for kind, n in zip(("static_field", "instance_field", "direct_method", "virtual_method"), sizes, strict=True):
-                idx = 0
-                for pos in range(n):
-                    step, at = _leb(data, at)
-                    flags, at = _leb(data, at)
-                    code, at = _leb(data, at) if kind.endswith("method") else (0, at)
-                    idx += step
-                    out.append({"kind": kind, "pos": pos, "idx": idx, "access_flags": flags, "code_off": code})
-        except IndexError:
-            pass
-        return out
-
-    return pd.Series([walk(bytes(c), int(o)) for c, o in zip(content, off, strict=True)])
-
-
 def class_members(dex: DataFrame) -> DataFrame:
     """dex_id, class_idx, kind, pos, idx, access_flags, code_off (0 for fields and methods without code)."""
-    ship(dex.sparkSession)
-    t = classes(dex).where("data_off > 0").join(dex.where("error is null").select("dex_id", "content"), "dex_id")
-    return t.select("dex_id", "class_idx", F.inline(_members(F.col("content"), F.col("data_off"))))
+    return walked(dex, "member").select("dex_id", "class_idx", "kind", "pos", "idx", "access_flags", "code_off")
 
 
 def code(dex: DataFrame) -> DataFrame:
     """Methods that have code: method_uid, dex_id, method_idx, is_static, registers_size, ins_size, tries_size, insns_off, insns."""
-    m = class_members(dex).where("kind like '%method' and code_off > 0").join(dex.select("dex_id", "content"), "dex_id")
-    c, at = F.col("content"), F.col("code_off")
-    size = F.least(little(c, at + 12, 4) * 2, F.greatest(F.lit(0), F.octet_length(c) - at - 16).cast("long"))
-    return m.where(at + 16 <= F.octet_length(c)).select(
-        F.xxhash64("dex_id", "idx").alias("method_uid"), "dex_id", F.col("idx").alias("method_idx"), (F.col("access_flags").bitwiseAND(8) != 0).alias("is_static"),
-        little(c, at, 2).alias("registers_size"), little(c, at + 2, 2).alias("ins_size"), little(c, at + 6, 2).alias("tries_size"), (at + 16).alias("insns_off"), F.substring(c, (at + 17).cast("int"), size.cast("int")).alias("insns"),
-    )
-
-
-_HANDLERS = T.ArrayType(T.StructType().add("list_off", T.IntegerType()).add("pos", T.IntegerType()).add("type_idx", T.LongType()).add("addr", T.LongType()))
-
-
-@F.pandas_udf(_HANDLERS)
-def _handlers(content: pd.Series, off: pd.Series) -> pd.Series:
-    """The lists of handlers at an offset: each list's place from it, and its handlers; type_idx is null for a catch-all."""
-
-    def walk(data: bytes, base: int) -> list[dict]:
-        out: list[dict] = []
-        try:
-            n, at = _leb(data, base)
-            for _ in range(n):
-                place = at - base
-                size, at = _leb(data, at, signed=True)
-                for pos in range(abs(size)):
-                    kind, at = _leb(data, at)
-                    addr, at = _leb(data, at)
-                    out.append({"list_off": place, "pos": pos, "type_idx": kind, "addr": 2 * addr})
-                if size <= 0:
-                    addr, at = _leb(data, at)
-                    out.append({"list_off": place, "pos": abs(size), "type_idx": None, "addr": 2 * addr})
-        except IndexError:
-            pass
-        return out
-
-    return pd.Series([walk(bytes(c), int(o)) for c, o in zip(content, off, strict=True)])
+    static = (F.col("access_flags").bitwiseAND(8) != 0).alias("is_static")
+    return walked(dex, "code").select(F.xxhash64("dex_id", "idx").alias("method_uid"), "dex_id", F.col("idx").alias("method_idx"), static, "registers_size", "ins_size", "tries_size", "insns_off", "insns")
 
 
 def tries(dex: DataFrame, methods_code: DataFrame | None = None) -> DataFrame:
     """method_uid, try_id, start, end (byte offsets in the method), pos, type_idx (null for a catch-all), handler_start,
-    handler_end (the next larger boundary of the method's handlers, or its code's end). Tries whose list isn't there are left out."""
-    ship(dex.sparkSession)
-    m = (code(dex) if methods_code is None else methods_code).where("tries_size > 0").join(dex.select("dex_id", "content"), "dex_id")
-    c, size = F.col("content"), F.octet_length("insns").cast("long")
-    at = F.col("insns_off") + size + F.pmod(size, F.lit(4))  # try items are aligned to four bytes
-    items = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tries_size") - 1), lambda i: F.struct(little(c, at + 8 * i, 4).alias("a"), little(c, at + 8 * i + 4, 2).alias("n"), little(c, at + 8 * i + 6, 2).alias("list_off")))
-    t = m.select("method_uid", size.alias("code_end"), F.posexplode(items).alias("try_id", "x")).select("method_uid", "code_end", "try_id", (2 * F.col("x.a")).alias("start"), (2 * (F.col("x.a") + F.col("x.n"))).alias("end"), F.col("x.list_off").cast("int").alias("list_off"))
-    h = m.select("method_uid", F.inline(_handlers(c, at + 8 * F.col("tries_size"))))
-    joined = t.join(h, ["method_uid", "list_off"])
-    bounds = joined.select("method_uid", F.col("addr").alias("handler_start"), "code_end").distinct()
-    bounds = bounds.withColumn("handler_end", F.coalesce(F.lead("handler_start").over(W.partitionBy("method_uid").orderBy("handler_start")), "code_end")).drop("code_end")
-    return joined.withColumnRenamed("addr", "handler_start").join(bounds, ["method_uid", "handler_start"]).select("method_uid", "try_id", "start", "end", "pos", "type_idx", "handler_start", "handler_end")
+    handler_end (the next larger boundary of the method's handlers, or its code's end). Tries whose list isn't there are left out; with
+    methods_code so are those of other methods."""
+    t = walked(dex, "try").select(F.xxhash64("dex_id", "idx").alias("method_uid"), "try_id", "start", "end", "pos", "type_idx", "handler_start", "handler_end")
+    return t if methods_code is None else t.join(methods_code.select("method_uid"), "method_uid", "left_semi")
 
 
 def annotations(dex: DataFrame) -> DataFrame:
     """dex_id, class_idx, pos, type_idx, name (simple Java name) of the annotations of classes; entries that are cut off are
     left out."""
-    t = classes(dex).where("annotations_off > 0").join(dex.select("dex_id", "content"), "dex_id")
-    c = F.col("content")
-    t = t.withColumn("set_off", little(c, F.col("annotations_off"), 4)).where("set_off > 0")
-    n = F.least(little(c, F.col("set_off"), 4), F.greatest(F.lit(0), F.floor((F.octet_length(c) - F.col("set_off") - 4) / 4)).cast("long"))
-    t = t.withColumn("items", F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: little(c, F.col("set_off") + 4 + 4 * i, 4))).otherwise(F.array().cast("array<long>")))
-    one = lambda i, k: little(c, i + 1 + k, 1)  # noqa: E731  an item: visibility, then the type, a LEB128 number of at most five bytes
-    number = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.struct(F.lit(0).cast("long").alias("v"), F.lit(True).alias("more")), lambda s, k: F.when(s["more"], F.struct((s["v"] + one(i, k).bitwiseAND(127) * F.pow(F.lit(128), k).cast("long")).alias("v"), (one(i, k) >= 128).alias("more"))).otherwise(s), lambda s: s["v"])
-    t = t.select("dex_id", "class_idx", F.posexplode(F.transform(F.filter("items", lambda i: i + 2 <= F.octet_length(c)), number)).alias("pos", "type_idx"))
+    t = walked(dex, "annotation").select("dex_id", "class_idx", "pos", "type_idx")
     t = _named(t, "type_idx", types(dex), "type_idx", "java_name", "java_name").where("java_name is not null")
     return t.select("dex_id", "class_idx", "pos", "type_idx", F.substring_index("java_name", ".", -1).alias("name"))
 
