@@ -85,6 +85,12 @@ class Program:
     def blocks(self) -> DataFrame:
         return materialize(cfg.blocks(self.instructions.where("not mnemonic like '%-payload'"), self.cases), "blocks")
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """method_uid, off, block_id of every instruction."""
+        ins = self.instructions.where("not mnemonic like '%-payload'")
+        return materialize(dataflow.membership(ins.select("method_uid", "off"), self.blocks), "placed")
+
     @cached_property
     def edges(self) -> DataFrame:
         return materialize(cfg.edges(self.blocks, self.cases), "edges")
@@ -129,7 +135,7 @@ class Program:
         return found.join(self._wanted(only_package, exclude), "method_uid")
 
     def pending_intents(self, only_package: str | None = None, exclude: list[str] | None = None) -> DataFrame:
-        found = detectors.pending_intents(self.rw, self.use_def, dataflow.api_sources(self.instructions), dataflow.invoke_map(self.instructions))
+        found = detectors.pending_intents(self.rw, self.use_def, dataflow.api_sources(self.instructions), dataflow.invoke_map(self.instructions), self.placed)
         return detectors.risk_label(found).join(self._wanted(only_package, exclude), "method_uid")
 
     def emulate(self, class_name: str, method: str, params: list[str] = (), max_steps: int = 10_000) -> DataFrame:

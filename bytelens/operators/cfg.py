@@ -6,10 +6,10 @@ block ids are running sums, so membership is an equi-key, not a range join.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from bytelens.runtime import Rounds, materialize, ship
+from bytelens.operators.bymethod import NONE, by_method, groups, tagged
 
 EXITS = r"^(return.*|throw)$"
 SWITCHES = ("packed-switch", "sparse-switch")
@@ -21,6 +21,22 @@ def branch_targets(ins: DataFrame) -> DataFrame:
     return ins.where(m.startswith("goto") | m.startswith("if-")).select("method_uid", "off", F.regexp_extract("operands", r"(-?\d+)\s*$", 1).cast("long").alias("target"))
 
 
+def placed(ins: DataFrame) -> DataFrame:
+    """Instructions (branch operands absolute) with block_id, dealt by method. One exchange: what groups or windows by method and
+    anything else afterwards needs no other."""
+    m = F.col("mnemonic")
+    branch = m.startswith("goto") | m.startswith("if-")
+    ends = branch | m.rlike(EXITS) | m.isin(*SWITCHES)
+    target = F.when(branch, F.regexp_extract("operands", r"(-?\d+)\s*$", 1).try_cast("long"))
+    own = F.struct(F.col("off").alias("at"), F.struct("mnemonic", "operands").alias("row"), ends.alias("ends"), F.lit(False).alias("is_target"))
+    mark = F.struct(target.alias("at"), F.lit(None).cast("struct<mnemonic:string,operands:string>").alias("row"), F.lit(None).cast("boolean").alias("ends"), F.lit(True).alias("is_target"))
+    t = ins.repartition("method_uid").select("method_uid", F.inline(F.filter(F.array(own, mark), lambda x: x["at"].isNotNull())))
+    t = t.groupBy("method_uid", "at").agg(F.max("row").alias("row"), F.max("ends").alias("ends"), F.max("is_target").alias("is_target")).where("row IS NOT NULL")
+    w = W.partitionBy("method_uid").orderBy("at")
+    t = t.withColumn("head", F.col("is_target") | F.coalesce(F.lag("ends").over(w), F.lit(True)))
+    return t.select("method_uid", (F.sum(F.col("head").cast("long")).over(w) - 1).alias("block_id"), F.col("at").alias("off"), "row.mnemonic", "row.operands")
+
+
 def blocks(ins: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """method_uid, block_id, start_off, end_off (exclusive), end_kind, last_off, target. cases: method_uid, off (of the
     switch), case_value, target; a row for each case. A switch ends its block whether its cases are given or not."""
@@ -54,9 +70,12 @@ def edges(blocks: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     out = jump.union(fall)
     if cases is None:
         return out
+    from bytelens.operators.dataflow import membership
+
     switch = blocks.where("end_kind = 'switch'").select("method_uid", F.col("block_id").alias("from_id"), F.col("last_off").alias("off"))
-    holds = blocks.select("method_uid", F.col("block_id").alias("to_id"), "start_off", "end_off")
-    case = switch.join(cases.withColumnRenamed("target", "case_target"), ["method_uid", "off"]).join(holds, "method_uid").where("start_off <= case_target and case_target < end_off")
+    holds = membership(cases.select("method_uid", F.col("target").alias("off")).distinct(), blocks).select("method_uid", F.col("off").alias("target"), F.col("block_id").alias("to_id"))
+    inside = blocks.groupBy("method_uid").agg(F.max("end_off").alias("code_end"))
+    case = switch.join(cases, ["method_uid", "off"]).join(holds, ["method_uid", "target"]).join(inside, "method_uid").where("target < code_end")
     kind = cases.schema["case_value"].dataType
     return out.withColumn("case_value", F.lit(None).cast(kind)).union(case.select("method_uid", "from_id", "to_id", F.lit("case").alias("edge_kind"), "case_value"))
 
@@ -80,17 +99,58 @@ def fall_through_predecessors(blocks: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """method_uid, block_id (and other columns of starts, which keep searches apart) reachable from starts (method_uid,
-    block_id), themselves included. Blocks of exclude (the columns of starts) are reached but not left."""
+    """method_uid, block_id (and another column of starts, which keeps searches apart) reachable from starts (method_uid, block_id and
+    at most one more, of whole numbers), themselves included. Blocks of exclude (the columns of starts) are reached but not left."""
     keys = starts.columns
-    step = materialize(edges.select("method_uid", F.col("from_id").alias("block_id"), "to_id").distinct(), "reach-step")
-    stop = None if exclude is None else materialize(exclude.select(*keys).distinct(), "reach-stop")
-    out = Rounds(starts.distinct(), "reach")
-    while out.size:
-        front = out.front if stop is None else out.front.join(stop, keys, "left_anti")
-        new = front.join(step, ["method_uid", "block_id"]).drop("block_id").withColumnRenamed("to_id", "block_id").select(*keys).distinct()
-        out.add(new.join(out.all(), keys, "left_anti"))
-    return out.all()
+    extra = [c for c in keys if c not in ("method_uid", "block_id")]
+    if len(extra) > 1:
+        raise ValueError("starts have one column more at most")
+    ask = lambda t: t.select("method_uid", "block_id", *(extra or [F.lit(0).alias("search")])).distinct()
+    parts = [edges.select("method_uid", "from_id", "to_id").distinct(), ask(starts)] + ([] if exclude is None else [ask(exclude)])
+
+    def work(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        part, a, b = x["part"], x["a"], x["b"]
+        succ = groups(a[part == 0], b[part == 0])
+        first, stop = groups(b[part == 1], a[part == 1]), groups(b[part == 2], a[part == 2])
+        out: tuple[list[int], list[int]] = ([], [])
+        for search, own in first.items():
+            closed, seen, stack = set(stop.get(search, ())), set(own), list(own)
+            while stack:
+                n = stack.pop()
+                if n not in closed:
+                    new = [c for c in succ.get(n, ()) if c not in seen]
+                    seen.update(new)
+                    stack += new
+            out[0].extend(sorted(seen))
+            out[1].extend([search] * len(seen))
+        return [np.array(out[0], np.int64), np.array(out[1], np.int64)]
+
+    got = by_method(tagged(*parts), work, ["block_id", extra[0] if extra else "search"])
+    return got.select(*[F.col(c).cast(starts.schema[c].dataType) for c in keys])
+
+
+def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (method_uid, start, target, and exclude, a block that is not entered, or null) with found: whether the target is reached from the start. The target counts even if it is
+    excluded, as does a start that is the target. A search ends as soon as its target is met; searches of one start share nothing, so each is as short as it can be."""
+    asked = pairs.select("method_uid", "start", "target", *(["exclude"] if "exclude" in pairs.columns else [F.lit(None).cast("long").alias("exclude")])).distinct()
+
+    def work(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        part = x["part"]
+        succ = groups(x["a"][part == 0], x["b"][part == 0])
+        a, b, c = (x[k][part == 1].tolist() for k in "abc")
+        found = []
+        for start, target, closed in zip(a, b, c):
+            hit, seen, front = start == target, {start}, [] if start == closed else [start]
+            while front and not hit:
+                front = [n for f in front for n in succ.get(f, ())]
+                hit = target in front
+                front = [n for n in dict.fromkeys(front) if n not in seen and n != closed]
+                seen.update(front)
+            found.append(hit)
+        return [np.array(v, np.int64) for v in (a, b, c, found)]
+
+    got = by_method(tagged(edges.select("method_uid", "from_id", "to_id").distinct(), asked), work, ["start", "target", "exclude", "found"])
+    return got.select("method_uid", "start", "target", "exclude", (F.col("found") == 1).alias("found"))
 
 
 def loop_bodies(blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -151,21 +211,16 @@ def dominators(succ: dict, entry) -> dict:
 
 def graph_facts(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """method_uid, block_id, rpo (from 1), idom (null for the entry, block 0), of blocks reachable from block 0; a
-    method without edges has its entry.
-
-    A method's graph is one group: the algorithms are sequential and a method's code is bounded by its format."""
-    ship(edges.sparkSession)
+    method without edges has its entry. Depth-first: targets before what follows, cases by value."""
+    value = (F.col("case_value") if "case_value" in edges.columns else F.lit(None)).cast("long")  # a payload's order
+    e = edges.select("method_uid", "from_id", F.when(F.col("edge_kind").isin("fall", "default"), 1).otherwise(0).alias("ord"), F.coalesce(value, F.lit(0)).alias("case_value"), "to_id")
+    entries = blocks.where("block_id = 0").select("method_uid", F.lit(-1), F.lit(0), F.lit(0), F.lit(-1))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        succ: dict[int, list[int]] = {}
-        for a, b in pdf[pdf["from_id"] >= 0].sort_values(["from_id", "ord", "case_value", "to_id"])[["from_id", "to_id"]].itertuples(index=False):
-            succ.setdefault(int(a), []).append(int(b))
+    def work(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        real = x["a"] >= 0
+        succ = groups(x["a"][real], x["d"][real])  # rows come sorted
         order = postorder(succ, 0)[::-1]
         dom = dominators(succ, 0)
-        return pd.DataFrame({"method_uid": pdf["method_uid"].iloc[0], "block_id": order, "rpo": range(1, len(order) + 1), "idom": pd.array([dom[n] for n in order], dtype="Int64")})
+        return [np.array(order), np.arange(1, len(order) + 1), np.array([NONE if dom[n] is None else dom[n] for n in order], np.int64)]
 
-    value = (F.col("case_value") if "case_value" in edges.columns else F.lit(None)).cast("long")  # a payload's order
-    e = edges.select("method_uid", "from_id", "to_id", F.when(F.col("edge_kind").isin("fall", "default"), 1).otherwise(0).alias("ord"), F.coalesce(value, F.lit(0)).alias("case_value"))
-    none = F.lit(-1).cast("long")
-    entries = blocks.where("block_id = 0").select("method_uid", none.alias("from_id"), none.alias("to_id"), F.lit(0).alias("ord"), none.alias("case_value"))
-    return e.union(entries).groupBy("method_uid").applyInPandas(run, "method_uid long, block_id long, rpo long, idom long")
+    return by_method(tagged(e.union(entries), columns=("a", "b", "c", "d")), work, ["block_id", "rpo", "idom"])

@@ -1,15 +1,15 @@
 """Register reads and writes, invokes, API results, reaching definitions, taint closures.
 
 Tables are keyed by method_uid; offsets are longs. Everything is a join or a window on method keys, so a
-run covers all methods at once; fixpoints advance all methods and seeds together, semi-naively, and each
-round is written to the shared folder.
+run covers all methods at once; fixpoints run inside a task, method by method, on rows that are dealt by method once.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bytelens.runtime import Rounds, materialize
+from bytelens.operators.bymethod import bits, by_method, groups, tagged
 
 # Mnemonics by effect on registers: fixed values. Forms not listed have no effect (wide moves, unary
 # operations, conversions, compares, /2addr, lit16, typed array access).
@@ -29,7 +29,7 @@ def registers(operands: Column) -> Column:
 
 def rw_sets(ins: DataFrame) -> DataFrame:
     """method_uid, off, reg, is_write, pos: a row for each register an instruction writes or reads; pos keeps
-    the order of the operands."""
+    the order of the operands. block_id stays where instructions have it."""
     m, r = F.col("mnemonic"), registers(F.col("operands"))
     first, rest = F.slice(r, 1, 1), F.slice(r, 2, 255)
     none = F.array().cast("array<long>")
@@ -39,7 +39,7 @@ def rw_sets(ins: DataFrame) -> DataFrame:
         F.transform(writes, lambda x, i: F.struct(x.alias("reg"), F.lit(True).alias("is_write"), i.cast("long").alias("pos"))),
         F.transform(reads, lambda x, i: F.struct(x.alias("reg"), F.lit(False).alias("is_write"), i.cast("long").alias("pos"))),
     )
-    return ins.select("method_uid", "off", F.inline(pairs))
+    return ins.select("method_uid", *(["block_id"] if "block_id" in ins.columns else []), "off", F.inline(pairs))
 
 
 def callee(operands: Column) -> Column:
@@ -74,27 +74,64 @@ def reaching_use_def(rw: DataFrame, blocks: DataFrame, edges: DataFrame) -> Data
     """method_uid, use_off, reg, def_off over all paths: in a block the last write before the use; else every
     definition that reaches the block. A block passes a definition on unless it writes the register.
 
-    blocks: method_uid, block_id, start_off, end_off (exclusive). edges: method_uid, from_id, to_id."""
-    at = membership(rw.select("method_uid", "off").distinct(), blocks)
-    rwb = materialize(rw.join(at, ["method_uid", "off"]), "reach-rw")
-    key = ["method_uid", "block_id", "reg"]
-    gen = materialize(rwb.where("is_write").groupBy(*key).agg(F.max("off").alias("def_off")), "reach-gen")
-    step = edges.select("method_uid", F.col("from_id").alias("block_id"), "to_id").distinct()
-
-    def onward(front: DataFrame) -> DataFrame:
-        return front.join(step, ["method_uid", "block_id"]).select("method_uid", F.col("to_id").alias("block_id"), "reg", "def_off").distinct()
-
-    step = materialize(step, "reach-step")
-    reach = Rounds(onward(gen), "reach-in")
-    while reach.size:
-        passed = reach.front.join(gen.select(*key), key, "left_anti")
-        reach.add(onward(passed).join(reach.all(), [*key, "def_off"], "left_anti"))
-    reach = reach.all()
-    w = W.partitionBy(*key).orderBy("off").rangeBetween(W.unboundedPreceding, -1)
-    uses = rwb.withColumn("own", F.max(F.when(F.col("is_write"), F.col("off"))).over(w)).where("not is_write")
-    inner = uses.where("own is not null").select("method_uid", F.col("off").alias("use_off"), "reg", F.col("own").alias("def_off"))
-    outer = uses.where("own is null").join(reach, key).select("method_uid", F.col("off").alias("use_off"), "reg", "def_off")
-    return inner.union(outer).distinct()
+    blocks: method_uid, block_id, start_off, end_off (exclusive). edges: method_uid, from_id, to_id. A method's definitions are the bits of a
+    number: what reaches a block is a union, what a block stops a mask, and a worklist of blocks runs until nothing changes."""
+    parts = tagged(blocks.select("method_uid", "start_off", "block_id"), edges.select("method_uid", "from_id", "to_id").distinct(), rw.select("method_uid", "off", "reg", F.col("is_write").cast("long")))
+    return by_method(parts, _reach, ["use_off", "reg", "def_off"]).distinct()
+
+
+def _reach(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+    part = x["part"]
+    starts, ids = x["a"][part == 0], x["b"][part == 0]  # sorted by start
+    succ = groups(x["a"][part == 1], x["b"][part == 1])
+    off, reg, write = (x[c][part == 2] for c in "abc")
+    at = np.searchsorted(starts, off, "right") - 1
+    inside = at >= 0
+    off, reg, write, block = off[inside], reg[inside], write[inside] == 1, ids[at[inside]]
+    d_off, d_reg, d_block = (v[write].tolist() for v in (off, reg, block))
+    of_reg: dict[int, int] = {}
+    last: dict[int, dict[int, int]] = {}
+    for i, (r, b) in enumerate(zip(d_reg, d_block)):  # by offset: the last one of a block stays
+        of_reg[r] = of_reg.get(r, 0) | 1 << i
+        last.setdefault(b, {})[r] = i
+    gen = {b: sum(1 << i for i in own.values()) for b, own in last.items()}
+    kill = {b: 0 for b in last}
+    for b, own in last.items():
+        for r in own:
+            kill[b] |= of_reg[r]
+    into: dict[int, int] = {}
+    work = list(gen)
+    queued = set(work)
+    while work:
+        b = work.pop()
+        queued.discard(b)
+        out = (into.get(b, 0) & ~kill.get(b, 0)) | gen.get(b, 0)
+        for c in succ.get(b, ()):
+            have = into.get(c, 0)
+            if out & ~have:
+                into[c] = have | out
+                if c not in queued:
+                    queued.add(c)
+                    work.append(c)
+    uses: tuple[list[int], list[int], list[int]] = ([], [], [])
+    now: dict[tuple[int, int], int] = {}
+    known: dict[tuple[int, int], list[int]] = {}
+    rows = sorted(zip(off.tolist(), write.tolist(), reg.tolist(), block.tolist()))  # reads before writes of one instruction
+    for o, is_write, r, b in rows:
+        if is_write:
+            now[b, r] = o
+            continue
+        own = now.get((b, r))
+        if own is None:
+            if (b, r) not in known:
+                known[b, r] = [d_off[i] for i in bits(into.get(b, 0) & of_reg.get(r, 0))]
+            found = known[b, r]
+        else:
+            found = [own]
+        uses[0].extend([o] * len(found))
+        uses[1].extend([r] * len(found))
+        uses[2].extend(found)
+    return [np.array(u, np.int64) for u in uses]
 
 
 def membership(offsets: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -115,13 +152,27 @@ def flow_edges(rw: DataFrame, use_def: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """All tainted definitions: method_uid, seed_off, seed_reg, off, reg; the seed itself is one.
 
-    seeds: method_uid, off, reg. All seeds advance together; a round joins only what the last one added."""
-    edges = materialize(edges, "flow-edges")
-    out = Rounds(seeds.select("method_uid", F.col("off").alias("seed_off"), F.col("reg").alias("seed_reg"), "off", "reg").distinct(), "flow")
-    while out.size:
-        new = out.front.join(edges, ["method_uid", "off", "reg"]).select("method_uid", "seed_off", "seed_reg", F.col("to_off").alias("off"), F.col("to_reg").alias("reg")).distinct()
-        out.add(new.join(out.all(), new.columns, "left_anti"))
-    return out.all()
+    seeds: method_uid, off, reg; edges as flow_edges gives them. Methods without a seed are left out before anything moves."""
+    seeds = seeds.select("method_uid", "off", "reg").distinct()
+    wanted = edges.join(seeds.select("method_uid").distinct(), "method_uid", "left_semi").select("method_uid", "off", "reg", "to_off", "to_reg")
+
+    def work(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        part = x["part"] == 0
+        step: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for a, b, c, d in zip(*(x[k][part].tolist() for k in "abcd")):
+            step.setdefault((a, b), []).append((c, d))
+        out: list[tuple[int, int, int, int]] = []
+        for seed in zip(x["a"][~part].tolist(), x["b"][~part].tolist()):
+            seen, stack = {seed}, [seed]
+            while stack:
+                for n in step.get(stack.pop(), ()):
+                    if n not in seen:
+                        seen.add(n)
+                        stack.append(n)
+            out += [(*seed, *n) for n in seen]
+        return list(np.array(out, np.int64).T) if out else []
+
+    return by_method(tagged(wanted, seeds, columns=("a", "b", "c", "d")), work, ["seed_off", "seed_reg", "off", "reg"])
 
 
 def tainted_reads(tainted: DataFrame, use_def: DataFrame) -> DataFrame:

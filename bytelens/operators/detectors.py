@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from bytelens.operators.dataflow import closure, flow_edges, tainted_reads
-from bytelens.runtime import Rounds, materialize
+from bytelens.operators.dataflow import api_sources, closure, flow_edges, invoke_map, linear_use_def, rw_sets, tainted_reads
+from bytelens.runtime import materialize
 
 # Detector categories in the order of a full run, their source and sink patterns: fixed values.
 _INTENT = ("getIntent", "getData", "getStringExtra", "getDataString", "getExtras", "getCharSequenceExtra")
@@ -47,6 +47,15 @@ def with_sources(category: str, patterns: list[str], detectors: dict | None = No
     return table
 
 
+def scan(spark: SparkSession, ins: DataFrame, detectors: dict | None = None, categories: list[str] | None = None) -> DataFrame:
+    """find over straight-line definitions of ins, a table: reads and writes are made of the methods that have both a source and a sink only."""
+    table = {c: d for c, d in (detectors or DETECTORS).items() if not categories or c in categories}
+    patterns, sources, invokes = pattern_table(spark, table), api_sources(ins), invoke_map(ins)
+    both = matching(sources, patterns, "source").select("method_uid", "category").join(matching(invokes, patterns, "sink").select("method_uid", "category"), ["method_uid", "category"], "left_semi")
+    rw = rw_sets(ins.join(both.select("method_uid").distinct(), "method_uid", "left_semi"))
+    return find(spark, rw, linear_use_def(rw), sources, invokes, detectors, categories)
+
+
 def find(spark: SparkSession, rw: DataFrame, use_def: DataFrame, sources: DataFrame, invokes: DataFrame, detectors: dict | None = None, categories: list[str] | None = None) -> DataFrame:
     """category, method_uid, source_off (null for plain invoke scans), source_desc, sink_off, sink_desc; of
     findings that share category, method and sink the first source stays. Only sources that a wanted detector names, in
@@ -65,10 +74,10 @@ def find(spark: SparkSession, rw: DataFrame, use_def: DataFrame, sources: DataFr
     return flows.union(plain).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", "rank")
 
 
-def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invokes: DataFrame) -> DataFrame:
-    """method_uid, invoke_off, base_intent_empty, dangerous_destination, destination_kind.
+def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invokes: DataFrame, placed: DataFrame) -> DataFrame:
+    """method_uid, invoke_off, base_intent_empty, dangerous_destination, destination_kind. placed: method_uid, off, block_id of all instructions.
 
-    A PendingIntent creation with at least four argument registers whose result is taken right after it. The base
+    A PendingIntent creation with at least four argument registers whose result is taken right after it, in the same block. The base
     intent (third argument) is empty unless a setter's result is among its transitive definitions, followed
     through instructions that read exactly one register. The destination is dangerous if the result
     reaches setContentIntent."""
@@ -77,19 +86,16 @@ def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invok
     arg = rw.where("not is_write and pos = 2").select("method_uid", F.col("off").alias("invoke_off"), F.col("reg").alias("intent"))
     enough = rw.where("not is_write").groupBy("method_uid", F.col("off").alias("invoke_off")).agg(F.count("*").alias("n")).where("n >= 4").drop("n")
     taken = sources.select("method_uid", "off", "reg")
-    offs = rw.select("method_uid", "off").distinct().withColumn("before", F.lag("off").over(W.partitionBy("method_uid").orderBy("off")))
+    offs = placed.select("method_uid", "block_id", "off").withColumn("before", F.lag("off").over(W.partitionBy("method_uid", "block_id").orderBy("off")))
     created = create.join(arg, ["method_uid", "invoke_off"]).join(enough, ["method_uid", "invoke_off"])
     result = taken.join(offs, ["method_uid", "off"]).select("method_uid", F.col("before").alias("invoke_off"), F.col("off").alias("res_off"), F.col("reg").alias("res_reg"))
     created = materialize(created.join(result, ["method_uid", "invoke_off"]), "pi")
     # backwards: definitions of the intent, on through instructions of one read
     one = rw.where("not is_write").groupBy("method_uid", "off").agg(F.count("*").alias("n"), F.first("reg").alias("reg")).where("n = 1").drop("n")
     d = use_def.select("method_uid", F.col("use_off").alias("off"), "reg", "def_off")
-    front = created.select("method_uid", "invoke_off", F.col("invoke_off").alias("off"), F.col("intent").alias("reg")).join(d, ["method_uid", "off", "reg"]).select("method_uid", "invoke_off", "def_off").distinct()
-    seen = Rounds(front, "pi-defs")
-    while seen.size:
-        nxt = seen.front.select("method_uid", "invoke_off", F.col("def_off").alias("off")).join(one, ["method_uid", "off"]).join(d, ["method_uid", "off", "reg"]).select("method_uid", "invoke_off", "def_off").distinct()
-        seen.add(nxt.join(seen.all(), ["method_uid", "invoke_off", "def_off"], "left_anti"))
-    seen = seen.all()
+    back = d.join(one.select("method_uid", F.col("off").alias("def_off"), F.col("reg").alias("to_reg")), ["method_uid", "def_off"]).select("method_uid", "off", "reg", F.col("def_off").alias("to_off"), "to_reg")
+    asked = created.select("method_uid", F.col("invoke_off").alias("off"), F.col("intent").alias("reg"))
+    seen = closure(asked, back).join(d, ["method_uid", "off", "reg"]).select("method_uid", F.col("seed_off").alias("invoke_off"), "def_off").distinct()
     setters = sources.where(any_of(PI_SETTERS)).select("method_uid", F.col("off").alias("def_off"))
     filled = seen.join(setters, ["method_uid", "def_off"]).select("method_uid", "invoke_off", F.lit(True).alias("filled")).distinct()
     seeds = created.select("method_uid", F.col("res_off").alias("off"), F.col("res_reg").alias("reg"))

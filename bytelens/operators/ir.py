@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def neighbours(ins: DataFrame) -> DataFrame:
-    w = W.partitionBy("method_uid").orderBy("off")
-    return ins.select("method_uid", "off", F.lag("off").over(w).alias("prev_off"), F.lead("off").over(w).alias("next_off"))
+    """The instructions before and after, in the same block: ins from cfg.placed."""
+    w = W.partitionBy("method_uid", "block_id").orderBy("off")
+    return ins.select("method_uid", "block_id", "off", F.lag("off").over(w).alias("prev_off"), F.lead("off").over(w).alias("next_off"))
 
 
 def ssa_versions(rw: DataFrame) -> DataFrame:
-    """Linear versions without phis: a write takes the next version of its register, a read the current one, 0
-    before any write."""
-    w = W.partitionBy("method_uid", "reg").orderBy("off")
+    """Linear versions without phis, from 0 in each block: a write takes the next version of its register, a read the current one, 0
+    before any write. rw of instructions from cfg.placed."""
+    w = W.partitionBy("method_uid", "block_id", "reg").orderBy("off")
     is_write = F.when(F.col("is_write"), 1)
     now = F.count(is_write).over(w.rangeBetween(W.unboundedPreceding, 0))
     before = F.count(is_write).over(w.rangeBetween(W.unboundedPreceding, -1))

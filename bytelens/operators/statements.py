@@ -112,18 +112,20 @@ def intermediate(ins: DataFrame) -> DataFrame:
     """method_uid, off, kind, dst, form, target, text: a row for each instruction but payloads. kind: assign, expr, return or
     raw; form, of what is assigned or returned: var, call (target, text its arguments), pending (a result to be taken) or raw."""
     m, o, value = F.col("mnemonic"), F.col("operands"), F.col("value")
-    ins = ins.where(~m.endswith("-payload")).select("method_uid", "off", "mnemonic", "operands", assigned(m, o).alias("value"), statement(m, o).alias("line"))
+    keys = [c for c in ("method_uid", "block_id") if c in ins.columns]
+    ins = ins.where(~m.endswith("-payload")).select(*keys, "off", "mnemonic", "operands", assigned(m, o).alias("value"), statement(m, o).alias("line"))
     call = has_callee()
     kind = F.when(call, "expr").when(m.startswith("move-result"), "assign").when(m.startswith("return"), "return").when(value.isNotNull(), "assign").otherwise("raw")
     form = F.when(call, "call").when(m.startswith("move-result"), "pending").when(m == "return-void", "none").when(m.startswith("return") | value.rlike(r"^v\d+$"), "var").otherwise("raw")
     text = F.when(call, call_arguments(o)).when(m.rlike("^(move-result|return-void)"), F.lit("")).when(m.startswith("return"), F.coalesce(operand(o, 1), F.lit(""))).otherwise(F.coalesce(value, "line"))
     dst = F.when(kind == "assign", operand(o, 1))
-    return ins.select("method_uid", "off", kind.alias("kind"), dst.alias("dst"), form.alias("form"), F.when(call, callee(o)).alias("target"), text.alias("text"))
+    return ins.select(*keys, "off", kind.alias("kind"), dst.alias("dst"), form.alias("form"), F.when(call, callee(o)).alias("target"), text.alias("text"))
 
 
-def chain_calls(ir: DataFrame) -> DataFrame:
-    """A call whose result is taken at once becomes what is assigned, and what is returned if it is returned at once."""
-    w = W.partitionBy("method_uid").orderBy("off")
+def chain_calls(ir: DataFrame, scope: tuple[str, ...] = ("method_uid",)) -> DataFrame:
+    """A call whose result is taken at once becomes what is assigned, and what is returned if it is returned at once. scope: columns
+    that keep methods, or their blocks, apart."""
+    w = W.partitionBy(*scope).orderBy("off")
     row = F.struct("kind", "dst", "form", "target", "text")
     at = lambda n: F.lead(row, n).over(w) if n > 0 else F.lag(row, -n).over(w)
     t = ir.select("*", at(1).alias("n1"), at(2).alias("n2"), at(-1).alias("p1"), at(-2).alias("p2"))
@@ -137,12 +139,12 @@ def chain_calls(ir: DataFrame) -> DataFrame:
     gone = yes(pending(me) & is_call(F.col("p1"))) | yes(gives(me, F.col("p1.dst")) & ((pending(F.col("p1")) & is_call(F.col("p2"))) | bound(F.col("p1"))))
     kind = F.when(returned, "return").when(taken, "assign").otherwise(F.col("kind"))
     dst = F.when(returned, F.lit(None).cast("string")).when(taken, F.col("n1.dst")).otherwise(F.col("dst"))
-    return t.where(~gone).select("method_uid", "off", kind.alias("kind"), dst.alias("dst"), "form", "target", "text")
+    return t.where(~gone).select(*scope, "off", kind.alias("kind"), dst.alias("dst"), "form", "target", "text")
 
 
-def merge_constructors(ir: DataFrame) -> DataFrame:
+def merge_constructors(ir: DataFrame, scope: tuple[str, ...] = ("method_uid",)) -> DataFrame:
     """v = new Foo() and v.<init>(args) after it become v = new Foo(args). The receiver is in the target or the first argument."""
-    w = W.partitionBy("method_uid").orderBy("off")
+    w = W.partitionBy(*scope).orderBy("off")
     fresh = (F.col("kind") == "assign") & (F.col("form") == "raw") & F.col("text").rlike(r"^new .*\(\)$")
     init = (F.col("kind") == "expr") & (F.col("form") == "call") & F.col("target").endswith(".<init>")
     t = ir.withColumn("fresh", fresh).withColumn("receiver", F.when(init, F.when(F.col("target").rlike(r"^v\d+(_\d+)?\.<init>$"), F.regexp_replace("target", r"\.<init>$", "")).otherwise(F.regexp_extract("text", r"^(v\d+(_\d+)?)", 1))))
@@ -152,7 +154,7 @@ def merge_constructors(ir: DataFrame) -> DataFrame:
     t = t.withColumn("gone", F.coalesce(F.col("receiver") == before, F.lit(False))).withColumn("after", after)
     merges = F.col("fresh") & F.coalesce(F.col("after.receiver") == F.col("dst"), F.lit(False))
     text = F.when(merges, F.concat(F.regexp_replace("text", r"\)$", ""), F.col("after.rest"), F.lit(")"))).otherwise(F.col("text"))
-    return t.where("not gone").select("method_uid", "off", "kind", "dst", "form", "target", text.alias("text"))
+    return t.where("not gone").select(*scope, "off", "kind", "dst", "form", "target", text.alias("text"))
 
 
 def compound(dst: Column, text: Column) -> Column:
@@ -182,12 +184,13 @@ def lines(ir: DataFrame) -> DataFrame:
     value = F.when(F.col("form") == "call", call).when(F.col("form") == "pending", F.lit("<result>")).otherwise(F.col("text"))
     c = compound(F.col("dst"), F.col("text"))
     line = (
-        F.when(F.col("kind") == "assign", F.when((F.col("form") == "raw") & c.isNotNull(), F.concat(c, F.lit(";"))).otherwise(F.concat("dst", F.lit(" = "), value, F.lit(";"))))
+        F.when(F.col("form") == "compound", F.concat("text", F.lit(";")))
+        .when(F.col("kind") == "assign", F.when((F.col("form") == "raw") & c.isNotNull(), F.concat(c, F.lit(";"))).otherwise(F.concat("dst", F.lit(" = "), value, F.lit(";"))))
         .when(F.col("kind") == "return", F.when(F.col("form") == "none", "return;").otherwise(F.concat(F.lit("return "), value, F.lit(";"))))
         .when(F.col("kind") == "expr", F.concat(call, F.lit(";")))
         .otherwise(F.col("text"))
     )
-    return ir.select("method_uid", "off", line.alias("line"))
+    return ir.select(*(c for c in ("method_uid", "block_id") if c in ir.columns), "off", line.alias("line"))
 
 
 def raw_type(text: Column) -> Column:
@@ -239,16 +242,14 @@ def typed_names(ir: DataFrame, types: DataFrame) -> DataFrame:
 
 def folded_conditions(ins: DataFrame) -> DataFrame:
     """method_uid, off, cond: conditions of branches, with registers replaced by constants that one of the three instructions before,
-    in the same straight stretch of code, puts into them and none after it overwrites."""
+    in the same block, puts into them and none after it overwrites. ins from cfg.placed: what stands before a place that is jumped to
+    is in another block, so it says nothing about registers there."""
     from bytelens.functions import java
 
     m, first = F.col("mnemonic"), operand(F.col("operands"), 1)
-    ends = m.rlike(r"^(goto|if-|return|throw)|-switch$")
-    w = W.partitionBy("method_uid").orderBy("off")
-    t = ins.withColumn("stretch", F.coalesce(F.sum(ends.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     puts = F.when(assigned(m, F.col("operands")).isNotNull() | m.startswith("move-result"), first)
-    t = t.withColumn("puts", F.struct(puts.alias("reg"), F.when(m.rlike("^const(/4|/16)?$"), operand(F.col("operands"), 2)).alias("value")))
-    near = W.partitionBy("method_uid", "stretch").orderBy("off")
+    t = ins.withColumn("puts", F.struct(puts.alias("reg"), F.when(m.rlike("^const(/4|/16|/high16)?$"), operand(F.col("operands"), 2)).alias("value")))
+    near = W.partitionBy("method_uid", "block_id").orderBy("off")
     before = [F.lag("puts", i).over(near).alias(f"p{i}") for i in (1, 2, 3)]
     t = t.select("method_uid", "off", "mnemonic", "operands", *before).where(m.rlike("^if-"))
     cond = java.condition(m, F.col("operands"))

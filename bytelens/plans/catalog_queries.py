@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from bytelens.functions import java, stubs
+from bytelens.operators.intervals import overlaps
 
 QUERIES, SQL = {}, {}
 
@@ -176,10 +177,10 @@ _BLOCKS = "(SELECT o_custkey AS m, o_orderkey AS bid, (o_orderkey * 13) % 200 AS
 
 @query(f"SELECT t.m, t.tid, b.bid FROM {_TRY} t JOIN {_BLOCKS} b ON b.m = t.m AND b.a < t.z AND b.z > t.a")
 def try_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks that overlap a try range; keyed by method, so the interval test filters an equi-join."""
+    """Blocks that overlap a try range, by a join on cells of powers of two."""
     o = _t(spark, d, "orders")
     t, b = o.selectExpr("o_custkey AS m", "o_orderkey AS tid", "o_orderkey % 200 AS a", "o_orderkey % 200 + 20 AS z"), o.selectExpr("o_custkey AS m", "o_orderkey AS bid", "(o_orderkey * 13) % 200 AS ba", "(o_orderkey * 13) % 200 + 15 AS bz")
-    return t.join(b, "m").where("ba < z AND bz > a").select("m", "tid", "bid")
+    return overlaps(t, b, ["m"], ("a", "z"), ("ba", "bz")).select("m", "tid", "bid")
 
 
 @query("SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY ALL")

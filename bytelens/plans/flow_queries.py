@@ -78,9 +78,7 @@ def taint_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, d: str, categories: list[str] | None = None) -> DataFrame:
-    ins, rw = _rw(spark, d)
-    ud = materialize(df_.linear_use_def(rw), "ud")
-    return detectors.find(spark, rw, ud, df_.api_sources(ins), df_.invoke_map(ins), categories=categories)
+    return detectors.scan(spark, materialize(instructions(spark, d), "ins"), categories=categories)
 
 
 @query(f"WITH RECURSIVE {FINDINGS} SELECT * FROM firsts")
@@ -126,7 +124,8 @@ def def_use(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {FLOW} SELECT * FROM flow")
 def api_flow(spark: SparkSession, d: str) -> DataFrame:
-    ins, rw = _rw(spark, d)
+    ins = materialize(instructions(spark, d), "ins")
+    rw = df_.rw_sets(ins)
     return df_.closure(df_.api_sources(ins), df_.flow_edges(rw, df_.linear_use_def(rw)))
 
 
@@ -173,6 +172,20 @@ def reachable(spark: SparkSession, d: str) -> DataFrame:
     return cfg.reachable(cfg.edges(b), b.select("method_uid", F.lit(0).cast("long").alias("block_id")).distinct())
 
 
+@query(
+    f"""WITH RECURSIVE {CFG}, q AS (SELECT DISTINCT b.method_uid, b.block_id AS start, (b.block_id * 7 + 3) % n AS target, CASE WHEN b.block_id % 3 > 0 THEN (b.block_id * 5 + 1) % n END AS exclude FROM blk b JOIN (SELECT method_uid, count(*) AS n FROM blk GROUP BY ALL) USING (method_uid)),
+s AS (SELECT method_uid, start, target, exclude, start AS b FROM q UNION SELECT s.method_uid, s.start, s.target, s.exclude, e.to_id FROM s JOIN edg e ON e.method_uid = s.method_uid AND e.from_id = s.b WHERE s.b IS DISTINCT FROM s.exclude)
+SELECT method_uid, start, target, exclude, bool_or(b = target) AS found FROM s GROUP BY ALL"""
+)
+def reach_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a block reaches another without entering a third."""
+    b = materialize(cfg.blocks(instructions(spark, d)), "blocks")
+    n = b.groupBy("method_uid").agg(F.count("*").alias("n"))
+    i = F.col("block_id")
+    q = b.join(n, "method_uid").select("method_uid", i.alias("start"), ((i * 7 + 3) % F.col("n")).alias("target"), F.when(i % 3 > 0, (i * 5 + 1) % F.col("n")).alias("exclude"))
+    return cfg.reaches(cfg.edges(b), q)
+
+
 @query(
     f"""WITH RECURSIVE {RW}, tgt AS{CFG.split("tgt AS", 1)[1]},
 rwb AS (SELECT rw.method_uid, rw.off, rw.reg, rw.is_write, b.block_id FROM rw JOIN blk b ON b.method_uid = rw.method_uid AND b.start_off <= rw.off AND rw.off < b.end_off),
@@ -186,9 +199,9 @@ SELECT method_uid, off AS use_off, reg, d AS def_off FROM own WHERE d IS NOT NUL
 UNION ALL SELECT o.method_uid, o.off, o.reg, i.def_off FROM own o JOIN inn i ON i.method_uid = o.method_uid AND i.block_id = o.block_id AND i.reg = o.reg WHERE o.d IS NULL"""
 )
 def reaching_defs(spark: SparkSession, d: str) -> DataFrame:
-    ins, rw = _rw(spark, d)
+    ins = materialize(instructions(spark, d), "ins")
     b = materialize(cfg.blocks(ins), "blocks")
-    return df_.reaching_use_def(rw, b, cfg.edges(b))
+    return df_.reaching_use_def(df_.rw_sets(ins), b, cfg.edges(b))
 
 
 @query(
@@ -211,14 +224,20 @@ def reverse_postorder(spark: SparkSession, d: str) -> DataFrame:
     return cfg.graph_facts(cfg.edges(b), b).select("method_uid", "block_id", "rpo")
 
 
-@query(f"WITH {DUCK_CTE} SELECT method_uid, off, lag(off) OVER (PARTITION BY method_uid ORDER BY off) AS prev_off, lead(off) OVER (PARTITION BY method_uid ORDER BY off) AS next_off FROM ins")
+_PLACED = "(SELECT i.*, b.block_id FROM ins i JOIN blk b ON b.method_uid = i.method_uid AND b.start_off <= i.off AND i.off < b.end_off)"
+
+
+@query(f"WITH {CFG} SELECT method_uid, block_id, off, lag(off) OVER (PARTITION BY method_uid, block_id ORDER BY off) AS prev_off, lead(off) OVER (PARTITION BY method_uid, block_id ORDER BY off) AS next_off FROM {_PLACED}")
 def prev_offset(spark: SparkSession, d: str) -> DataFrame:
-    return ir.neighbours(instructions(spark, d))
+    """The neighbours of an instruction in its block."""
+    return ir.neighbours(cfg.placed(instructions(spark, d)))
 
 
-@query(f"WITH {RW} SELECT method_uid, off, reg, is_write, pos, CASE WHEN is_write THEN n ELSE n0 END AS ver FROM (SELECT *, CAST(count(*) FILTER (WHERE is_write) OVER (PARTITION BY method_uid, reg ORDER BY off RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE is_write) OVER (PARTITION BY method_uid, reg ORDER BY off RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS n0 FROM rw)")
+@query(f"""WITH {RW}, tgt AS{CFG.split("tgt AS", 1)[1]}, rwb AS (SELECT rw.*, b.block_id FROM rw JOIN blk b ON b.method_uid = rw.method_uid AND b.start_off <= rw.off AND rw.off < b.end_off)
+SELECT method_uid, block_id, off, reg, is_write, pos, CASE WHEN is_write THEN n ELSE n0 END AS ver FROM (SELECT *, CAST(count(*) FILTER (WHERE is_write) OVER (PARTITION BY method_uid, block_id, reg ORDER BY off RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE is_write) OVER (PARTITION BY method_uid, block_id, reg ORDER BY off RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS n0 FROM rwb)""")
 def ssa_versions(spark: SparkSession, d: str) -> DataFrame:
-    return ir.ssa_versions(df_.rw_sets(instructions(spark, d)))
+    """Versions of registers, from 0 in each block."""
+    return ir.ssa_versions(df_.rw_sets(cfg.placed(instructions(spark, d))))
 
 
 @query(f"WITH {RW} SELECT w.method_uid, w.off, w.reg FROM rw w WHERE w.is_write AND NOT EXISTS (SELECT 1 FROM ud WHERE ud.method_uid = w.method_uid AND ud.def_off = w.off AND ud.reg = w.reg)")
@@ -227,13 +246,6 @@ def dead_assignments(spark: SparkSession, d: str) -> DataFrame:
     return ir.dead_assignments(rw, df_.linear_use_def(rw))
 
 
-@query(f"WITH {RW} SELECT DISTINCT w.method_uid, w.off, w.reg FROM rw w WHERE w.is_write AND NOT EXISTS (SELECT 1 FROM rw r WHERE NOT r.is_write AND r.method_uid = w.method_uid AND r.reg = w.reg)")
-def dead_registers(spark: SparkSession, d: str) -> DataFrame:
-    """Assignments to registers that the whole method never reads."""
-    rw = df_.rw_sets(instructions(spark, d))
-    return ir.dead_registers(rw)
-
-
 @query(f"WITH {RW} SELECT method_uid, first_off, reg, prefix, prefix || CAST(row_number() OVER (PARTITION BY method_uid, prefix ORDER BY first_off, reg) AS VARCHAR) AS name FROM (SELECT method_uid, min(off) AS first_off, reg, CASE WHEN bool_or(is_write AND EXISTS (SELECT 1 FROM src WHERE src.method_uid = rw.method_uid AND src.off = rw.off)) THEN 'result' ELSE 'local' END AS prefix FROM rw GROUP BY method_uid, reg)")
 def name_counter(spark: SparkSession, d: str) -> DataFrame:
     ins, rw = _rw(spark, d)

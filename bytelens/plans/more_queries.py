@@ -89,25 +89,25 @@ def branch_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pi_code(spark: SparkSession, d: str) -> DataFrame:
-    """A method for each order: an intent that may be filled, a pending intent of three or four arguments, and where it goes."""
+    """A method for each order: an intent that may be filled, a pending intent of three or four arguments, and where it goes. In one of seven a branch
+    leads to where its result is taken."""
     m = F.col("o_orderkey")
     row = lambda off, mn, ops: F.struct(F.lit(off).cast("long").alias("off"), F.lit(mn).alias("mnemonic"), ops.alias("operands"))
     fill = F.when(m % 2 == 1, "android.content.Intent.setAction").otherwise("android.content.Intent.toUri")
     goes = F.when(m % 5 < 3, "android.app.Notification.Builder.setContentIntent").otherwise("android.app.AlarmManager.set")
     rows = F.array(
-        row(0, "invoke-virtual", F.concat(F.lit("v0, v1, "), fill)), row(2, "move-result-object", F.lit("v2")),
-        row(4, "invoke-static", F.concat(F.when(m % 3 > 0, "v0, v1, v2, v3").otherwise("v0, v1, v2"), F.lit(", android.app.PendingIntent.getActivity"))), row(6, "move-result-object", F.lit("v4")),
-        row(8, "invoke-virtual", F.concat(F.lit("v5, v4, "), goes)), row(10, "return-void", F.lit("")),
+        row(0, "if-eqz", F.when(m % 7 == 0, "v6, 8").otherwise("v6, 10")), row(2, "invoke-virtual", F.concat(F.lit("v0, v1, "), fill)), row(4, "move-result-object", F.lit("v2")),
+        row(6, "invoke-static", F.concat(F.when(m % 3 > 0, "v0, v1, v2, v3").otherwise("v0, v1, v2"), F.lit(", android.app.PendingIntent.getActivity"))), row(8, "move-result-object", F.lit("v4")),
+        row(10, "invoke-virtual", F.concat(F.lit("v5, v4, "), goes)), row(12, "return-void", F.lit("")),
     )
     return _t(spark, d, "orders").select(m.alias("method_uid"), F.inline(rows))
 
 
-@query("SELECT o_orderkey AS method_uid, CAST(4 AS BIGINT) AS invoke_off, o_orderkey % 2 = 0 AS base_intent_empty, o_orderkey % 5 < 3 AS dangerous_destination, CASE WHEN o_orderkey % 5 < 3 THEN 'Notification/setContentIntent' ELSE 'other' END AS destination_kind, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 < 3 THEN 'RISK' WHEN o_orderkey % 2 = 0 OR o_orderkey % 5 < 3 THEN 'review' ELSE 'ok' END AS risk FROM orders WHERE o_orderkey % 3 > 0")
+@query("SELECT o_orderkey AS method_uid, CAST(6 AS BIGINT) AS invoke_off, o_orderkey % 2 = 0 AS base_intent_empty, o_orderkey % 5 < 3 AS dangerous_destination, CASE WHEN o_orderkey % 5 < 3 THEN 'Notification/setContentIntent' ELSE 'other' END AS destination_kind, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 < 3 THEN 'RISK' WHEN o_orderkey % 2 = 0 OR o_orderkey % 5 < 3 THEN 'review' ELSE 'ok' END AS risk FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 7 > 0")
 def pending_intents(spark: SparkSession, d: str) -> DataFrame:
     ins = materialize(_pi_code(spark, d), "pi-ins")
-    rw = materialize(dataflow.rw_sets(ins), "pi-rw")
-    ud = materialize(dataflow.linear_use_def(rw), "pi-ud")
-    return detectors.risk_label(detectors.pending_intents(rw, ud, dataflow.api_sources(ins), dataflow.invoke_map(ins)))
+    rw = dataflow.rw_sets(ins)
+    return detectors.risk_label(detectors.pending_intents(rw, dataflow.linear_use_def(rw), dataflow.api_sources(ins), dataflow.invoke_map(ins), cfg.placed(ins)))
 
 
 _REPLACED = flow_queries.FINDINGS.replace("'insecure_logging', 'source', 'getLastLocation'", "'insecure_logging', 'source', 'EditText.getText'")
@@ -118,9 +118,7 @@ for _p in detectors.DETECTORS["insecure_logging"][0][1:]:
 @query(f"WITH RECURSIVE {_REPLACED} SELECT * FROM firsts WHERE category = 'insecure_logging'")
 def replaced_sources(spark: SparkSession, d: str) -> DataFrame:
     """Logging findings with the default sources replaced by a given API."""
-    ins, rw = flow_queries._rw(spark, d)
-    ud = materialize(dataflow.linear_use_def(rw), "ud")
-    return detectors.find(spark, rw, ud, dataflow.api_sources(ins), dataflow.invoke_map(ins), detectors.with_sources("insecure_logging", ["EditText.getText"]), ["insecure_logging"])
+    return detectors.scan(spark, materialize(instructions(spark, d), "ins"), detectors.with_sources("insecure_logging", ["EditText.getText"]), ["insecure_logging"])
 
 
 _TEXT = "'new ' || CASE o_orderkey % 4 WHEN 0 THEN 'java.lang.String' WHEN 1 THEN 'java.util.concurrent.Lock' WHEN 2 THEN 'android.widget.EditText' ELSE 'java.net.URL' END || '(' || CASE o_custkey % 3 WHEN 0 THEN 'java.io.File' WHEN 1 THEN 'my_android.os.Bundle, android.os.Bundle' ELSE 'com.java.io.X' END || ');'"
@@ -197,7 +195,7 @@ _W64 = "CAST(((({e}) % 18446744073709551616 + 18446744073709551616 + 92233720368
 
 @query(
     f"""SELECT o_orderkey, {_W64.format(e="a + b")} AS add_, {_W64.format(e="a - b")} AS sub_, CAST(a AS BIGINT) & CAST(b AS BIGINT) AS and_, CAST(a AS BIGINT) | CAST(b AS BIGINT) AS or_, xor(CAST(a AS BIGINT), CAST(b AS BIGINT)) AS xor_,
-{_W64.format(e="(a % 4294967296) * (b % 2147483648)")} AS mul_, CAST(a // CASE WHEN b = 0 THEN 1 ELSE b END AS BIGINT) AS div_, CAST(a % CASE WHEN b = 0 THEN 1 ELSE b END AS BIGINT) AS rem_, CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS cmp_ FROM (SELECT o_orderkey, {_A} AS a, {_B} AS b FROM orders)"""
+{_W64.format(e="a * b")} AS mul_, CAST(a // CASE WHEN b = 0 THEN 1 ELSE b END AS BIGINT) AS div_, CAST(a % CASE WHEN b = 0 THEN 1 ELSE b END AS BIGINT) AS rem_, CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS cmp_ FROM (SELECT o_orderkey, {_A} AS a, {_B} AS b FROM orders)"""
 )
 def long_stubs(spark: SparkSession, d: str) -> DataFrame:
     """Longs wrap; the operands are made in decimals."""
@@ -207,7 +205,7 @@ def long_stubs(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     one = F.when(b == 0, F.lit(1).cast("long")).otherwise(b)
     return t.select(
-        "o_orderkey", *[stubs.long_op(o, a, b).alias(o + "_") for o in ("add", "sub", "and", "or", "xor")], stubs.long_op("mul", a % 4294967296, b % 2147483648).alias("mul_"), stubs.long_op("div", a, one).alias("div_"), stubs.long_op("rem", a, one).alias("rem_"), stubs.compare(a, b).alias("cmp_")
+        "o_orderkey", *[stubs.long_op(o, a, b).alias(o + "_") for o in ("add", "sub", "and", "or", "xor")], stubs.long_op("mul", a, b).alias("mul_"), stubs.long_op("div", a, one).alias("div_"), stubs.long_op("rem", a, one).alias("rem_"), stubs.compare(a, b).alias("cmp_")
     )
 
 
@@ -226,10 +224,10 @@ def conversions(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT doc_id, upper(h) AS up, lower(h) AS low, h || '|' || doc_id AS joined, regexp_replace(regexp_replace(p, '^[\\s\\x{00A0}\\x{3000}]+', ''), '[\\s\\x{00A0}\\x{3000}]+$', '') AS trimmed, '[Log.d] ' || coalesce(lang, 'null') || ': ' || h AS log, h || coalesce(lang, 'null') || doc_id AS built,
 CAST(strlen(h || coalesce(lang, 'null') || doc_id) AS BIGINT) AS built_length, CASE WHEN doc_id % 2 = 0 THEN h ELSE lang END AS extra, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS number
-FROM (SELECT doc_id, lang, regexp_replace(substr(coalesce(text, ''), 1, 20), '[^A-Za-z ]', 'x', 'g') AS h, chr(12288) || ' ' || chr(160) || 'a b' || repeat(chr(9), CAST(doc_id % 3 AS INTEGER)) || chr(160) AS p FROM documents)"""
+FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', 'x', 'g') AS h, chr(12288) || ' ' || chr(160) || 'a b' || repeat(chr(9), CAST(doc_id % 3 AS INTEGER)) || chr(160) AS p FROM documents)"""
 )
 def text_stubs(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d, "documents").select("doc_id", "lang", F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 20), "[^A-Za-z ]", "x").alias("h"), F.concat(F.lit("　  a b"), F.repeat(F.lit("\t"), (F.col("doc_id") % 3).cast("int")), F.lit(" ")).alias("p"))
+    t = _t(spark, d, "documents").select("doc_id", "lang", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "x").alias("h"), F.concat(F.lit("　  a b"), F.repeat(F.lit("\t"), (F.col("doc_id") % 3).cast("int")), F.lit(" ")).alias("p"))
     h, lang, n = F.col("h"), F.coalesce("lang", F.lit("null")), F.col("doc_id").cast("string")
     even = F.col("doc_id") % 2 == 0
     bundle = stubs.put(F.create_map(F.lit("a"), F.col("lang")), F.when(even, "a").otherwise("b"), h)

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bytelens.functions import java
-from bytelens.operators import cfg, dataflow, detectors, statements
+from bytelens.operators import cfg, dataflow, detectors, ir, statements
 from bytelens.runtime import materialize
+from bytelens.sources.bytecode import absolute_branches
 
 QUERIES, SQL = {}, {}
 
@@ -105,6 +106,12 @@ def rw_sets_wide(spark: SparkSession, d: str) -> DataFrame:
     return dataflow.rw_sets(instructions(spark, d))
 
 
+@query(f"WITH {DUCK}, {_RW} SELECT DISTINCT method_uid, off, CAST(substr(v, 2) AS BIGINT) AS reg FROM rw w WHERE is_write AND NOT EXISTS (SELECT 1 FROM rw r WHERE NOT r.is_write AND r.method_uid = w.method_uid AND r.v = w.v)")
+def dead_registers(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments to registers that the whole method never reads."""
+    return ir.dead_registers(dataflow.rw_sets(instructions(spark, d)))
+
+
 _ASSIGN = "CASE " + " ".join(f"WHEN mnemonic = '{m}' THEN {_value_sql(v)}" for m, _, _, v in FAMILIES if v) + " END"
 _ASSIGN = f"CASE WHEN mnemonic IN ('add-int/lit8', 'add-int/lit16') AND c LIKE '-_%' THEN b || ' - ' || substr(c, 2) ELSE {_ASSIGN} END"
 
@@ -196,13 +203,18 @@ def branch_conditions(spark: SparkSession, d: str) -> DataFrame:
 _PUTS = f"CASE WHEN {_ASSIGN} IS NOT NULL OR mnemonic LIKE 'move-result%' THEN a END"
 
 
+BLOCKS = """heads AS (SELECT wide.*, mnemonic LIKE 'goto%' OR mnemonic LIKE 'if-%' OR mnemonic LIKE 'return%' OR mnemonic = 'throw' OR mnemonic LIKE '%-switch' AS is_end FROM wide),
+leads AS (SELECT *, coalesce(lag(is_end) OVER (PARTITION BY method_uid ORDER BY off), true) OR (method_uid, off) IN (SELECT (method_uid, off + 16) FROM wide WHERE mnemonic LIKE 'goto%' OR mnemonic LIKE 'if-%') AS head FROM heads),
+blk AS (SELECT *, CAST(sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY method_uid ORDER BY off) - 1 AS BIGINT) AS block_id FROM leads)"""
+
+
 @query(
-    f"""WITH {DUCK}, e AS (SELECT method_uid, off, mnemonic, a, b, coalesce(sum(CASE WHEN regexp_matches(mnemonic, '^(goto|if-|return|throw)|-switch$') THEN 1 ELSE 0 END) OVER (PARTITION BY method_uid ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g,
-{_PUTS} AS reg, CASE WHEN mnemonic IN ('const', 'const/4', 'const/16') THEN b END AS lit FROM wide),
-p AS (SELECT *, lag(reg) OVER n AS r1, lag(lit) OVER n AS l1, lag(reg, 2) OVER n AS r2, lag(lit, 2) OVER n AS l2, lag(reg, 3) OVER n AS r3, lag(lit, 3) OVER n AS l3 FROM e WINDOW n AS (PARTITION BY method_uid, g ORDER BY off)),
+    f"""WITH {DUCK}, {BLOCKS}, e AS (SELECT method_uid, block_id, off, mnemonic, a, b, {_PUTS} AS reg, CASE WHEN mnemonic IN ('const', 'const/4', 'const/16', 'const/high16') THEN b END AS lit FROM blk),
+p AS (SELECT *, lag(reg) OVER n AS r1, lag(lit) OVER n AS l1, lag(reg, 2) OVER n AS r2, lag(lit, 2) OVER n AS l2, lag(reg, 3) OVER n AS r3, lag(lit, 3) OVER n AS l3 FROM e WINDOW n AS (PARTITION BY method_uid, block_id ORDER BY off)),
 v AS (SELECT *, unnest([a, CASE WHEN mnemonic LIKE '%z' THEN '0' ELSE b END]) AS x, unnest([1, 2]) AS k FROM p WHERE mnemonic LIKE 'if-%'),
 f AS (SELECT method_uid, off, mnemonic, k, CASE WHEN x = r1 THEN coalesce(l1, x) WHEN x = r2 THEN coalesce(l2, x) WHEN x = r3 THEN coalesce(l3, x) ELSE x END AS y FROM v)
 SELECT method_uid, off, max(CASE WHEN k = 1 THEN y END) || ' ' || CASE substr(max(mnemonic), 4, 2) WHEN 'eq' THEN '==' WHEN 'ne' THEN '!=' WHEN 'lt' THEN '<' WHEN 'ge' THEN '>=' WHEN 'gt' THEN '>' ELSE '<=' END || ' ' || max(CASE WHEN k = 2 THEN y END) AS cond FROM f GROUP BY method_uid, off"""
 )
 def folded_conditions(spark: SparkSession, d: str) -> DataFrame:
-    return statements.folded_conditions(instructions(spark, d))
+    """Constants put into conditions, block by block: jumps land between some constants and their branches."""
+    return statements.folded_conditions(cfg.placed(absolute_branches(instructions(spark, d))))

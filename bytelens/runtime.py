@@ -124,6 +124,11 @@ class Rounds:
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
+    def drop(self) -> None:
+        """Delete the rounds; nothing may read them any more."""
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
+
 
 KEY = ("__file", "__at")
 
