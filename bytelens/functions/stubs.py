@@ -80,6 +80,35 @@ def long_op(op: str, a: Column, b: Column) -> Column:
     }[op]()
 
 
+def double_op(op: str, a: Column, b: Column, kind: str = "double") -> Column:
+    """add, sub, mul, div, rem of doubles (or floats, by kind) as Java does: a zero divisor gives an infinity or no number, a remainder has the
+    dividend's sign."""
+    a, b = a.cast(kind), b.cast(kind)
+    none, infinity = F.lit(float("nan")).cast(kind), F.lit(float("inf")).cast(kind)
+    zero = b == 0  # the sign of a zero shows in the text of its quotient only
+    negative = (a < 0) != b.cast("string").startswith("-")
+    some = F.when(~zero, b)
+    return {
+        "add": lambda: a + b, "sub": lambda: a - b, "mul": lambda: a * b,
+        "div": lambda: F.when(zero, F.when(F.isnan(a) | (a == 0), none).when(negative, -infinity).otherwise(infinity)).otherwise(a / some).cast(kind),
+        "rem": lambda: F.when(zero | F.isnan(a) | F.isnan(b) | (F.abs(a) == infinity), none).when(F.abs(b) == infinity, a).otherwise(a % some).cast(kind),
+    }[op]()
+
+
+def integer_value(x: Column) -> Column:
+    """Integer.valueOf and intValue: boxes are their numbers; what isn't there counts as 0."""
+    return F.coalesce(x, F.lit(0)).cast("int")
+
+
+def integer_text(x: Column) -> Column:
+    return integer_value(x).cast("string")
+
+
+def clock() -> Column:
+    """System.currentTimeMillis: time stands still."""
+    return F.lit(0).cast("long")
+
+
 def to_int(x: Column) -> Column:
     """A float or double as an int: towards zero, held at the ends, 0 for what is no number."""
     return F.when(F.isnan(x), 0).when(x >= 2147483647, 2147483647).when(x <= -2147483648, -2147483648).otherwise(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))).cast("int")
