@@ -26,13 +26,13 @@ def answer(p: Program, a: argparse.Namespace) -> DataFrame:
         return p.findings(a.only_package, a.exclude, a.taint_api)
     if a.show_bytecode:
         return p.listing()
-    return p.statements().join(p._wanted(a.only_package, a.exclude), "method_uid").orderBy("class_name", "method_name", "method_uid", "off")
+    return p.source().join(p._wanted(a.only_package, a.exclude), "method_uid").orderBy("class_name", "method_name", "method_uid", "off")
 
 
 def parser() -> argparse.ArgumentParser:
     x = argparse.ArgumentParser(prog="bytelens", description=__doc__)
     x.add_argument("-i", "--input", action="append", required=True)
-    x.add_argument("-o", "--output", help="write the answer as Parquet; without it the first rows are shown")
+    x.add_argument("-o", "--output", help="write the answer as Parquet; without it all rows are printed, columns apart by tabs")
     x.add_argument("-d", "--output-dir", help="write statements as text files by class")
     x.add_argument("--only-package")
     x.add_argument("--exclude", action="append")
@@ -53,11 +53,12 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     p = Program.open(SparkSession.builder.appName("bytelens").getOrCreate(), *a.input)
     if a.output_dir:
-        p.write_sources(a.output_dir)
+        p.write_sources(a.output_dir, a.only_package, a.exclude)
     elif a.output:
         answer(p, a).write.parquet(a.output)
     else:
-        answer(p, a).show(100, truncate=False)
+        for row in answer(p, a).toLocalIterator():  # a partition at a time
+            print("\t".join("" if x is None else str(x) for x in row))
 
 
 if __name__ == "__main__":

@@ -14,9 +14,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bytelens.functions.java import class_path, excluded, in_package
-from bytelens.operators import cfg, dataflow, detectors, emulator, statements
+from bytelens.operators import cfg, dataflow, detectors, emulator, passes, statements
 from bytelens.runtime import materialize
-from bytelens.sources import bytecode, dex
+from bytelens.sources import bytecode, dex, dex_format, payloads
 
 
 class Program:
@@ -50,7 +50,7 @@ class Program:
 
     @cached_property
     def code(self) -> DataFrame:
-        names = dex.methods(self.files).select("dex_id", "method_idx", F.col("class").alias("class_name"), F.col("name").alias("method_name"))
+        names = dex.methods(self.files).select("dex_id", "method_idx", F.col("class").alias("class_name"), F.col("name").alias("method_name"), "params", "return_type")
         return materialize(dex.code(self.files).join(names, ["dex_id", "method_idx"], "left"), "code")
 
     def _wanted(self, only_package: str | None, exclude: list[str] | None, class_name: str | None = None, method: str | None = None) -> DataFrame:
@@ -106,6 +106,42 @@ class Program:
         ir = statements.merge_constructors(statements.chain_calls(statements.intermediate(self.instructions)))
         return statements.lines(ir)
 
+    @cached_property
+    def passed(self) -> DataFrame:
+        """The default pipeline's statements, block by block."""
+        ins = cfg.placed(self.instructions.where("not mnemonic like '%-payload'"))
+        return materialize(self.runner().run(statements.intermediate(ins)), "passed")
+
+    def runner(self) -> passes.Runner:
+        """The passes that `passed` runs; override it, or add to what it gives."""
+        return passes.default_runner()
+
+    @cached_property
+    def variable_types(self) -> DataFrame:
+        """method_uid, block_id, v, type: from the signatures of methods and of what they call."""
+        m = dex.methods(self.files)
+        signatures = m.select(F.concat("class", F.lit("."), "name").alias("target"), F.size("params").alias("n_args"), "return_type")
+        given = passes.parameter_seeds(self.code).join(self.passed.select(*passes.BLOCK).distinct(), "method_uid").select(*passes.BLOCK, "v", "type")
+        returned = passes.return_seeds(self.passed, self.code).join(given, [*passes.BLOCK, "v"], "left_anti")
+        return passes.typed(self.passed, given.union(returned), signatures)
+
+    @cached_property
+    def variable_names(self) -> DataFrame:
+        """method_uid, block_id, v, name."""
+        return materialize(passes.names(self.passed, self.variable_types, self.code), "names")
+
+    def source(self) -> DataFrame:
+        """method_uid, block_id, off, line: the pipeline's statements with names in place of registers, and the literals of array data and switches."""
+        lines = statements.lines(passes.renamed(self.passed, self.variable_names))
+        said = payloads.literals(self.code, bytecode.instructions(self.code)).select("method_uid", "off", F.col("line").alias("literal"))
+        return lines.join(said, ["method_uid", "off"], "left").select("method_uid", "block_id", "off", F.coalesce("literal", "line").alias("line"))
+
+    def conditions(self) -> DataFrame:
+        """method_uid, block_id, off, cond: conditions of branches, constants folded in and registers named."""
+        placed = cfg.placed(self.instructions.where("not mnemonic like '%-payload'"))
+        at = placed.select(*passes.BLOCK, "off").join(statements.folded_conditions(placed), ["method_uid", "off"]).select(*passes.BLOCK, "off", "cond")
+        return passes.renamed_conditions(at, self.variable_names, self.code)
+
     # -- value flow
 
     @cached_property
@@ -149,8 +185,23 @@ class Program:
         machines = self.code.join(one, "method_uid", "left_semi").select("method_uid", F.col("registers_size").cast("int").alias("registers_size"), values.alias("params"))
         return emulator.run(self.instructions.join(one, "method_uid", "left_semi"), machines, max_steps=max_steps)
 
-    def write_sources(self, folder: str) -> None:
-        """Statements of each class as text files in a folder for each class path, the methods in order."""
-        text = self.statements().where("line != ''").join(self._wanted(None, None), "method_uid")
-        ordered = text.withColumn("file", class_path(F.col("class_name"))).withColumn("line", F.concat("method_name", F.lit(": "), "line"))
-        ordered.repartition("file").sortWithinPartitions("file", "method_uid", "off").select("file", F.col("line").alias("value")).write.partitionBy("file").mode("errorifexists").text(folder)
+    def files_of_source(self, only_package: str | None = None, exclude: list[str] | None = None) -> DataFrame:
+        """path (of a class, as com/app/Main.java), text: the lines of each class's file in their order: a method's head, then its statements."""
+        wanted = self._wanted(only_package, exclude).join(self.code.select("method_uid", "params", "return_type"), "method_uid")
+        path = class_path(F.col("class_name"))
+        head = F.concat(F.col("return_type"), F.lit(" "), F.col("method_name"), F.lit("("), F.array_join("params", ", "), F.lit("):"))
+        heads = wanted.select(path.alias("path"), "method_name", "method_uid", F.lit(-1).cast("long").alias("off"), head.alias("text"))
+        body = self.source().where("line != ''").join(wanted.select("method_uid", "method_name", path.alias("path")), "method_uid")
+        t = heads.union(body.select("path", "method_name", "method_uid", "off", F.concat(F.lit("    "), "line")))
+        order = ["path", "method_name", "method_uid", "off"]
+        return t.repartition("path").sortWithinPartitions(*order).select("path", "text")
+
+    def write_sources(self, folder: str, only_package: str | None = None, exclude: list[str] | None = None) -> None:
+        """A text file for each class at its path below folder; none is visible before all are written."""
+        dex_format.register(self.spark)
+        self.files_of_source(only_package, exclude).write.format("tree").mode("append").save(folder)
+
+    def text(self, class_name: str) -> str:
+        """One class as text: what its file would hold."""
+        simple = self.files_of_source(class_name).where(F.col("path") == class_path(F.lit(class_name)))
+        return "".join(r.text + "\n" for r in simple.collect())  # one class, in one task's order

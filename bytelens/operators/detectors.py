@@ -74,8 +74,9 @@ def find(spark: SparkSession, rw: DataFrame, use_def: DataFrame, sources: DataFr
     return flows.union(plain).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", "rank")
 
 
-def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invokes: DataFrame, placed: DataFrame) -> DataFrame:
-    """method_uid, invoke_off, base_intent_empty, dangerous_destination, destination_kind. placed: method_uid, off, block_id of all instructions.
+def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invokes: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """method_uid, invoke_off, base_intent_empty, dangerous_destination, destination_kind. placed: method_uid, off, block_id of all
+    instructions; without it a method is one block of the offsets that rw has.
 
     A PendingIntent creation with at least four argument registers whose result is taken right after it, in the same block. The base
     intent (third argument) is empty unless a setter's result is among its transitive definitions, followed
@@ -86,6 +87,7 @@ def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invok
     arg = rw.where("not is_write and pos = 2").select("method_uid", F.col("off").alias("invoke_off"), F.col("reg").alias("intent"))
     enough = rw.where("not is_write").groupBy("method_uid", F.col("off").alias("invoke_off")).agg(F.count("*").alias("n")).where("n >= 4").drop("n")
     taken = sources.select("method_uid", "off", "reg")
+    placed = rw.select("method_uid", F.lit(0).alias("block_id"), "off").distinct() if placed is None else placed
     offs = placed.select("method_uid", "block_id", "off").withColumn("before", F.lag("off").over(W.partitionBy("method_uid", "block_id").orderBy("off")))
     created = create.join(arg, ["method_uid", "invoke_off"]).join(enough, ["method_uid", "invoke_off"])
     result = taken.join(offs, ["method_uid", "off"]).select("method_uid", F.col("before").alias("invoke_off"), F.col("off").alias("res_off"), F.col("reg").alias("res_reg"))

@@ -13,8 +13,8 @@ def neighbours(ins: DataFrame) -> DataFrame:
 
 def ssa_versions(rw: DataFrame) -> DataFrame:
     """Linear versions without phis, from 0 in each block: a write takes the next version of its register, a read the current one, 0
-    before any write. rw of instructions from cfg.placed."""
-    w = W.partitionBy("method_uid", "block_id", "reg").orderBy("off")
+    before any write. rw of instructions from cfg.placed; without block_id a method is one block."""
+    w = W.partitionBy("method_uid", *(["block_id"] if "block_id" in rw.columns else []), "reg").orderBy("off")
     is_write = F.when(F.col("is_write"), 1)
     now = F.count(is_write).over(w.rangeBetween(W.unboundedPreceding, 0))
     before = F.count(is_write).over(w.rangeBetween(W.unboundedPreceding, -1))
