@@ -40,7 +40,7 @@ from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
 from bytelens.runtime import KEY, Scratch, keyed, ship
 
-BINS, LEAF, FLAT, CELL, BLOCKS, PARTNERS, WEIGHT = 1024, 48, 64, 1024, 8, 8, 1 << 20
+BINS, LEAF, FLAT, CELL, BLOCKS, PARTNERS, WEIGHT, BROADCAST = 1024, 48, 64, 1024, 8, 8, 1 << 20, 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, k: int) -> list[np.ndarray]:
@@ -383,12 +383,17 @@ def _in_cells(search, *options):
     return run
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of three numbers a row, broadcast if it has no more than BROADCAST rows (about 6 MB): texts then stay where they lie. A
+    longer one is joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
 def join_pairs(s: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links among pairs (a, b) of nodes. The nodes' texts are fetched once; the list of nodes is a table, so
-    that its size is known when Spark chooses how to join it: a short list leaves the texts where they lie. One node
+    """Verified links among pairs (a, b) of nodes. The nodes' texts are fetched once. One node
     may be a in a great share of the pairs, but a pair takes part once on either side, so skewed joins can be split."""
     wanted = s.write(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", *KEY), "node"), "jaccard-wanted")
-    texts = s.write(docs.select(*KEY, "text").join(wanted, [*KEY]).select("node", "text"), "jaccard-texts")
+    texts = s.write(docs.select(*KEY, "text").join(small(wanted), [*KEY]).select("node", "text"), "jaccard-texts")
     t = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = s.write(t.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long"), "jaccard-links")
     s.drop(wanted, texts)
@@ -440,7 +445,7 @@ def _crowded_links(s: Scratch, keys: DataFrame, dealt: DataFrame, nodes: DataFra
         for batch, lo, hi, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    points = s.write(docs.select(*KEY, "text").join(wanted, [*KEY]).select("node", "text").mapInArrow(shingles, "node long, shingles binary"), "jaccard-points")
+    points = s.write(docs.select(*KEY, "text").join(small(wanted), [*KEY]).select("node", "text").mapInArrow(shingles, "node long, shingles binary"), "jaccard-points")
     placed = rows.join(points, "node").select("key", "node", "comp", "shingles")
     links = s.write(placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(exact_links, percent), "a long, b long"), "jaccard-links")
     s.drop(held, wanted, points)

@@ -5,7 +5,7 @@ hashed linear scorer.
    on some documents of either class. Vote patterns are counted over all documents by
    Spark; there are at most 3 ** len(LABELLERS) patterns, whatever the input.
 2. EM on the pattern counts estimates the share of good documents and each labeller's vote probabilities in
-   either class (its accuracy) from how votes agree, starting from the majority of votes; it gives each pattern a
+   either class (its accuracy) from how votes agree, starting from two labellers that say bad, as a fault shows to some of them only; it gives each pattern a
    posterior. Nothing bounds the estimates but a count of one that each outcome starts with.
 3. A logistic scorer on hashed shape features learns the posteriors from at most train_rows documents, the
    first by a hash of doc_id and text: the documented bound of what the driver fits on. Everything else covers all rows.
@@ -40,7 +40,7 @@ FAULTS = (
     ("symbols", 0.02, 0.01),
     ("capitals", 0.10, 0.05),
     ("digits", 0.03, 0.02),
-    ("repetition", 0.30, 0.10),
+    ("repetition", 0.62, 0.50),
     ("one word", 0.12, 0.09),
     ("marked words", 0.04, 0.02),
     ("bare symbols", 0.01, 0.005),
@@ -130,7 +130,7 @@ def fit_votes(counts: dict[int, int], rounds: int = 300) -> tuple[dict[int, floa
         return {}, np.full((2, m, 3), 1 / 3), 0.5
     c = np.array([counts[k] for k in codes.tolist()], float)
     v = codes[:, None] // 3 ** np.arange(m) % 3
-    post = np.where((v == 2).sum(1) > (v == 1).sum(1), 0.1, 0.9)
+    post = np.where((v == 2).sum(1) > 1, 0.1, 0.9)
     for _ in range(rounds):
         good, bad = c * post, c * (1 - post)
         prior = (good.sum() + 1) / (c.sum() + 2)
