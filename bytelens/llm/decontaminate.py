@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from bytelens.llm import textcore as tc
-from bytelens.runtime import materialize, ship
+from bytelens.llm.blocks import merged, with_keys
+from bytelens.runtime import KEY, ship
 
 LANE = 256
 
@@ -150,53 +151,60 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     exclusive) and hit_items (items with an occurring window, sorted as strings).
 
     The benchmark is compiled on the driver in blocks of at most block_bytes of text, each broadcast by
-    itself, so what is sent is bounded whatever its size; with more than one block, rows pass through the
-    shared folder once for each. Columns of these names in docs are replaced."""
+    itself, so what is sent is bounded whatever its size. With more than one block, each scans the texts where they lie and writes the
+    hits only, by row key; these are merged and joined to the rows once. Columns of these names in docs are replaced."""
     spark = ship(docs.sparkSession)
-    own = ["n_words", "hit_runs", "hit_items"]
-    docs = docs.drop(*own)
-    keep = [c for c in (keep_columns or docs.columns) if c in docs.columns]
+    docs = docs.drop("n_words", "hit_runs", "hit_items")
+    keep = [c for c in (keep_columns or docs.columns) if c in docs.columns and c not in KEY]
     bench = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull())
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
-    kind = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
-    out = docs
-    for b in range(n_blocks):
+
+    def sent(b: int):
         part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
-        sent = spark.sparkContext.broadcast(compile_patterns([(r[0], r[1]) for r in part.collect()], window))
-        last = b == n_blocks - 1
-        cols = keep if last else list(dict.fromkeys([*keep, "text"]))
-        schema = T.StructType([*[out.schema[c] for c in cols], T.StructField(own[0], T.LongType()), T.StructField(own[1], kind), T.StructField(own[2], T.ArrayType(T.StringType()))])
-        read = out.select(*dict.fromkeys([*cols, "text"]), *(own[1:] if b else []))
-        out = read.mapInArrow(_scanner(sent, cols, b > 0), schema)
-        if not last:
-            out = materialize(out, "decontaminate")
-    return out
-
-
-def _scanner(sent, cols: list[str], merge: bool):
+        return spark.sparkContext.broadcast(compile_patterns([(r[0], r[1]) for r in part.collect()], window))
+
+    words = T.StructField("n_words", T.LongType())
+    if n_blocks == 1:
+        kept = T.StructType([*(docs.schema[c] for c in keep), words, _RUNS, _ITEMS])
+        return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scanner(sent(0), keep), kept)
+    docs = with_keys(docs)
+    keys = [docs.schema[c] for c in KEY]
+    texts = docs.select(*KEY, "text")
+    hits = (texts.mapInArrow(_scanner(sent(b), list(KEY), True), T.StructType([*keys, words, _RUNS, _ITEMS])).drop("n_words") for b in range(n_blocks))
+    none = spark.sparkContext.broadcast(([], []))
+    counted = docs.select(*dict.fromkeys([*KEY, *keep, "text"])).mapInArrow(_scanner(none, [*KEY, *keep]), T.StructType([*keys, *(docs.schema[c] for c in keep), words, _RUNS, _ITEMS]))
+    out = merged(counted.drop("hit_runs", "hit_items"), hits, hit_runs=_joined, hit_items=lambda x: F.array_sort(F.array_distinct(x)))
+    return out.select(*keep, "n_words", "hit_runs", "hit_items")
+
+
+_RUNS = T.StructField("hit_runs", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])))
+_ITEMS = T.StructField("hit_items", T.ArrayType(T.StringType()))
+
+
+def _scanner(sent, cols: list[str], hits_only: bool = False):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, names = sent.value
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         for batch in batches:
             counts, runs, items = scan_batch(batch.column("text"), groups, names)
-            if merge:
-                runs = [_union(a, [(x["from"], x["to"]) for x in b]) for a, b in zip(runs, batch.column("hit_runs").to_pylist(), strict=True)]
-                items = [sorted({*a, *b}) for a, b in zip(items, batch.column("hit_items").to_pylist(), strict=True)]
             own = [pa.array(counts, pa.int64()), pa.array([[{"from": a, "to": b} for a, b in r] for r in runs], kind), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), *own], names=[*cols, "n_words", "hit_runs", "hit_items"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), *own], names=[*cols, "n_words", "hit_runs", "hit_items"])
+            yield out.filter(pa.array([bool(r) for r in runs], pa.bool_())) if hits_only else out
 
     return scan
 
 
-def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for x, y in sorted([*a, *b]):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
+def _joined(runs: Column) -> Column:
+    """Runs in order, those that touch or overlap as one."""
+    none = F.array().cast(_RUNS.dataType)
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))))
+        return F.when((F.size(out) > 0) & (x["from"] <= last["to"]), longer).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(runs), none, add)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ A band can only collide in a window that holds a shingle of the template, so sig
 windows alone. Retrieved templates are verified on the words themselves: the share of the template's
 distinct shingles inside the window and one step around it must reach `least`.
 
-Templates are the fixed list below, or a table of at most most_templates rows. Null, empty and
+Templates are the fixed list below, or a table of any size. Null, empty and
 shorter texts match nothing; repeated rows are scanned as they come.
 """
 
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from bytelens.llm import decontaminate, textcore as tc
-from bytelens.runtime import ship
+from bytelens.llm.blocks import merged, with_keys
+from bytelens.runtime import KEY, ship
 
 K, BANDS, ROWS = 5, 32, 2
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,6 +107,7 @@ class Scanner:
             own = own[own < n]
             sets = sh[a : a + n]
             places: dict[int, list[tuple[float, int, int]]] = {}
+            said: list[bytes] = []  # the row's words, cut once, when a place is first looked at
             for size, bands in self.bands.items():
                 step = -(-size // 4)
                 lo_w = np.unique(np.concatenate([np.maximum(0, own - j) // step * step for j in range(0, size + step, step)]))
@@ -116,11 +118,12 @@ class Scanner:
                     keys = band_keys(signature(part))
                     for k in {k for key in keys for k in bands.get(key, ())}:
                         p, q = max(0, s - step), min(n, s + size + step)
-                        words = [w.buf[x:y].tobytes().lower() for x, y in zip(w.start[a + p : a + q + K - 1].tolist(), w.end[a + p : a + q + K - 1].tolist(), strict=True)]
-                        at = [i for i in range(len(words) - K + 1) if tuple(words[i : i + K]) in self.sets[k]]
-                        share = len({tuple(words[i : i + K]) for i in at}) / len(self.sets[k])
+                        if not said:
+                            said = [w.buf[x:y].tobytes().lower() for x, y in zip(w.start[a:z].tolist(), w.end[a:z].tolist(), strict=True)]
+                        found_at = [(i, g) for i in range(p, q) if (g := tuple(said[i : i + K])) in self.sets[k]]
+                        share = len({g for _, g in found_at}) / len(self.sets[k])
                         if share >= self.least:
-                            places.setdefault(k, []).append((share, p + at[0], p + at[-1] + K))
+                            places.setdefault(k, []).append((share, found_at[0][0], found_at[-1][0] + K))
             for k, found in sorted(places.items()):
                 taken: list[tuple[int, int]] = []
                 for share, x, y in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
@@ -129,27 +132,45 @@ class Scanner:
                         yield lo + r, self.names[k], x, y, share
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, least: float = 0.8, most_templates: int = 5000) -> DataFrame:
+_MATCHES = "array<struct<template:string,from:long,to:long,containment:double>>"
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, least: float = 0.8, block_templates: int = 5000) -> DataFrame:
     """doc_id, matches: array of template, from, to (words, exclusive), containment, one for each place that holds a template;
     a row for each row of docs. templates: template_id, text; those without words are left out, those of fewer than five words
     match as a whole. Null and empty texts have no matches; repeated rows, and null or repeated doc_ids, are scanned one by
-    one; an empty table gives no rows; texts are scanned whole."""
+    one; an empty table gives no rows; texts are scanned whole.
+
+    About block_templates templates are sent to tasks at a time; with more, each block's matches are written by row key and joined to the rows once, in
+    the order of their places."""
     spark = ship(docs.sparkSession)
-    rows = TEMPLATES if templates is None else [(str(r[0]), r[1]) for r in templates.select("template_id", "text").where("text is not null").orderBy("template_id").limit(most_templates + 1).collect()]
-    if len(rows) > most_templates:
-        raise ValueError(f"more than {most_templates} templates; scan in several calls")
-    sent = spark.sparkContext.broadcast(Scanner(rows, least))
     kind = pa.list_(pa.struct([("template", pa.string()), ("from", pa.int64()), ("to", pa.int64()), ("containment", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sent.value
-        for batch in batches:
-            data, offs = tc.text_bytes(batch.column("text"))
-            out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for lo, hi in tc.chunks(offs):
-                for r, k, a, b, share in s.scan(data, offs, lo, hi):
-                    out[r].append({"template": k, "from": a, "to": b, "containment": share})
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "matches"])
+    def scanner(rows: list[tuple[str, str]], cols: list[str], hits_only: bool = False):
+        sent = spark.sparkContext.broadcast(Scanner(rows, least))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = sent.value
+            for batch in batches:
+                data, offs = tc.text_bytes(batch.column("text"))
+                out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+                for lo, hi in tc.chunks(offs):
+                    for r, k, a, b, share in s.scan(data, offs, lo, hi):
+                        out[r].append({"template": k, "from": a, "to": b, "containment": share})
+                got = pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(out, kind)], names=[*cols, "matches"])
+                yield got.filter(pa.array([bool(x) for x in out], pa.bool_())) if hits_only else got
+
+        return run
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, matches array<struct<template:string,from:long,to:long,containment:double>>")
+    known = None if templates is None else templates.select(F.col("template_id").cast("string").alias("template_id"), "text").where("text is not null")
+    n_blocks = 1 if known is None else max(1, -(-known.count() // block_templates))
+    if n_blocks == 1:
+        rows = TEMPLATES if known is None else [(r[0], r[1]) for r in known.orderBy("template_id").collect()]
+        return docs.select("doc_id", "text").mapInArrow(scanner(rows, ["doc_id"]), f"doc_id {id_kind}, matches {_MATCHES}")
+    docs = with_keys(docs)
+    block = F.pmod(F.xxhash64("template_id", "text"), F.lit(n_blocks))
+    parts = ([(r[0], r[1]) for r in known.where(block == b).orderBy("template_id").collect()] for b in range(n_blocks))
+    hits = (docs.select(*KEY, "text").mapInArrow(scanner(rows, list(KEY), True), f"__file long, __at long, matches {_MATCHES}") for rows in parts)
+    placed = lambda m: F.transform(F.array_sort(F.transform(m, lambda x: F.struct(x["from"].alias("a"), x["to"].alias("b"), x["template"].alias("t"), x["containment"].alias("c")))), lambda x: F.struct(x["t"].alias("template"), x["a"].alias("from"), x["b"].alias("to"), x["c"].alias("containment")))
+    return merged(docs.select(*KEY, "doc_id"), hits, matches=placed).select("doc_id", "matches")

@@ -38,3 +38,14 @@ def test_every_place_and_short_templates(spark):
     n = len(decontaminate.words_of(line))
     assert got == sorted([(1, [("a", 1, 1 + n), ("a", 5 + n, 5 + 2 * n), ("two", 5 + 2 * n, 7 + 2 * n)]), (1, [("two", 2, 4)]), (None, []), (None, []), (2, [("a", 400_000, 400_000 + n)])], key=str)
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id string, text string")).collect() == []
+
+
+def test_templates_in_blocks(spark):
+    """More templates than are sent at once: the same matches, whatever the blocks."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    notices = [(f"t{i}", " ".join(r.choices(words, k=r.choice([3, 8, 30])))) for i in range(40)]
+    docs = [(i if i % 9 else None, " ".join([*r.choices(words, k=20), r.choice(notices)[1], *r.choices(words, k=9), r.choice(notices)[1]])) for i in range(50)] + [(7, None), (8, "")]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(notices, "template_id string, text string")
+    rows = lambda **o: sorted(((x.doc_id, sorted(map(tuple, x.matches))) for x in license_scan.scan_licenses(d, t, **o).collect()), key=str)
+    assert rows(block_templates=7) == rows() and sum(bool(m) for _, m in rows()) >= 50
