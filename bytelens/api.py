@@ -120,7 +120,8 @@ class Program:
     def variable_types(self) -> DataFrame:
         """method_uid, block_id, v, type: from the signatures of methods and of what they call."""
         m = dex.methods(self.files)
-        signatures = m.select(F.concat("class", F.lit("."), "name").alias("target"), F.size("params").alias("n_args"), "return_type")
+        counts = F.explode(F.array(F.size("params"), F.size("params") + 1))  # a call's registers begin with the receiver, if there is one
+        signatures = m.where("return_type != 'void'").select(F.concat("class", F.lit("."), "name").alias("target"), counts.alias("n_args"), "return_type")
         given = passes.parameter_seeds(self.code).join(self.passed.select(*passes.BLOCK).distinct(), "method_uid").select(*passes.BLOCK, "v", "type")
         returned = passes.return_seeds(self.passed, self.code).join(given, [*passes.BLOCK, "v"], "left_anti")
         return passes.typed(self.passed, given.union(returned), signatures)

@@ -205,41 +205,6 @@ def raw_type(text: Column) -> Column:
     )
 
 
-def infer_types(ir: DataFrame) -> DataFrame:
-    """method_uid, dst, type: types of variables, by their first assignment that tells: its value's own type, else that of the
-    first variable its text mentions, passed on round by round until no variable gains one; then int where the text is
-    arithmetic on a number."""
-    from bytelens.runtime import Rounds, materialize
-
-    a = ir.where("kind = 'assign' and form in ('raw', 'var')")
-    a = materialize(a.select("method_uid", "off", "dst", "text", raw_type(F.col("text")).alias("own"), F.try_element_at(used_variables(F.col("text")), F.lit(1)).alias("uses")), "types")
-    first = lambda t: t.groupBy("method_uid", "dst").agg(F.min_by("type", "off").alias("type"))
-    known = Rounds(first(a.where("own is not null").select("method_uid", "off", "dst", F.col("own").alias("type"))), "types")
-    while known.size:
-        more = a.where("own is null").join(known.all().select("method_uid", F.col("dst").alias("uses"), "type"), ["method_uid", "uses"])
-        known.add(first(more.select("method_uid", "off", "dst", "type")).join(known.all(), ["method_uid", "dst"], "left_anti"))
-    sums = a.where("own is null").where(F.col("text").rlike(r"[0-9]") & F.col("text").rlike(r"[+\-*/%&|^<>]")).select("method_uid", "dst").distinct()
-    return known.all().union(sums.join(known.all(), ["method_uid", "dst"], "left_anti").select("method_uid", "dst", F.lit("int").alias("type")))
-
-
-# Prefixes of variables by their type: fixed values.
-PREFIXES = {"int": "i", "long": "l", "boolean": "b", "float": "f", "double": "d", "byte": "b", "char": "c", "short": "s", "java.lang.String": "str"}
-
-
-def type_prefix(kind: Column) -> Column:
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv]), kind)
-    simple = F.substring_index(F.substring_index(kind, ".", -1), "$", -1)
-    return F.when(kind.endswith("[]"), "arr").otherwise(F.coalesce(known, F.concat(F.lower(F.substring(simple, 1, 1)), F.substring(simple, F.lit(2), F.length(simple))), F.lit("local")))
-
-
-def typed_names(ir: DataFrame, types: DataFrame) -> DataFrame:
-    """method_uid, dst, name: a prefix by type, numbered by first appearance among those that share it."""
-    seen = ir.where("dst is not null").groupBy("method_uid", "dst").agg(F.min("off").alias("first"))
-    t = seen.join(types, ["method_uid", "dst"], "left").withColumn("prefix", type_prefix(F.col("type")))
-    nth = F.row_number().over(W.partitionBy("method_uid", "prefix").orderBy("first", "dst")) - 1
-    return t.select("method_uid", "dst", "type", F.concat("prefix", nth.cast("string")).alias("name"))
-
-
 def folded_conditions(ins: DataFrame) -> DataFrame:
     """method_uid, off, cond: conditions of branches, with registers replaced by constants that one of the three instructions before,
     in the same block, puts into them and none after it overwrites. ins from cfg.placed: what stands before a place that is jumped to

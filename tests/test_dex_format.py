@@ -55,7 +55,7 @@ def test_tables_agree_with_column_functions(spark, folder):
 def test_filters_reach_the_reader(spark, folder):
     t = read(spark, folder).where(F.col("class_name").startswith("b7.P1") & (F.col("access_flags") > 3))
     plan = t._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [StringStartsWith(class_name,b7.P1)" in plan or "StringStartsWith(class_name,b7.P1)" in plan.split("Filter")[-1] or "class_name" not in plan.split("Filter", 1)[1].split("\n")[0].replace("isnotnull(class_name", "")
+    assert "access_flags" in plan.split("BatchScan")[0] and "StartsWith" not in plan  # Spark has only the other filter left
     assert sorted(r.class_name for r in t.collect()) == sorted(f"b7.P{k}" for k in range(3, 60) if f"{k}".startswith("1") and (k % 50 * 37 % 32 | 1) > 3)
     reader = dex_format.DexReader([f"{folder}/*.dex"], "classes")
     kept = list(reader.pushFilters([dex_format.StringStartsWith(("class_name",), "pkg."), dex_format.EqualTo(("access_flags",), 1)]))
@@ -70,8 +70,8 @@ def test_ranges_of_classes(spark, folder, monkeypatch):
     reader = dex_format.DexReader([folder], "members")
     parts = reader.partitions()
     assert [(p.path.rsplit("/", 1)[1], p.first, p.last) for p in parts][:2] == [("full.dex", 0, 1), ("parts.dex", 0, 10)] and len(parts) == 7
-    whole = sorted(tuple(r) for r in read(spark, folder, "members").collect())
-    assert sorted((x[0], *x[1:]) for p in parts for x in reader.read(p)) == [(r[0], *r[1:]) for r in whole] or len(whole) == sum(1 for p in parts for _ in reader.read(p))
+    whole = [tuple(r)[1:] for r in read(spark, folder, "members").collect()]
+    assert sorted((x[1:] for p in parts for x in reader.read(p)), key=str) == sorted(whole, key=str)
 
 
 def test_damaged_files_lose_their_own_rows_only(spark, tmp_path):
