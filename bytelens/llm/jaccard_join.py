@@ -527,7 +527,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, percent: int = 85, sample
 
 def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, sample_rows: int = 8192) -> DataFrame:
     """One row of each component, that of its smallest doc_id (null is the largest); docs' columns. Documents without words
-    all stay. Rows have keys of their own, so doc_id may be null, may repeat and may be of any type that has an order."""
+    all stay. Rows have keys of their own, so doc_id may be null, may repeat and may be of any type that has an order. An empty table
+    stays empty; other columns pass through whatever their names."""
     ship(docs.sparkSession)
     columns = [c for c in docs.columns if c not in KEY]
     docs = keyed(docs, "jaccard-keyed")

@@ -344,7 +344,7 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 def find_pii(docs: DataFrame, labelled: DataFrame | None = None, *, most_lines: int = 2000) -> DataFrame:
     """doc_id and spans: array of kind, start, end (code points), base (found by a base pattern), by start,
     then kind in the order of KINDS. labelled: line_id, marked; at most most_lines lines train the field
-    (the first by line_id)."""
+    (the first by line_id). A row for each row; other columns are not read, so their names don't matter."""
     spark = ship(docs.sparkSession)
     lines = LABELLED if labelled is None else [r[0] for r in labelled.orderBy("line_id").select("marked").limit(most_lines).collect()]
     sent = spark.sparkContext.broadcast(train(lines))

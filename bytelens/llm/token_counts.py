@@ -75,7 +75,11 @@ class Counter_:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, keep_columns: list[str] = ("doc_id",), table_limit: int = 400_000) -> DataFrame:
     """keep_columns, n_bytes (UTF-8) and n_tokens of each row's whole text. The tokenizer file is sent to the
-    executors with the job."""
+    executors with the job.
+
+    A row for each row: repeated rows, and null or repeated doc_ids, are counted one by one. Null and empty texts have no bytes and no tokens; a text
+    of any length is counted whole; an empty table gives no rows. Columns of docs that are neither kept nor text are not read; kept ones must not be
+    called n_bytes or n_tokens."""
     spark = ship(docs.sparkSession)
     with open(tokenizer_path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
