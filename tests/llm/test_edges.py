@@ -52,7 +52,7 @@ def test_long_text_and_repeats(spark, long, tmp_path):
     got = {r.payload_bytes: r for r in media.digest(docs).collect()}
     n = len(long.encode())
     padded = long.encode() + b"\0" * (-n % 64)
-    assert got[len(padded)].payload_sha256 == hashlib.sha256(padded).hexdigest() and len(got) == 4
+    assert got[len(padded)].payload_sha256 == hashlib.sha256(padded).hexdigest() and len(got) == 3  # empty and short texts have 64 bytes
 
     taken = mixing.digest(mixing.mix(docs)).collect()
     assert sorted(r.size for r in taken) == sorted(len(x.split()) for x in texts) and all(r.taken <= 2 * r["size"] for r in taken)
@@ -63,7 +63,7 @@ def test_long_text_and_repeats(spark, long, tmp_path):
     assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids)
 
     got = alignment.digest(alignment.align(docs, BYTE, PIECE)[0]).collect()
-    assert sorted(r.n_a for r in got)[:3] == [0, 3, 3] and max(r.n_a for r in got) == len(own.encode(" " + long, add_special_tokens=False).ids)
+    assert sorted(r.n_a for r in got)[:3] == [0, 2, 2] and max(r.n_a for r in got) == len(own.encode(" " + long, add_special_tokens=False).ids)
 
 
 def test_empty_tables(spark, tmp_path):
