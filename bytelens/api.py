@@ -133,7 +133,7 @@ class Program:
 
     def source(self) -> DataFrame:
         """method_uid, block_id, off, line: the pipeline's statements with names in place of registers, and the literals of array data and switches."""
-        lines = statements.lines(passes.renamed(self.passed, self.variable_names))
+        lines = statements.lines(passes.renamed(self.passed, self.variable_names), shorten=False)
         said = payloads.literals(self.code, bytecode.instructions(self.code)).select("method_uid", "off", F.col("line").alias("literal"))
         return lines.join(said, ["method_uid", "off"], "left").select("method_uid", "block_id", "off", F.coalesce("literal", "line").alias("line"))
 

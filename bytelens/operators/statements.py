@@ -178,14 +178,15 @@ def drop_dead(ir: DataFrame) -> DataFrame:
     return ir.where(~dead).unionByName(ir.where(dead).join(used, ["method_uid", "dst"], "left_semi"))
 
 
-def lines(ir: DataFrame) -> DataFrame:
-    """method_uid, off, line: the statements as Java text."""
+def lines(ir: DataFrame, shorten: bool = True) -> DataFrame:
+    """method_uid, off, line: the statements as Java text. shorten: v = v + 1 is v++ and so on; not after variables got names, as two of them may
+    share one."""
     call = F.concat("target", F.lit("("), "text", F.lit(")"))
     value = F.when(F.col("form") == "call", call).when(F.col("form") == "pending", F.lit("<result>")).otherwise(F.col("text"))
     c = compound(F.col("dst"), F.col("text"))
     line = (
         F.when(F.col("form") == "compound", F.concat("text", F.lit(";")))
-        .when(F.col("kind") == "assign", F.when((F.col("form") == "raw") & c.isNotNull(), F.concat(c, F.lit(";"))).otherwise(F.concat("dst", F.lit(" = "), value, F.lit(";"))))
+        .when(F.col("kind") == "assign", F.when(F.lit(shorten) & (F.col("form") == "raw") & c.isNotNull(), F.concat(c, F.lit(";"))).otherwise(F.concat("dst", F.lit(" = "), value, F.lit(";"))))
         .when(F.col("kind") == "return", F.when(F.col("form") == "none", "return;").otherwise(F.concat(F.lit("return "), value, F.lit(";"))))
         .when(F.col("kind") == "expr", F.concat(call, F.lit(";")))
         .otherwise(F.col("text"))

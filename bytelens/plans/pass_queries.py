@@ -138,7 +138,7 @@ _SUBST = f"nmaps AS (SELECT method_uid, block_id, map(list(v), list(name)) AS nm
 def named_lines(spark: SparkSession, d: str) -> DataFrame:
     """Statements with names in place of variables."""
     ir, _, named = _named(spark, d)
-    return statements.lines(passes.renamed(ir, named))
+    return statements.lines(passes.renamed(ir, named), shorten=False)
 
 
 _COND = """conds AS (SELECT method_uid, block_id, off, CASE WHEN mnemonic LIKE '%z' THEN a || ' ' || sign || ' 0' ELSE a || ' ' || sign || ' ' || b END AS cond FROM blk JOIN (VALUES ('eq', '=='), ('ne', '!='), ('lt', '<'), ('ge', '>='), ('gt', '>'), ('le', '<=')) s(nm, sign) ON nm = substr(mnemonic, 4, 2) WHERE mnemonic LIKE 'if-%')"""
