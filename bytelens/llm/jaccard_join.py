@@ -384,7 +384,7 @@ def _in_cells(search, *options):
 
 
 def small(keys: DataFrame) -> DataFrame:
-    """A written table of three numbers a row, broadcast if it has no more than BROADCAST rows (about 6 MB): texts then stay where they lie. A
+    """A written table of up to three numbers a row, broadcast if it has no more than BROADCAST rows (about 6 MB): texts then stay where they lie. A
     longer one is joined by shuffle."""
     return F.broadcast(keys) if keys.count() <= BROADCAST else keys
 
@@ -537,5 +537,8 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, sample_rows: int
     best = rows.where("n > 0").groupBy("h1", "h2", "n").agg(place)  # of each set, then of each component
     best = best.join(sets, ["h1", "h2", "n"]).groupBy("comp").agg(F.min("place").alias("place"))
     kept = best.select(*(F.col(f"place.{c}").alias(c) for c in KEY)).union(rows.where("n = 0").select(*KEY))
-    kept = Scratch(docs.sparkSession).keep(kept, "jaccard-kept")
-    return docs.join(kept, [*KEY], "left_semi").select(*columns)
+    with Scratch(docs.sparkSession) as s:
+        kept = s.write(kept, "jaccard-kept")
+        # the copies that go are fewer than what stays, so texts stay where they lie unless these are many
+        gone = s.keep(rows.select(*KEY).join(kept, [*KEY], "left_anti"), "jaccard-gone")
+    return docs.join(small(gone), [*KEY], "left_anti").select(*columns)
