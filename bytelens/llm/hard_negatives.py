@@ -88,13 +88,11 @@ def best(group: np.ndarray, score: np.ndarray, tie: np.ndarray, count: int) -> n
 
 
 class Best:
-    """The best rows of each group that a task has seen so far: group, score and the row's number in the task. floor has, for
-    each group, the score that a further row must beat; rows come in the order in which ties are settled."""
+    """The best rows of each group that a task has seen so far, count at most: group, score and the row's number in the task. Rows come in the order
+    in which ties are settled."""
 
-    def __init__(self, groups: int, count: int):
+    def __init__(self, count: int):
         self.count, self.group, self.score, self.row = count, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.floor: np.ndarray | None = None
-        self.groups = groups
 
     def add(self, group: np.ndarray, score: np.ndarray, row: np.ndarray) -> None:
         kind = object if object in (score.dtype, self.score.dtype) else np.int64
@@ -182,7 +180,7 @@ def _scan(sent, positives: int, negatives: int, labels_alike: bool):
         m, slots = len(w.number), 1 if labels_alike else positives
         codes: dict = {}
         own = np.array([codes.setdefault(x, len(codes)) for x in w.label], np.int64)
-        kept, got, seen = {}, Best(m * slots, positives if labels_alike else negatives), 0
+        kept, got, seen = {}, Best(positives if labels_alike else negatives), 0
         low = np.array([[-(1 << 200)]] * m, object) if labels_alike else w.low
         high = np.array([[1 << 200]] * m, object) if labels_alike else w.high
         need = low.copy()
