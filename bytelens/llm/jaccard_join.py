@@ -40,7 +40,7 @@ from bytelens.llm import textcore as tc
 from bytelens.llm.components import components
 from bytelens.runtime import KEY, Scratch, keyed, ship
 
-BINS, LEAF, FLAT, CELL, BLOCKS, PARTNERS, WEIGHT, BROADCAST = 1024, 48, 64, 1024, 8, 8, 1 << 20, 1 << 18
+BINS, LEAF, FLAT, CELL, BLOCKS, PARTNERS, WEIGHT, BROADCAST, MARKS = 1024, 48, 64, 1024, 8, 8, 1 << 20, 1 << 18, 1 << 14
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, k: int) -> list[np.ndarray]:
@@ -383,17 +383,33 @@ def _in_cells(search, *options):
     return run
 
 
-def small(keys: DataFrame) -> DataFrame:
-    """A written table of up to three numbers a row, broadcast if it has no more than BROADCAST rows (about 6 MB): texts then stay where they lie. A
-    longer one is joined by shuffle."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+def marked(s: Scratch, docs: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of docs whose KEY is in keys, or those whose is not, left where they lie: the keys are broadcast as bitmaps, a bit for
+    each row of a file, 4 KB for each 32,768 rows (2 MB for the documents of 30 GB in large files). More than MARKS bitmaps (64 MB) are not sent: keys are joined by
+    shuffle. The bitmaps stay, as the rows are lazy."""
+    block, place = F.bitmap_bucket_number("__at"), F.bitmap_bit_position("__at")
+    bits = s.keep(keys.groupBy("__file", block.alias("__block")).agg(F.bitmap_construct_agg(place).alias("__bits")), "jaccard-marks")
+    if bits.count() > MARKS:
+        return docs.join(keys.select(*KEY), [*KEY], "left_semi" if inside else "left_anti")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.bit_get(byte, (place % 8).cast("int")).cast("int"), F.lit(0))
+    placed = docs.withColumn("__block", block).join(F.broadcast(bits), ["__file", "__block"], "inner" if inside else "left")
+    return placed.where(bit == (1 if inside else 0)).select(docs.columns)
+
+
+def with_texts(s: Scratch, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of the rows wanted (node and KEY), a written table. Up to BROADCAST rows (about 6 MB) it is broadcast; beyond that
+    only texts that are wanted meet it by shuffle, the others stay where they lie."""
+    docs = docs.select(*KEY, "text")
+    few = wanted.count() <= BROADCAST
+    return (docs.join(F.broadcast(wanted), [*KEY]) if few else marked(s, docs, wanted).join(wanted, [*KEY])).select("node", "text")
 
 
 def join_pairs(s: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links among pairs (a, b) of nodes. The nodes' texts are fetched once. One node
     may be a in a great share of the pairs, but a pair takes part once on either side, so skewed joins can be split."""
     wanted = s.write(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", *KEY), "node"), "jaccard-wanted")
-    texts = s.write(docs.select(*KEY, "text").join(small(wanted), [*KEY]).select("node", "text"), "jaccard-texts")
+    texts = s.write(with_texts(s, docs, wanted), "jaccard-texts")
     t = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = s.write(t.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long"), "jaccard-links")
     s.drop(wanted, texts)
@@ -445,7 +461,7 @@ def _crowded_links(s: Scratch, keys: DataFrame, dealt: DataFrame, nodes: DataFra
         for batch, lo, hi, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    points = s.write(docs.select(*KEY, "text").join(small(wanted), [*KEY]).select("node", "text").mapInArrow(shingles, "node long, shingles binary"), "jaccard-points")
+    points = s.write(with_texts(s, docs, wanted).mapInArrow(shingles, "node long, shingles binary"), "jaccard-points")
     placed = rows.join(points, "node").select("key", "node", "comp", "shingles")
     links = s.write(placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_in_cells(exact_links, percent), "a long, b long"), "jaccard-links")
     s.drop(held, wanted, points)
@@ -539,6 +555,5 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, sample_rows: int
     kept = best.select(*(F.col(f"place.{c}").alias(c) for c in KEY)).union(rows.where("n = 0").select(*KEY))
     with Scratch(docs.sparkSession) as s:
         kept = s.write(kept, "jaccard-kept")
-        # the copies that go are fewer than what stays, so texts stay where they lie unless these are many
         gone = s.keep(rows.select(*KEY).join(kept, [*KEY], "left_anti"), "jaccard-gone")
-    return docs.join(small(gone), [*KEY], "left_anti").select(*columns)
+        return marked(s, docs, gone, inside=False).select(*columns)  # texts stay where they lie

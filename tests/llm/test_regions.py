@@ -6,7 +6,10 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from bytelens.llm import jaccard_join
+from bytelens.runtime import KEY, Scratch, file_keys
 
 
 def brute(rows, k, percent):
@@ -171,3 +174,33 @@ def test_bins_bound_the_difference():
         m = jaccard_join.bin_matrix([jaccard_join.bins_of(x), jaccard_join.bins_of(y)])
         real = len(np.setxor1d(x, y))
         assert 0.75 * real - 4 < jaccard_join.apart(m[:1], m[1])[0] <= real
+
+
+def test_texts_stay_where_they_lie(spark, tmp_path, monkeypatch):
+    """However many keys there are, only texts that are wanted are shuffled, and none of those that stay."""
+    at = [0, 1, 2, 7, 8, 32_766, 32_767, 32_768, 32_769, 65_536, 65_537, 1 << 33, (1 << 33) + 1]
+    docs = spark.createDataFrame([(f, p, f"{f} {p}") for f in (-5, 0, 9) for p in at], "__file long, __at long, text string")
+    keys = docs.where("pmod(xxhash64(__file, __at), 3) = 0").select(*KEY)
+    want = {tuple(r) for r in keys.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    monkeypatch.setattr(jaccard_join, "BROADCAST", 0)
+    try:
+        with Scratch(spark) as s:
+            for most in (1 << 14, 0):  # with bitmaps, and beyond the size they are sent to
+                monkeypatch.setattr(jaccard_join, "MARKS", most)
+                for inside in (True, False):
+                    got = [tuple(r)[:2] for r in jaccard_join.marked(s, docs, keys, inside).collect()]
+                    assert len(got) == len(set(got)) and set(got) == {(f, p) for f in (-5, 0, 9) for p in at if ((f, p) in want) == inside}
+            monkeypatch.setattr(jaccard_join, "MARKS", 1 << 14)
+            wanted = s.write(keys.withColumn("node", F.monotonically_increasing_id()), "wanted")
+            texts = jaccard_join.with_texts(s, docs, wanted)
+            assert texts.count() == len(want)
+            plan = texts._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
+        path = f"file://{tmp_path}/docs"
+        spark.createDataFrame([(i, f"w{i // 2} a b c d e f g h", i) for i in range(40)], "doc_id long, text string, more long").repartition(3).write.parquet(path)
+        kept = jaccard_join.keep_one(file_keys(spark.read.parquet(path)))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, kept.collect())) == [(i, f"w{i // 2} a b c d e f g h", i) for i in range(0, 40, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
