@@ -13,9 +13,10 @@ starts in another document: shorter passages that repeat are told so, not remove
    (whole groups, about CHUNK bytes at a time), a two-stage sort orders the suffixes to `length` bytes (only
    those smaller than their successors are sorted directly, the rest are induced by bucket scans), and a
    start is repeated where the common prefix with a neighbour reaches `length`, or `short`.
-4. A group of more than group_limit contexts is never gathered: its runs are cut into cells of 32, then 8,
-   then 1 starts, regrouped by the hash of the bytes that all strings of the cell share. Cells that
-   stand alone fall away; groups that have become small enough go to step 3; at one start counts decide.
+4. A group of more than group_limit contexts is never gathered: its runs are cut, for each of the two sizes by itself, into cells of 64,
+   then 16, 4 and 1 starts, regrouped by the hash of the bytes that all strings of the cell share. Groups that have one kind of cell
+   only are decided, as are cells whose bytes are equal as a whole: counting does, and one of them goes on for the others to
+   meet. So only cells that an edge of what is shared lies in are cut again, a few for each context. Groups that have become small enough go to step 3.
 
 Contexts, and strings that counts decide on, are compared by 128-bit hashes, suffixes by their bytes. Rows are told
 apart by keys of their own, so doc_id may be null, may repeat and may be of any type. Null is the empty text; texts
@@ -241,24 +242,25 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, ends: np.nd
 
 
 def repeated_starts(rows: list[dict], short: int, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each context (bytes, n, and lo and hi: its least and greatest document), which of its n starts begin a string of
-    `length` bytes that begins at another start too, and which a string of `short` bytes that another document has."""
+    """For each context (bytes, n, lo and hi: its least and greatest document, and what: the only size to look for, if not BOTH), which of
+    its n starts begin a string of `length` bytes that begins at another start too, and which a string of `short` bytes that another document has."""
     text = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
     sizes = np.array([len(r["bytes"]) for r in rows], np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(rows)), sizes)
     ends, within = at[owner + 1], np.arange(len(text)) - at[owner]
     starts = np.array([r["n"] for r in rows], np.int64)
-    lo, hi = (np.array([r[c] for r in rows], np.int64) for c in ("lo", "hi"))
+    lo, hi, what = (np.array([r[c] for r in rows], np.int64) for c in ("lo", "hi", "what"))
     order = two_stage(text, length, within < starts[owner])
     out = []
-    for size in (length, short):
-        own = order[(within[order] < starts[owner[order]]) & (within[order] + size <= sizes[owner[order]])]
+    for kind, size in ((LONG, length), (SHORT, short)):
+        asked = (what == kind) | (what == BOTH)
+        own = order[(within[order] < starts[owner[order]]) & (within[order] + size <= sizes[owner[order]]) & asked[owner[order]]]
         hit = np.zeros(len(text), bool)
         if len(own) > 1:
             head = np.flatnonzero(common_prefixes(text, own, size, ends) < size)
             many = np.diff(np.append(head, len(own))) > 1
-            if size == short:
+            if kind == SHORT:
                 many &= np.minimum.reduceat(lo[owner[own]], head) != np.maximum.reduceat(hi[owner[own]], head)
             hit[own[np.repeat(many, np.diff(np.append(head, len(own))))]] = True
         out.append([np.flatnonzero(hit[a : a + n]) for a, n in zip(at[:-1].tolist(), starts.tolist(), strict=True)])
@@ -272,11 +274,11 @@ def _stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(x[a]), int(x[b - 1]) + 1
 
 
-LONG, SHORT = 0, 1  # what a found stretch of starts is
+LONG, SHORT, BOTH = 0, 1, 2  # what a found stretch of starts is, or what a row is searched for
 
 
 def _sort_groups(short: int, length: int):
-    """c1, c2, start from, to (exclusive), what, from rows (key, c1, c2, lo, hi, w0, n, bytes) sorted by key."""
+    """c1, c2, start from, to (exclusive), what, from rows (key, c1, c2, lo, hi, w0, n, what, bytes) sorted by key."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
         got = repeated_starts(rows, short, length)
@@ -306,36 +308,63 @@ def _sort_groups(short: int, length: int):
     return run
 
 
-WORK = ["key", "c1", "c2", "lo", "hi", "w0", "n", "lead", "bytes"]
-WORK_KIND = "key long, c1 long, c2 long, lo long, hi long, w0 long, n long, lead long, bytes binary"
+WORK = ["key", "c1", "c2", "lo", "hi", "w0", "n", "lead", "what"]
+WORK_KIND = "key long, c1 long, c2 long, lo long, hi long, w0 long, n long, lead long, what long, bytes binary"
 
 
-def _work_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 8 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in rows], k) for i, k in enumerate(kinds)], names=WORK)
+def _work_batch(rows: list[tuple], names: list[str] = WORK) -> pa.RecordBatch:
+    kinds = [pa.int64()] * len(names) + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in rows], k) for i, k in enumerate(kinds)], names=[*names, "bytes"])
 
 
-def _cells(size: int, short: int, length: int):
-    """Runs cut into cells of `size` starts, aligned to the minimizer, keyed by what all their strings share."""
+def cells_of(r: dict, cell: int, short: int, length: int) -> Iterator[tuple]:
+    """A run cut into cells of `cell` starts, aligned to the minimizer, for each size it is searched for: key, by what all strings of the
+    cell share, two hashes of the cell's bytes, first start, number of starts, way to the minimizer, size, bytes."""
+    text, lead = r["bytes"], r["lead"]  # lead: from the first start to the minimizer
+    salt = r["key"].to_bytes(8, "little", signed=True)
+    for what, size in ((LONG, length), (SHORT, short)):
+        if r["what"] not in (what, BOTH):
+            continue
+        s, n = 0, min(r["n"], len(text) - size + 1)
+        while s < n:
+            d = lead - s  # cells hold d in [cell * j, cell * (j + 1))
+            z = min(n, s + d % cell + 1)
+            core_a, core_b = lead - d // cell * cell, lead - (d // cell + 1) * cell + 1 + size
+            own = text[s : z - 1 + size]
+            k = hashlib.blake2b(text[core_a:core_b] + b"%d %d" % (d // cell, what), digest_size=8, key=salt).digest()
+            h = hashlib.blake2b(own + b"%d %d %d" % (z - s, d, what), digest_size=16).digest()
+            key, s1, s2 = (int.from_bytes(x, "little", signed=True) for x in (k, h[:8], h[8:]))
+            yield key, s1, s2, s, z - s, d, what, own
+            s = z
 
+
+def _cells(cell: int, short: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                text, lead = r["bytes"], r["lead"]  # lead: from the first start to the minimizer
-                s = 0
-                while s < r["n"]:
-                    d = lead - s  # cells hold d in [size * j, size * (j + 1))
-                    z = min(r["n"], s + d % size + 1)
-                    core_a, core_b = lead - d // size * size, lead - (d // size + 1) * size + 1 + short
-                    k = hashlib.blake2b(text[core_a:core_b] + b"%d" % (d // size), digest_size=8, key=r["key"].to_bytes(8, "little", signed=True)).digest()
-                    out.append((int.from_bytes(k, "little", signed=True), r["c1"], r["c2"], r["lo"], r["hi"], r["w0"] + s, z - s, d, text[s : z - 1 + length]))
-                    s = z
-            yield _work_batch(out)
+            out = [(key, r["c1"], r["c2"], r["lo"], r["hi"], r["w0"] + s, n, d, what, s1, s2, own) for r in batch.to_pylist() for key, s1, s2, s, n, d, what, own in cells_of(r, cell, short, length)]
+            yield _work_batch(out, [*WORK, "s1", "s2"])
 
     return run
 
 
+def _decided(s: Scratch, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What cells with equal bytes show, and the rows of the groups that stay open: one for each kind of cell that is decided, all of
+    the others (equal cells of one document, when another is asked for)."""
+    kinds = cells.groupBy("key", "what", "s1", "s2").agg(F.count("*").alias("m"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.min(F.struct("c1", "c2")).alias("one"))
+    kinds = s.write(kinds, "suffix-kinds")
+    clear = F.when(F.col("what") == LONG, F.col("m") > 1).otherwise(F.col("least") != F.col("most"))
+    done = kinds.where(clear).select("key", "s1", "s2", "least", "most", "one")
+    groups = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("what").alias("what"), F.min("least").alias("least"), F.max("most").alias("most"))
+    still = groups.where((F.col("kinds") > 1) & ((F.col("what") == LONG) | (F.col("least") != F.col("most")))).select("key")
+    found = cells.join(done.select("key", "s1", "s2"), ["key", "s1", "s2"], "left_semi")
+    found = s.write(found.select("c1", "c2", F.col("w0").alias("from"), (F.col("w0") + F.col("n")).alias("to"), "what"), "suffix-found")
+    left = cells.join(still, "key", "left_semi").join(done, ["key", "s1", "s2"], "left").where("one IS NULL OR one = struct(c1, c2)")
+    left = left.withColumns({"lo": F.coalesce("least", "lo"), "hi": F.coalesce("most", "hi")}).select(*WORK, "bytes")
+    left = s.write(left, "suffix-work")
+    s.drop(kinds)
+    return found, left
+
+
 def _slices(length: int):
     """The contexts' bytes, from rows with a text and the list of its wanted runs."""
 
@@ -344,7 +373,7 @@ def _slices(length: int):
             data, offs = tc.text_bytes(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 text = data[offs[i] : offs[i + 1]]
-                yield _work_batch([(w["g"], w["c1"], w["c2"], w["lo"], w["hi"], 0, w["n"], w["lead"], text[w["first"] : w["first"] + w["size"]].tobytes()) for w in wanted])
+                yield _work_batch([(w["g"], w["c1"], w["c2"], w["lo"], w["hi"], 0, w["n"], w["lead"], BOTH, text[w["first"] : w["first"] + w["size"]].tobytes()) for w in wanted])
 
     return run
 
@@ -367,7 +396,7 @@ def repeated_spans(s: Scratch, docs: DataFrame, *, short: int, length: int, grou
     work = s.write(work.mapInArrow(_slices(length), WORK_KIND), "suffix-work")
     s.drop(mixed, chosen, wanted)
     parts = []
-    for cell in (32, 8, 1):
+    for cell in (64, 16, 4, 1):  # equal cells of one start decide all that is left
         sizes = work.groupBy("key").agg(F.count("*").alias("size"))
         big = s.write(sizes.where(F.col("size") > group_limit).select("key"), "suffix-big")
         some = big.limit(1).count() > 0
@@ -376,17 +405,11 @@ def repeated_spans(s: Scratch, docs: DataFrame, *, short: int, length: int, grou
         parts.append(s.write(small.mapInArrow(_sort_groups(short, length), "c1 long, c2 long, from long, to long, what long"), "suffix-found"))
         if not some:
             break
-        cells = s.write(work.join(big, "key", "left_semi").mapInArrow(_cells(cell, short, length), WORK_KIND), "suffix-work")
-        alone = s.write(cells.groupBy("key").agg(F.count("*").alias("size")).where("size = 1").select("key"), "suffix-alone")
-        s.drop(work)
-        work = s.write(cells.join(alone, "key", "left_anti"), "suffix-work")
-        s.drop(cells, alone)
-    else:  # cells of one start: counts of their strings decide
-        one = work.select("c1", "c2", "lo", "hi", F.col("w0").alias("from"), (F.col("w0") + 1).alias("to"), "bytes")
-        for what, size in ((LONG, length), (SHORT, short)):
-            marked = one.where(F.octet_length("bytes") >= size).withColumn("mark", F.substring(F.sha2(F.substring("bytes", 1, size), 256), 1, 32))
-            sums = marked.groupBy("mark").agg(F.count("*").alias("m"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("m > 1" if what == LONG else "least != most")
-            parts.append(s.write(marked.join(s.write(sums.select("mark"), "suffix-marks"), "mark", "left_semi").select("c1", "c2", "from", "to", F.lit(what).cast("long").alias("what")), "suffix-found"))
+        cells = s.write(work.join(big, "key", "left_semi").mapInArrow(_cells(cell, short, length), WORK_KIND.replace("bytes", "s1 long, s2 long, bytes")), "suffix-cells")
+        s.drop(work, big)
+        decided, work = _decided(s, cells)
+        parts.append(decided)
+        s.drop(cells)
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

@@ -77,3 +77,26 @@ def test_one_id_with_two_texts(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_large_groups_are_cut_into_few_cells(spark, monkeypatch):
+    """Many near copies, a passage with many endings and beginnings, and many near copies in one document only: results are those of
+    plain Python, and cells are a few for each context, not one for each start."""
+    r = random.Random(11)
+    base, passage, inner = prose(r, 130), prose(r, 100), prose(r, 70)
+    near = []
+    for i in range(40):
+        cut = r.randrange(len(base))
+        near.append(base[:cut] + f"<{i}>" + base[cut + 3 :])
+    rows = [*near, *(f"{prose(r, 30)} {passage} {prose(r, 30)}" for _ in range(40)), " ".join(inner[:c] + f"[{i}]" + inner[c:] for i in range(30) for c in [r.randrange(len(inner))]), None, base, near[3]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(3)
+    made, decided = [], suffix_dedup._decided
+
+    def counted(s, cells):
+        made.append(cells.count())
+        return decided(s, cells)
+
+    monkeypatch.setattr(suffix_dedup, "_decided", counted)
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs, group_limit=2)).collect()
+    assert [tuple(x)[1:] for x in sorted(got)] == brute(rows, 256, 400)
+    assert len(made) == 4 and sum(made) < 8_000
