@@ -68,7 +68,9 @@ def by_method(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], list[np.n
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("method_uid").sortWithinPartitions(*names)
+    # Dealt by a hash of the key and not by the key: a deal by a key that both sides of a union are dealt by already is left out of the plan, and the
+    # sides' partitions are then joined up to larger ones apart from each other, so that a method's rows would lie in two tasks.
+    dealt = rows.repartition(F.xxhash64("method_uid")).sortWithinPartitions(*names)
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in ("method_uid", *columns)))
 
 

@@ -101,3 +101,20 @@ def test_reaching_definitions(spark, graphs, edges):
                 else:
                     stack += [a for a, c in e if c == b]
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+
+
+def test_tables_dealt_before(spark):
+    """A method is whole also where the tables that are united are dealt by method already, in partitions of different sizes."""
+    options = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        own = F.col("id") % 500
+        many = spark.range(40_000).groupBy(own.alias("method_uid")).agg(F.sort_array(F.collect_list("id")).alias("x")).select("method_uid", F.explode("x").alias("x"))
+        few = spark.range(500).groupBy(own.alias("method_uid")).agg(F.count("*").alias("n"))
+        got = bymethod.by_method(bymethod.tagged(many, few), lambda x: [[len(x["part"])]], ["n"]).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.method_uid, r.n) for r in got) == [(m, 81) for m in range(500)]
