@@ -209,12 +209,13 @@ def dominators(succ: dict, entry) -> dict:
     return {n: order[up[i]] if i else None for i, n in enumerate(order)}
 
 
-def graph_facts(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+def graph_facts(edges: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """method_uid, block_id, rpo (from 1), idom (null for the entry, block 0), of blocks reachable from block 0; a
-    method without edges has its entry. Depth-first: targets before what follows, cases by value."""
+    method without edges has its entry, or no row without blocks. Depth-first: targets before what follows, cases by value."""
     value = (F.col("case_value") if "case_value" in edges.columns else F.lit(None)).cast("long")  # a payload's order
     e = edges.select("method_uid", "from_id", F.when(F.col("edge_kind").isin("fall", "default"), 1).otherwise(0).alias("ord"), F.coalesce(value, F.lit(0)).alias("case_value"), "to_id")
-    entries = blocks.where("block_id = 0").select("method_uid", F.lit(-1), F.lit(0), F.lit(0), F.lit(-1))
+    if blocks is not None:
+        e = e.union(blocks.where("block_id = 0").select("method_uid", F.lit(-1), F.lit(0), F.lit(0), F.lit(-1)))
 
     def work(x: dict[str, np.ndarray]) -> list[np.ndarray]:
         real = x["a"] >= 0
@@ -223,4 +224,4 @@ def graph_facts(edges: DataFrame, blocks: DataFrame) -> DataFrame:
         dom = dominators(succ, 0)
         return [np.array(order), np.arange(1, len(order) + 1), np.array([NONE if dom[n] is None else dom[n] for n in order], np.int64)]
 
-    return by_method(tagged(e.union(entries), columns=("a", "b", "c", "d")), work, ["block_id", "rpo", "idom"])
+    return by_method(tagged(e, columns=("a", "b", "c", "d")), work, ["block_id", "rpo", "idom"])

@@ -1,6 +1,7 @@
 """Blocks, edges and graphs of small methods."""
 
 from bytelens.operators import cfg
+from bytelens.plans import flow_queries
 
 KIND = "method_uid long, off long, mnemonic string, operands string, code_end long"
 
@@ -31,3 +32,12 @@ def test_switch_has_cases_and_default(spark):
     # depth first in the payload's order: 3 (case -1), 4, 2 (case 0), 1 (default)
     assert facts == {0: (1, None), 1: (2, 0), 2: (3, 0), 3: (4, 0), 4: (5, 0)}
     assert {(r.from_id, r.to_id, r.edge_kind) for r in cfg.edges(cfg.blocks(ins)).where("method_uid = 2").collect()} == {(0, 1, "default"), (1, 4, "goto"), (3, 4, "fall")}
+
+
+def test_dominators_of_methods_with_edges(spark, tmp_path):
+    """The query's SQL begins at edges: a method without any has no row, whether it is one block or ends in the middle."""
+    rows = [(1, "view", 3), (1, "click", 4), (2, "view", 4), (2, "error", 1), (2, "view", 4), (3, "view", 4), (3, "error", 4), (3, "view", 4)]
+    events = spark.createDataFrame([(i, m, t, f'{{"k": {k}}}') for i, (m, t, k) in enumerate(rows)], "event_id long, user_id long, event_type string, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.method_uid, r.block_id, r.idom) for r in flow_queries.immediate_dominators(spark, str(tmp_path)).collect()}
+    assert got == {(3, 0, None), (3, 1, 0)}
