@@ -66,12 +66,26 @@ def clean(spark: SparkSession) -> None:
         delete_path(spark, _written.pop())
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives a lost executor."""
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """A new table of the rows in the shared folder, and its path. The write's shuffle files go as soon as it is done: else they all stay until the
+    driver happens to collect its garbage, so that a long job of many steps holds what it has ever shuffled."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives a lost executor."""
+    return written(df, tag)[0]
 
 
 class Scratch:
@@ -86,9 +100,7 @@ class Scratch:
         return self
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
-        path = fresh_path(self.spark, tag)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out, path = written(df, tag)
         self.paths[id(out)] = (out, path)
         return out
 
