@@ -3,7 +3,7 @@
     register(spark)
     spark.read.format("dex").option("table", "members").load("/apps/*.dex").where("class_name like 'com.app.%'")
 
-A partition is a range of the classes of one file, so a large file is read by several tasks; filters on class_name and on path
+A partition is a range of the classes of one file, so a large file is read by several tasks, or a run of small files; filters on class_name and on path
 reach the reader, which leaves other classes' data unread. `table` is classes (the default), members, code, tries or
 annotations. Files that are no DEX files have no rows; sources.dex.errors names them.
 """
@@ -26,6 +26,7 @@ from bytelens.runtime import ship
 from bytelens.sources.walk import NO_INDEX, annotation_types, leb, members, tries
 
 CLASSES_PER_TASK = 2000
+SMALL_PER_TASK = 4 << 20  # bytes of small files, which have no more classes than that each, whatever they hold: a class takes 32 bytes at least
 _OWN = "path string, class_name string"
 TABLES = {
     "classes": f"{_OWN}, super_name string, access_flags long",
@@ -130,6 +131,11 @@ class ClassRange(InputPartition):
     last: int
 
 
+@dataclass
+class SmallFiles(InputPartition):
+    paths: list[str]
+
+
 class DexReader(DataSourceReader):
     def __init__(self, paths: list[str], table: str):
         self.paths, self.table, self.pushed = paths, table, []
@@ -149,12 +155,14 @@ class DexReader(DataSourceReader):
                     return False
         return True
 
-    def partitions(self) -> list[ClassRange]:
+    def partitions(self) -> list[InputPartition]:
+        """Small files are not opened here: their tasks see whether they are DEX files."""
         from fnmatch import fnmatch
 
         from pyarrow import fs
 
-        out = []
+        out: list[InputPartition] = []
+        small, held = [], 0
         for path in self.paths:
             system, at = _system(path)
             pattern = re.search(r"[*?\[]", at)
@@ -167,26 +175,48 @@ class DexReader(DataSourceReader):
                 uri = prefix + x.path
                 if hidden or pattern and not fnmatch(x.path, at) or not self._passes("path", uri):
                     continue
+                if x.size < 0x70:
+                    continue
+                if x.size < 32 * CLASSES_PER_TASK:
+                    if small and held + x.size > SMALL_PER_TASK:
+                        out.append(SmallFiles(small))
+                        small, held = [], 0
+                    small.append(uri)
+                    held += x.size
+                    continue
                 with system.open_input_file(x.path) as f:
                     head = f.read(0x70)
-                if len(head) < 0x70 or head[:4] != b"dex\n":
+                if head[:4] != b"dex\n":
                     continue
                 n = min(struct.unpack_from("<I", head, 0x60)[0], x.size // 32)
                 out += [ClassRange(uri, k, min(n, k + CLASSES_PER_TASK)) for k in range(0, n, CLASSES_PER_TASK)]
-        return out or [ClassRange("", 0, 0)]
+        if small:
+            out.append(SmallFiles(small))
+        return out or [SmallFiles([])]
 
-    def read(self, partition: ClassRange) -> Iterator[tuple]:
-        if not partition.path:
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if isinstance(partition, ClassRange):
+            yield from self._rows(partition.path, partition.first, partition.last)
             return
+        for path in partition.paths:
+            yield from self._rows(path, 0, None)
+
+    def _rows(self, path: str, first: int, last: int | None) -> Iterator[tuple]:
+        """Rows of a range of a file's classes, or of all of them."""
         from pyarrow import fs
 
-        system, at = _system(partition.path)
+        def rows(data) -> Iterator[tuple]:
+            if len(data) >= 0x70 and data[:4] == b"dex\n":
+                end = min(struct.unpack_from("<I", data, 0x60)[0], len(data) // 32) if last is None else last
+                yield from rows_of(self.table, path, Pools(data), first, end, lambda name: self._passes("class_name", name))
+
+        system, at = _system(path)
         if isinstance(system, fs.LocalFileSystem):
             with open(at, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-                yield from rows_of(self.table, partition.path, Pools(data), partition.first, partition.last, lambda name: self._passes("class_name", name))
+                yield from rows(data)
             return
         with system.open_input_file(at) as f:
-            yield from rows_of(self.table, partition.path, Pools(f.read()), partition.first, partition.last, lambda name: self._passes("class_name", name))
+            yield from rows(f.read())
 
 
 class DexSource(DataSource):
@@ -228,19 +258,20 @@ class TreeWriter(DataSourceWriter):
         system, at = _system(self.staging)
         at = f"{at}/{uuid.uuid4().hex}"
         system.create_dir(at, recursive=True)
-        done, out, last = [], None, None
+        done, known, out, last = [], set(), None, None
         try:
             for row in iterator:
                 path, text = row[0], row[1]
                 if path != last:
                     if out is not None:
                         out.close()
-                    if path in {p for _, p in done}:
+                    if path in known:
                         raise ValueError(f"rows of {path} don't follow each other")
                     parts = path.split("/")
                     if not path or path.startswith("/") or ".." in parts or parts[0].startswith("_staging-"):
                         raise ValueError(f"{path} leaves the folder")
                     done.append((f"{at}/{len(done)}", path))
+                    known.add(path)
                     out, last = system.open_output_stream(done[-1][0]), path
                 data = bytes(text) if isinstance(text, (bytes, bytearray)) else (text or "").encode() + b"\n"
                 out.write(data)

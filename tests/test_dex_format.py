@@ -126,3 +126,20 @@ def test_a_large_file_is_walked_once(spark):
     assert dex.class_members(d).count() == n
     assert time.time() - began < 10
     assert dex.code(d).agg(F.count("*"), F.sum(F.octet_length("insns"))).collect()[0][:] == (n, n * 962)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """A task opens many small files, no DEX files among them too; large ones still have tasks of their own."""
+    dex_format.register(spark)
+    for k in range(60):
+        (tmp_path / f"f{k}.dex").write_bytes(build_file(k, [(j, j % 50, "box") for j in range(k % 3)]))
+    (tmp_path / "no.dex").write_bytes(b"not a DEX file!!" * 20)
+    (tmp_path / "short.dex").write_bytes(b"dex\n035\0")
+    (tmp_path / "large.dex").write_bytes(build_file(99, [(j, 1, "box") for j in range(2500)]))
+    reader = dex_format.DexReader([str(tmp_path)], "classes")
+    parts = reader.partitions()
+    assert sorted(type(p).__name__ for p in parts) == ["ClassRange", "ClassRange", "SmallFiles"]
+    want = sorted([f"b{k}.P{j}" for k in range(60) for j in range(k % 3)] + [f"b99.P{j}" for j in range(2500)])
+    assert sorted(r[1] for p in parts for r in reader.read(p)) == want
+    assert sorted(r.class_name for r in read(spark, str(tmp_path)).collect()) == want
+    assert read(spark, str(tmp_path)).where(F.col("path").endswith("f5.dex") & F.col("class_name").startswith("b5.")).count() == 2
