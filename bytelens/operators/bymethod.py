@@ -25,8 +25,9 @@ def tagged(*tables: DataFrame, columns: tuple[str, ...] = ("a", "b", "c")) -> Da
     return out
 
 
-def by_method(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], list[np.ndarray]], columns: list[str]) -> DataFrame:
-    """method_uid and long columns: what work makes of each method's rows, given as arrays by column (a null is the least long), sorted by all columns in their order."""
+def by_method(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], list[np.ndarray]], columns: list[str], together: bool = False) -> DataFrame:
+    """method_uid and long columns: what work makes of each method's rows, given as arrays by column (a null is the least long), sorted by all columns in their order.
+    together: work gets the rows of many methods at once, each of them whole, and gives their method_uid first; for steps that arrays take for all of them."""
     ship(rows.sparkSession)
     names = rows.columns
     least = np.iinfo(np.int64).min
@@ -37,6 +38,10 @@ def by_method(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], list[np.n
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             data = {c: np.asarray(table.column(c).cast(pa.int64()).fill_null(least).to_numpy()) for c in names}
             uid = data["method_uid"]
+            if together:
+                if len(uid) and len((got := work(data))[0]):
+                    yield pack([got])
+                return
             cut = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1], [True])))
             out: list[list[np.ndarray]] = []
             size = 0

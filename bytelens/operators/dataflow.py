@@ -30,11 +30,13 @@ def registers(operands: Column) -> Column:
 def rw_sets(ins: DataFrame) -> DataFrame:
     """method_uid, off, reg, is_write, pos: a row for each register an instruction writes or reads; pos keeps
     the order of the operands. block_id stays where instructions have it."""
-    m, r = F.col("mnemonic"), registers(F.col("operands"))
+    m = F.col("mnemonic")
+    ins = ins.withColumns({"__regs": registers(F.col("operands")), "__both": m.rlike(WRITE_FIRST_READ_REST)})  # named twice, made once
+    r, both = F.col("__regs"), F.col("__both")
     first, rest = F.slice(r, 1, 1), F.slice(r, 2, 255)
     none = F.array().cast("array<long>")
-    writes = F.when(m.rlike(WRITE_FIRST_READ_REST) | m.rlike(WRITE_FIRST), first).otherwise(none)
-    reads = F.when(m.rlike(WRITE_FIRST_READ_REST), rest).when(m.rlike(READ_ALL), r).otherwise(none)
+    writes = F.when(both | m.rlike(WRITE_FIRST), first).otherwise(none)
+    reads = F.when(both, rest).when(m.rlike(READ_ALL), r).otherwise(none)
     pairs = F.concat(
         F.transform(writes, lambda x, i: F.struct(x.alias("reg"), F.lit(True).alias("is_write"), i.cast("long").alias("pos"))),
         F.transform(reads, lambda x, i: F.struct(x.alias("reg"), F.lit(False).alias("is_write"), i.cast("long").alias("pos"))),

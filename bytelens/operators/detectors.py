@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from bytelens.operators.bymethod import NONE, by_method, tagged
 from bytelens.operators.dataflow import api_sources, closure, flow_edges, invoke_map, linear_use_def, rw_sets, tainted_reads
 from bytelens.runtime import materialize
 
@@ -83,30 +85,94 @@ def pending_intents(rw: DataFrame, use_def: DataFrame, sources: DataFrame, invok
     through instructions that read exactly one register. The destination is dangerous if the result
     reaches setContentIntent."""
     any_of = lambda ps: F.exists(F.array(*map(F.lit, ps)), lambda p: F.col("method_ref").contains(p))
-    create = invokes.where(any_of(PI_CREATE)).select("method_uid", F.col("off").alias("invoke_off"))
-    arg = rw.where("not is_write and pos = 2").select("method_uid", F.col("off").alias("invoke_off"), F.col("reg").alias("intent"))
-    enough = rw.where("not is_write").groupBy("method_uid", F.col("off").alias("invoke_off")).agg(F.count("*").alias("n")).where("n >= 4").drop("n")
-    taken = sources.select("method_uid", "off", "reg")
     placed = rw.select("method_uid", F.lit(0).alias("block_id"), "off").distinct() if placed is None else placed
-    offs = placed.select("method_uid", "block_id", "off").withColumn("before", F.lag("off").over(W.partitionBy("method_uid", "block_id").orderBy("off")))
-    created = create.join(arg, ["method_uid", "invoke_off"]).join(enough, ["method_uid", "invoke_off"])
-    result = taken.join(offs, ["method_uid", "off"]).select("method_uid", F.col("before").alias("invoke_off"), F.col("off").alias("res_off"), F.col("reg").alias("res_reg"))
-    created = materialize(created.join(result, ["method_uid", "invoke_off"]), "pi")
-    # backwards: definitions of the intent, on through instructions of one read
-    one = rw.where("not is_write").groupBy("method_uid", "off").agg(F.count("*").alias("n"), F.first("reg").alias("reg")).where("n = 1").drop("n")
-    d = use_def.select("method_uid", F.col("use_off").alias("off"), "reg", "def_off")
-    back = d.join(one.select("method_uid", F.col("off").alias("def_off"), F.col("reg").alias("to_reg")), ["method_uid", "def_off"]).select("method_uid", "off", "reg", F.col("def_off").alias("to_off"), "to_reg")
-    asked = created.select("method_uid", F.col("invoke_off").alias("off"), F.col("intent").alias("reg"))
-    seen = closure(asked, back).join(d, ["method_uid", "off", "reg"]).select("method_uid", F.col("seed_off").alias("invoke_off"), "def_off").distinct()
-    setters = sources.where(any_of(PI_SETTERS)).select("method_uid", F.col("off").alias("def_off"))
-    filled = seen.join(setters, ["method_uid", "def_off"]).select("method_uid", "invoke_off", F.lit(True).alias("filled")).distinct()
-    seeds = created.select("method_uid", F.col("res_off").alias("off"), F.col("res_reg").alias("reg"))
-    reads = tainted_reads(closure(seeds, flow_edges(rw, use_def)), use_def)
-    sink = invokes.where(F.col("method_ref").contains("setContentIntent")).select("method_uid", "off")
-    danger = reads.join(sink, ["method_uid", "off"]).select("method_uid", F.col("seed_off").alias("res_off"), F.lit(True).alias("danger")).distinct()
-    out = created.join(filled, ["method_uid", "invoke_off"], "left").join(danger, ["method_uid", "res_off"], "left")
-    hit = F.coalesce("danger", F.lit(False))
-    return out.select("method_uid", "invoke_off", (~F.coalesce("filled", F.lit(False))).alias("base_intent_empty"), hit.alias("dangerous_destination"), F.when(hit, "Notification/setContentIntent").otherwise("other").alias("destination_kind"))
+    kinds = invokes.select("method_uid", "off", any_of(PI_CREATE).alias("create"), F.col("method_ref").contains("setContentIntent").alias("sink")).where("create or sink")
+    parts = tagged(
+        rw.select("method_uid", "off", "reg", "is_write", "pos"), use_def.select("method_uid", "use_off", "reg", "def_off"), sources.select("method_uid", "off", "reg", any_of(PI_SETTERS).alias("setter")),
+        kinds, placed.select("method_uid", "block_id", "off"), columns=("a", "b", "c", "d"),
+    )
+    out = by_method(parts, _pending, ["invoke_off", "empty", "danger"], together=True)
+    hit = F.col("danger") == 1
+    return out.select("method_uid", "invoke_off", (F.col("empty") == 1).alias("base_intent_empty"), hit.alias("dangerous_destination"), F.when(hit, "Notification/setContentIntent").otherwise("other").alias("destination_kind"))
+
+
+class _Lookup:
+    """Values by key, several for a key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hit, which of the keys it is of, and its value."""
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        n = hi - lo
+        of = np.repeat(np.arange(len(keys)), n)
+        return of, self.values[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+
+
+def _follow(seeds: np.ndarray, step: _Lookup, onwards: _Lookup, wanted: np.ndarray) -> np.ndarray:
+    """For each seed, whether a step from it, or from a place it leads to, meets one of wanted. Places are numbers; onwards gives the places that what is met leads to.
+    All seeds go on together; each comes to a place once."""
+    met, seen = np.zeros(len(seeds), bool), set()
+    of, at = np.arange(len(seeds)), seeds
+    while len(of):
+        hit, reached = step(at)
+        of = of[hit]
+        met[of[np.isin(reached, wanted)]] = True
+        hit, at = onwards(reached)
+        of = of[hit]
+        new = [i for i, x in enumerate(zip(of.tolist(), at.tolist())) if x not in seen and not seen.add(x)]
+        of, at = of[new], at[new]
+    return met
+
+
+def _pending(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Pending intents of many methods: the parts are reads and writes, uses and definitions, sources, invokes, places in blocks. A place of code is one
+    number, of its method and offset, and with a register another."""
+    part, uid = x["part"], x["method_uid"]
+    nth = np.cumsum(np.concatenate(([0], uid[1:] != uid[:-1])))
+    (m, a, b, c, d) = zip(*[[v[part == k] for v in (nth, *(x[n] for n in "abcd"))] for k in range(5)])
+    b = [np.where(v == NONE, -1, v) if k == 2 else v for k, v in enumerate(b)]  # a result that goes to no register
+    none = [np.empty(0, np.int64)] * 4
+    if not (b[3] == 1).any():
+        return none
+    offs = np.concatenate([a[0], a[1], c[1], a[2], a[3], b[4]])
+    regs = np.concatenate([b[0], b[1], b[2], [0]])
+    low, width, least, count = int(offs.min()), int(offs.max() - offs.min()) + 1, int(regs.min()), int(regs.max() - regs.min()) + 1
+    if (int(nth[-1]) + 1) * width * count >= 1 << 62:
+        if nth[-1] == 0:
+            raise ValueError("offsets or registers of a method are out of range")
+        half = nth <= nth[-1] // 2
+        return [np.concatenate(v) for v in zip(*(_pending({k: v[side] for k, v in x.items()}) for side in (half, ~half)))]
+    place = lambda m, off: m * width + (off - low)
+    held = lambda at, reg: at * count + (reg - least)
+    at, reads = place(m[0], a[0]), c[0] == 0
+    sites, n_reads = np.unique(at[reads], return_counts=True)
+    third = reads & (d[0] == 2)
+    invokes, taken = place(m[3], a[3]), place(m[2], a[2])
+    create = invokes[b[3] == 1]
+    create = create[np.isin(create, sites[n_reads >= 4])]
+    of, intent = _Lookup(at[third], b[0][third])(create)
+    create = create[of]
+    # the result is taken by what follows in the block
+    order = np.lexsort((b[4], a[4], m[4]))
+    pm, block, off = m[4][order], a[4][order], b[4][order]
+    same = np.flatnonzero((pm[1:] == pm[:-1]) & (block[1:] == block[:-1]))
+    follows = _Lookup(place(pm[same], off[same]), place(pm[same + 1], off[same + 1]))
+    of, result = follows(create)
+    create, intent = create[of], intent[of]
+    of, reg = _Lookup(taken, b[2])(result)
+    create, intent, result = create[of], intent[of], result[of]
+    if not len(create):
+        return none
+    use, defined = place(m[1], a[1]), place(m[1], c[1])
+    # backwards: definitions of the intent, on through instructions of one read; forwards: uses of the result, on to what they write
+    single = reads & np.isin(at, sites[n_reads == 1])
+    filled = _follow(held(create, intent), _Lookup(held(use, b[1]), defined), _Lookup(at[single], held(at, b[0])[single]), taken[c[2] == 1])
+    danger = _follow(held(result, reg), _Lookup(held(defined, b[1]), use), _Lookup(at[~reads], held(at, b[0])[~reads]), invokes[c[3] == 1])
+    first = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
+    return [uid[first[create // width]], create % width + low, (~filled).astype(np.int64), danger.astype(np.int64)]
 
 
 def risk_label(findings: DataFrame) -> DataFrame:
